@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85).drop("class_id")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -33,6 +39,15 @@ def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50, scale=256.0)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import remove_repeats
+
+    done = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), length=50)
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_offsets, write_tokens
 
@@ -41,14 +56,62 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_offsets(spark, path)
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import as_text, beside_next, likeness, sketch, with_anchors
+
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = with_anchors(docs, "text").withColumn("own", sketch("anchors")).drop("anchors")
+    rows = beside_next(own, "doc_id", ["text", "own"], docs.count())
+    n = F.length("text")
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.left("text", n - cut), F.left("next_text", cut))
+    rows = rows.select("doc_id", "own", "next_own", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = with_anchors(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "edited").drop("edited")
+    rows = rows.withColumn("other", sketch("anchors")).drop("anchors")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_text("own").alias("fingerprint"),
+        as_text("other").alias("edited_fingerprint"),
+        likeness("own", "other").alias("near_edited"),
+        likeness("own", "next_own").alias("near_next"),
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic"), threshold=0.5)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(documents(spark, sf_dir), tokenizer_path(), end_id=1, capacity=4096)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op3_voronoi_knn, op5_token_output, op9_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup,
+        op2_url_filter,
+        op3_voronoi_knn,
+        op4_suffix_array_dedup,
+        op5_token_output,
+        op6_document_fingerprints,
+        op7_toxicity,
+        op9_best_fit_packing,
+        op10_quality_classifier,
+    )
 }
 
 _OP2 = r"""
