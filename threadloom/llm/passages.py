@@ -179,8 +179,17 @@ def _unsettled(g: _Group, anchors: np.ndarray, stretches: tuple[np.ndarray, np.n
 WINDOW = 3
 
 
-def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` with n_bytes, n_removed, spans (maximal removed byte runs) and kept (binary).
+def _whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone``, and the other bytes of the UTF-8 characters it touches."""
+    first = np.flatnonzero((buf & 0xC0) != 0x80)
+    return np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.append(first, len(buf))))
+
+
+def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """All columns of ``df`` but the text, with n_bytes, n_removed, spans (maximal removed byte runs) and kept.
+
+    ``kept`` are the other bytes, or with ``as_text`` a string, where characters go as a whole if a byte of them goes and
+    a null stays null.
 
     Texts count as UTF-8 bytes, null as empty; matches never cross documents; overlaps count; strings are judged on
     the input. Rows with one id are one document to each other: their strings don't count against themselves. A null
@@ -190,12 +199,12 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     size = text_bytes(df, text_col)
     groups, buckets = max(1, -(-size // GROUP_BYTES)), max(1, -(-size // BUCKET_BYTES))
     results = ("n_bytes", "n_removed", "spans", "kept")
-    rest = [c for c in df.columns if c not in results]
+    rest = [c for c in df.columns if c not in (*results, text_col)]
     texts = df.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).cast("int").alias("bid"),
         F.col(id_col).cast("long").alias("_id"),
         F.col(text_col).alias("_text"),
-        F.struct(*(F.col(c) for c in rest if c != text_col)).alias("_rest"),
+        F.struct(*(F.col(c) for c in rest)).alias("_rest"),
     )
 
     def anchors(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -240,11 +249,15 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
             for lo, hi in zip(g.offsets[:-1], g.offsets[1:], strict=True):
                 own = gone[lo:hi]
                 flips = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
-                n_bytes.append(int(hi - lo)), n_removed.append(int(own.sum()))
+                if as_text and len(flips):
+                    own = _whole_characters(g.buf[lo:hi], own)
+                n_bytes.append(int(hi - lo)), n_removed.append(int((flips[1::2] - flips[::2]).sum()))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in flips.reshape(-1, 2)])
                 kept.append(g.buf[lo:hi][~own].tobytes() if len(flips) else g.buf[lo:hi].tobytes())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        made = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
+        if as_text:
+            kept = [k if sound else None for k, sound in zip(kept, t["_text"].is_valid().to_pylist(), strict=True)]
+        made = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string() if as_text else pa.binary())]
         return pa.table([t["_rest"], *made], names=["_rest", *results])
 
     def over(fn, replies: DataFrame, schema: str) -> DataFrame:
@@ -256,6 +269,6 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     first = answered(texts.groupBy("bid").applyInArrow(anchors, _ENTRIES))
     second = answered(over(stretches, first, _ENTRIES))
     third = answered(over(windows, second, _ENTRIES))
-    kinds = f"_rest {texts.schema['_rest'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    kinds = f"_rest {texts.schema['_rest'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}"
     done = over(remove, second.unionByName(third), kinds)
     return done.select("_rest.*", *results)

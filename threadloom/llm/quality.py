@@ -169,8 +169,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS) -> Model:
-    """Features are made where the texts are; the driver gets those of at most ``rows`` documents, each at most 2**15 words."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Features and labels of at most ``rows`` documents, each of at most 2**15 words; features are made where the texts are."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +181,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 packed = [[x[i].astype(t).tobytes() for x in made] for i, t in enumerate((np.uint16, np.float32, np.float64))]
                 yield pa.record_batch([batch.column(1).slice(lo, hi - lo), *(pa.array(p, pa.binary()) for p in packed)], names=["label", "ids", "words", "stats"])
 
-    sample = training_rows(docs, labels, label, rows).select("text", "label")
-    got = sample.mapInArrow(extract, "label int, ids binary, words binary, stats binary").toArrow()
+    chosen = training_rows(docs, labels, label, rows).select("text", "label")
+    got = chosen.mapInArrow(extract, "label int, ids binary, words binary, stats binary").toArrow()
     parts = (got[c].to_pylist() for c in ("ids", "words", "stats"))
     made = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.float32).astype(float), np.frombuffer(c)) for a, b, c in zip(*parts, strict=True)]
-    return fit(made, got["label"].to_numpy())
+    return made, got["label"].to_numpy().astype(np.int64)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS) -> Model:
+    return fit(*sample(docs, labels, label, rows))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,6 +86,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic"), threshold=0.5)
 
 
+#: Domains of op8 by the labels table, and the token shares they are brought to.
+MIX = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import copies, mix
+
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    fitted = mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), domain, MIX)
+    return fitted.rates.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -109,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_token_output,
         op6_document_fingerprints,
         op7_toxicity,
+        op8_source_mixing,
         op9_best_fit_packing,
         op10_quality_classifier,
     )

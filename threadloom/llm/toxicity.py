@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import _text as T
 from ._labels import held_out, training_rows
@@ -144,16 +145,24 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
     return _score(docs, model, threshold, id_col, text_col)
 
 
-def _score(docs: DataFrame, model, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def with_score(docs: DataFrame, model, text_col: str = "text", into: str = "score") -> DataFrame:
+    """All rows and columns of ``docs`` with the model's score of the whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    columns = [c for c in docs.columns if c != into]
+    at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, buf = T.as_bytes(batch.column(1))
+            offsets, buf = T.as_bytes(batch.column(at))
             for lo, hi in T.chunks(offsets):
                 own = offsets[lo : hi + 1]
                 s = held.value.score(buf[own[0] : own[-1]], own - own[0])
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(s, pa.float64())], names=["doc_id", "score"])
+                yield pa.record_batch([*batch.slice(lo, hi - lo).columns, pa.array(s, pa.float64())], names=[*columns, into])
+
+    rows = docs.select(*columns)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(into, DoubleType())]))
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def _score(docs: DataFrame, model, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    scored = with_score(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
