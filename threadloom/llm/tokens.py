@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,9 @@ import pyarrow as pa
 from ._text import as_bytes, chunks
 
 #: Bytes of text encoded at a time, or one text.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Distinct runs kept by a worker; beyond it the memory starts anew.
-MEMORY = 400_000
+MEMORY = 600_000
 
 
 class Encoder:
@@ -35,7 +36,7 @@ class Encoder:
     def _clear(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.start = np.zeros(MEMORY + 1, np.int64)  # run i has ids[start[i]:start[i + 1]]
+        self.start = np.zeros(MEMORY + 2, np.int64)  # run i has ids[start[i]:start[i + 1]]
 
     def _learn(self, runs: list[bytes]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch([r.decode() for r in runs], add_special_tokens=False)]
@@ -47,22 +48,66 @@ class Encoder:
         if end[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(end[-1])), np.uint32)])
         self.start[at + 1 : at + 1 + len(runs)] = end
-        self.ids[self.start[at] : end[-1]] = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
+        self.ids[self.start[at] : end[-1]] = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         self.seen.update(zip(runs, range(at, at + len(runs)), strict=True))
 
     def encode(self, text: bytes | None) -> np.ndarray:
-        runs = (text or b"").split()  # at ASCII white space; other white space is left to the tokenizer
-        if len(self.seen) > MEMORY // 2:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        split = [separated(t or b"").split() for t in texts]  # at ASCII white space; other white space is left to the tokenizer
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        runs = list(chain.from_iterable(split))
+        if len(self.seen) > MEMORY:
             self._clear()
         seen = self.seen
         if new := [r for r in dict.fromkeys(runs) if r not in seen]:
             self._learn(new)
-            seen = self.seen
         which = np.fromiter(map(seen.__getitem__, runs), np.int64, len(runs))
-        begin, size = self.start[which], self.start[which + 1] - self.start[which]
-        total = int(size.sum())
-        shift = np.repeat(begin - (np.cumsum(size) - size), size)
-        return self.ids[shift + np.arange(total)]
+        begin = self.start[which]
+        size = self.start[which + 1] - begin
+        end = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(end[-1])
+        at += np.repeat(begin - end[:-1], size)
+        bounds = end[np.concatenate([[0], np.cumsum(counts)])]
+        ids = self.ids[at]
+        return [ids[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _classes() -> np.ndarray:
+    kind = np.zeros(256, np.uint8)
+    for c in range(33, 127):
+        kind[c] = 1 if chr(c).isalnum() else 2
+    kind[ord("'")] = 0  # may begin a contraction
+    return kind
+
+
+_KIND = _classes()
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7, 0x9F, 0xBF]] = False  # two signs, and two letters whose lower case is not 32 up
+
+
+def separated(text: bytes) -> bytes:
+    """``text`` in lower case (of the Latin letters) with a blank between Latin letters or digits and ASCII punctuation (but for apostrophes).
+
+    The tokenizer lower-cases and splits there itself, so the ids stay the same and fewer runs differ. Texts that may
+    hold the name of a special token are left alone.
+    """
+    if b"<|" in text or not text:
+        return text
+    buf = np.frombuffer(text.lower(), np.uint8)
+    kind = _KIND[buf]
+    latin = np.flatnonzero((buf[:-1] == 0xC3) & _LATIN[buf[1:]])  # two-byte letters, U+00C0 to U+00FF
+    kind[latin], kind[latin + 1] = 1, 1
+    buf = buf.copy()
+    buf[latin + 1] |= np.uint8(0x20)  # their lower case
+    cut = np.flatnonzero((kind[1:] ^ kind[:-1] == 3)) + 1  # 1 beside 2
+    out = np.full(len(buf) + len(cut), 32, np.uint8)
+    keep = np.ones(len(out), bool)
+    keep[cut + np.arange(len(cut))] = False
+    out[keep] = buf
+    return out.tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -86,4 +131,4 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
         offsets, _ = as_bytes(batch.column(1))
         for lo, hi in chunks(offsets, SLICE):
             part = batch.slice(lo, hi - lo)
-            yield part, [np.append(enc.encode(t), np.uint32(end_id)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            yield part, [np.append(ids, np.uint32(end_id)) for ids in enc.encode_many(part.column(1).cast(pa.binary()).to_pylist())]
