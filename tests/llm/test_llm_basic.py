@@ -183,7 +183,7 @@ def brute_knn(rows, k, every):
     return sorted(out)
 
 
-def test_knn_equals_brute_force(spark):
+def test_knn_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(400)] + [(400 + i, [0.5] * 6) for i in range(200)]
     rows += [(700, None), (701, [None] * 6), (750, [float("nan")] * 6), (800, []), (850, [1.0, 2.0]), (851, [2.0, 2.0]), (None, [1.0] * 6), (900, [float("inf")] * 6)]
@@ -193,6 +193,10 @@ def test_knn_equals_brute_force(spark):
     want = brute_knn(as32, 5, 50)
     for pivots in (1, 7, 48):
         assert sorted(tuple(r) for r in knn.top_k(df, 5, 50, pivots=pivots).collect()) == want
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(knn, "DATA_BYTES", 500)
+    monkeypatch.setattr(knn, "PACK", 32)
+    assert sorted(tuple(r) for r in knn.top_k(df, 5, 50).collect()) == want
     assert knn.top_k(df.limit(0)).count() == 0
 
 

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Pivots, and so groups; summaries on the driver hold PIVOTS * (k + few) numbers.
-PIVOTS = 48
-#: Queries of a group are solved in blocks of at most this many.
-QUERY_BLOCK = 1024
-#: Blocks of data of one group are spread over so many keys; queries are copied to each.
-SALTS = 8
+#: Pivots, and so groups of data; summaries on the driver hold PIVOTS * (k + few) numbers.
+PIVOTS = 12
+#: A task solves at most so many queries against about so many bytes of packed vectors.
+QUERY_BLOCK, DATA_BYTES = 16_384, 12 << 20
+#: Vectors of one packed row, and queries of one product.
+PACK, STEP = 1_024, 512
 
 
 def quantise(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -75,20 +75,25 @@ def top_k(
     gives no row. Scores are exact while ``length * max(|component|)**2 < 2**53``; beyond that the operator raises.
     """
     vectors = quantise(df, id_col, vector_col, scale)
-    shapes = vectors.groupBy(F.size("v").alias("dim")).agg(F.max(F.array_max(F.transform("v", lambda e: F.abs(e)))).alias("top")).collect()
+    top = F.max(F.array_max(F.transform("v", lambda e: F.abs(e)))).alias("top")
+    asked = F.count_if(F.col("vec_id") % every == 0).alias("asked")
+    shapes = vectors.groupBy(F.size("v").alias("dim")).agg(top, F.count("*").alias("rows"), asked).collect()
     out = None
     for s in sorted(shapes, key=lambda s: s["dim"]):
         if s["dim"] * s["top"] ** 2 >= 2**53:
             raise ValueError(f"inner products of {s['dim']} components up to {s['top']:g} are not exact in 53 bits")
-        one = _top_k(vectors.where(F.size("v") == s["dim"]), s["dim"], k, every, pivots)
+        kind = np.int16 if s["top"] < 2**15 else np.int32
+        one = _top_k(vectors.where(F.size("v") == s["dim"]), s, kind, k, every, pivots)
         out = one if out is None else out.unionByName(one)
     if out is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return out
 
 
-def _top_k(vectors: DataFrame, dim: int, k: int, every: int, pivots: int) -> DataFrame:
-    spark = vectors.sparkSession
+def _top_k(vectors: DataFrame, shape, kind: type, k: int, every: int, pivots: int) -> DataFrame:
+    dim = shape["dim"]
+    query_salts = -(-shape["asked"] // QUERY_BLOCK) or 1
+    data_salts = -(-shape["rows"] * dim * np.dtype(kind).itemsize // DATA_BYTES)
     # distinct vectors, so that one frequent vector isn't every pivot; at most ``pivots`` rows
     picked = vectors.select(F.xxhash64("v").alias("h"), "v").groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(pivots).collect()
     centre = np.array([r["v"] for r in picked])
@@ -134,19 +139,18 @@ def _top_k(vectors: DataFrame, dim: int, k: int, every: int, pivots: int) -> Dat
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, m = b.column(0).to_numpy(), _matrix(b.column(1), dim)
-            above = m @ centre[asked].T + radius[asked][None] * _norm(m)[:, None] >= floor[asked][None] - slack
-            for n, i in enumerate(asked):
-                own = np.flatnonzero(above[:, n])
-                own = own[np.argsort(ids[own], kind="stable")]
-                if len(own):
-                    salt = int(ids[own[0]]) % SALTS
-                    yield pa.record_batch(
-                        [pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([ids[own].tobytes()]), pa.array([m[own].tobytes()])],
-                        names=["g", "salt", "ids", "data"],
-                    )
+            for at in range(0, b.num_rows, PACK):
+                part = b.slice(at, PACK)
+                ids, m = part.column(0).to_numpy(), _matrix(part.column(1), dim)
+                above = m @ centre[asked].T + radius[asked][None] * _norm(m)[:, None] >= floor[asked][None] - slack
+                yield from packed(ids, m, [(g, np.flatnonzero(above[:, n])) for n, g in enumerate(asked)], query_salts, int(ids[0]) % data_salts)
+
+    def packed(ids: np.ndarray, m: np.ndarray, groups: list[tuple[int, np.ndarray]], copies: int, salt: int) -> Iterator[pa.RecordBatch]:
+        """The vectors of each group, for each block of its queries."""
+        rows = [(int(g) * query_salts + c, salt, ids[own].tobytes(), m[own].astype(kind).tobytes()) for g, own in groups if len(own) for c in range(copies)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=["g", "salt", "ids", "data"])
+
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,31 +158,35 @@ def _top_k(vectors: DataFrame, dim: int, k: int, every: int, pivots: int) -> Dat
             q = np.flatnonzero(ids % every == 0)
             if len(q):
                 m = _matrix(b.column(1), dim)[q]
-                g, _ = _nearest(m, centre)
-                for i in np.unique(g):
-                    own = np.flatnonzero(g == i)
-                    for at in range(0, len(own), QUERY_BLOCK):
-                        part = own[at : at + QUERY_BLOCK]
-                        yield pa.record_batch(
-                            [pa.array([i], pa.int32()), pa.array([ids[q[part]].tobytes()]), pa.array([m[part].tobytes()])], names=["g", "q_ids", "q_data"]
-                        )
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, data, q_ids, q_data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                v, q = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                score = np.frombuffer(q_data, np.float64).reshape(-1, dim) @ np.frombuffer(data, np.float64).reshape(-1, dim).T
-                score[q[:, None] == v[None]] = -np.inf
-                best = _best(score, v, k)
-                got = np.take_along_axis(score, best, 1)
-                row, col = np.nonzero(np.isfinite(got))
-                yield pa.record_batch(
-                    [pa.array(q[row]), pa.array(v[best[row, col]]), pa.array(got[row, col].astype(np.int64))], names=["query_id", "vec_id", "score"]
-                )
+                block = _nearest(m, centre)[0] * query_salts + ids[q] // every % query_salts
+                rows = [(int(g), ids[q[own]].tobytes(), m[own].astype(kind).tobytes()) for g in np.unique(block) for own in [np.flatnonzero(block == g)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds[1:2] + kinds[2:], strict=True)], names=["g", "q_ids", "q_data"])
+
+    def solve(data: pa.Table, queries: pa.Table) -> pa.Table:
+        def unpack(t: pa.Table, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+            return np.frombuffer(b"".join(t[ids].to_pylist()), np.int64), np.frombuffer(b"".join(t[vectors].to_pylist()), kind).reshape(-1, dim)
+
+        (v, m), (q, x) = unpack(data, "ids", "data"), unpack(queries, "q_ids", "q_data")
+        order = np.argsort(v, kind="stable")
+        v, m = v[order], m[order].astype(float)
+        out = [np.zeros((3, 0), np.int64)]
+        for at in range(0, len(q) if len(v) else 0, STEP):
+            own = q[at : at + STEP]
+            score = x[at : at + STEP].astype(float) @ m.T
+            same = np.searchsorted(v, own)
+            for i, j in enumerate(same):
+                while j < len(v) and v[j] == own[i]:  # the query itself, and rows that repeat its id
+                    score[i, j] = -np.inf
+                    j += 1
+            best = _best(score, v, k)
+            got = np.take_along_axis(score, best, 1)
+            row, col = np.nonzero(np.isfinite(got))
+            out.append(np.stack([own[row], v[best[row, col]], got[row, col].astype(np.int64)]))
+        return pa.table(list(np.concatenate(out, 1)), names=["query_id", "vec_id", "score"])
 
     data = vectors.mapInArrow(replicate, "g int, salt int, ids binary, data binary")
     queries = vectors.where(F.col("vec_id") % every == 0).mapInArrow(ask, "g int, q_ids binary, q_data binary")
-    queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    local = data.join(queries, ["g", "salt"]).select("ids", "data", "q_ids", "q_data").mapInArrow(solve, "query_id long, vec_id long, score long")
+    queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(data_salts - 1))))
+    local = data.groupBy("g", "salt").cogroup(queries.groupBy("g", "salt")).applyInArrow(solve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
