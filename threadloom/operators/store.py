@@ -1,0 +1,60 @@
+"""Changes to the store as functions from the current tables and what comes in to the new tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from threadloom.operators.messages import hot
+
+
+def insert_messages(current: DataFrame, incoming: DataFrame, replace_sessions: DataFrame | None = None) -> DataFrame:
+    """First write wins by message_id, after the sessions to replace are taken out."""
+    kept = current if replace_sessions is None else current.join(replace_sessions.select("session_id"), "session_id", "left_anti")
+    new = incoming.dropDuplicates(["message_id"]).join(kept.select("message_id"), "message_id", "left_anti")
+    return kept.unionByName(new.select(*kept.columns))
+
+
+def upsert_provenance(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Vendor, kind and time are overwritten; parent, depth, meta and path keep what was known where nothing new comes."""
+    c, i = current.alias("c"), incoming.alias("i")
+    both = c.join(i, "session_id", "full_outer")
+    over = [F.coalesce(f"i.{x}", f"c.{x}").alias(x) for x in current.columns if x != "session_id"]
+    return both.select("session_id", *over)
+
+
+def reclassify(messages: DataFrame, vectors: DataFrame, agents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions in ``agents`` become cold and lose their vectors; nothing becomes hot again."""
+    marked = messages.join(agents.select("session_id", F.lit(True).alias("_a")).distinct(), "session_id", "left")
+    now = marked.withColumn("retrieval_class", F.when(F.col("_a"), "agent").otherwise(F.col("retrieval_class"))).drop("_a").select(*messages.columns)
+    return now, vectors.join(hot(now).select("message_id"), "message_id", "left_semi")
+
+
+def insert_vectors(messages: DataFrame, current: DataFrame, incoming: DataFrame, version: int = 3) -> DataFrame:
+    """Vectors of hot messages replace what is there, stamped with the version."""
+    new = incoming.join(hot(messages).select("message_id"), "message_id", "left_semi").withColumn("embed_version", F.lit(version))
+    return current.join(new.select("message_id"), "message_id", "left_anti").unionByName(new.select(*current.columns))
+
+
+def delete_session(messages: DataFrame, vectors: DataFrame, session: str) -> tuple[DataFrame, DataFrame]:
+    gone = messages.where(F.col("session_id") == session).select("message_id")
+    return messages.where(F.col("session_id") != session), vectors.join(gone, "message_id", "left_anti")
+
+
+def changed_files(listing: DataFrame, watermark: DataFrame) -> DataFrame:
+    """Files that are new or differ in size or whole-millisecond time; a status column tells all apart."""
+    w = watermark.select("path", F.col("last_mtime").alias("_m"), F.col("last_size").alias("_s"))
+    same = (F.floor("mtime_ms") == F.col("_m")) & (F.col("size") == F.col("_s"))
+    state = F.when(F.col("_m").isNull(), "new").when(same, "unchanged").otherwise("changed")
+    return listing.join(w, "path", "left").withColumn("state", state).drop("_m", "_s")
+
+
+def advance_watermark(watermark: DataFrame, done: DataFrame) -> DataFrame:
+    """``done``: (path, mtime_ms, size, vendor) of files ingested without error; others keep their mark."""
+    new = done.select("path", F.floor("mtime_ms").cast("long").alias("last_mtime"), F.col("size").alias("last_size"), "vendor")
+    return watermark.join(new.select("path"), "path", "left_anti").unionByName(new.select(*watermark.columns))
+
+
+def same_postings(a: DataFrame, b: DataFrame) -> bool:
+    """Integrity of an index against one rebuilt from the messages."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
