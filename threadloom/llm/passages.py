@@ -11,15 +11,20 @@ Ranks are 64-bit fingerprints, so ranking again needs no total order. The rounds
 3. Windows of what is left are ranked by the pair of ranks of their halves, the second at offset ``length // 2``
    (for an odd length the halves are followed by the last byte's rank), which passes the threshold.
 
-Every round sends packed runs of (rank, least and greatest document) from a group of documents to the bucket
-of the rank and gets back the ranks that repeat. Each group sends a rank once, so a frequent passage costs an entry
-a group, not one for each occurrence.
+Every round sends, from a group of documents to the bucket of the rank, the group's distinct ranks in order, and gets
+back a bit for each that says whether it repeats (and the least document, where it does). A group makes the same list
+again from its documents, so the bits need no keys. Each group sends a rank once, so a frequent passage costs an entry a
+group, not one for each occurrence. Within its bucket a first-round rank is cut to 32 bits: rounds two and three compare
+64 bits, so this can only add candidates.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +32,13 @@ from . import _text as T
 from ._spark import text_bytes
 
 #: Text bytes of a group of documents, which a task holds at a time (or one longer text).
-GROUP_BYTES = 6 << 20
-#: Bytes of text for each bucket of ranks: about a million anchors.
-BUCKET_BYTES = 16 << 20
-STRETCH, ANCHOR = 1, 2
+GROUP_BYTES = 4 << 20
+#: Bytes of text for each bucket of ranks: about 600 thousand anchors.
+BUCKET_BYTES = 8 << 20
+ANCHOR, STRETCH, WINDOW = 0, 1, 2
 
-_ENTRIES = "bucket int, kind int, bid int, ranks binary, low binary, high binary"
-_REPLIES = "kind int, bid int, ranks binary, low binary"
+_ENTRIES = "bucket int, bid int, n int, ranks binary, names binary, low binary, more binary"
+_REPLIES = "kind int, bucket int, bid int, n int, repeats binary, several binary, low binary"
 
 
 class _Group:
@@ -46,19 +51,19 @@ class _Group:
         self.prefix = T.prefix_hash(buf)
         self.rank = T.window_hash(self.prefix, half)
         end = np.repeat(offsets[1:], np.diff(offsets))
-        self.at = np.flatnonzero(end - np.arange(n) >= length)  # starts of the windows
-        if not len(self.at):
+        at = np.flatnonzero(end - np.arange(n) >= length)  # starts of the windows
+        if not len(at):
             z = np.zeros(0, np.int64)
             self.first, self.lo, self.hi, self.doc, self.anchor, self.stretch = z, z, z, z, z.view(np.uint64), z.view(np.uint64)
             return
         packed = (self.rank & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(self.rank), dtype=np.uint64)
-        least = _sliding_min(packed, length - half + 1)[self.at]
+        least = _sliding_min(packed, length - half + 1)[at]
         where = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.ones(len(where), bool)
-        new[1:] = (where[1:] != where[:-1]) | (self.at[1:] != self.at[:-1] + 1)
-        self.first = np.flatnonzero(new)  # of each stretch, in self.at
-        self.lo = self.at[self.first]
-        self.hi = self.at[np.append(self.first[1:], len(where)) - 1]
+        new[1:] = (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)
+        self.first = np.flatnonzero(new)  # of each stretch, in at
+        self.lo = at[self.first]
+        self.hi = at[np.append(self.first[1:], len(where)) - 1]
         self.doc = ids[np.searchsorted(offsets, self.lo, "right") - 1]
         self.anchor = self.rank[where[self.first]]
 
@@ -97,86 +102,174 @@ def _slices(table: pa.Table, length: int):
         yield lo, hi, _Group(buf[own[0] : own[-1]], own - own[0], ids[lo:hi], length)
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each rank once, with the least and the greatest of its values."""
-    rank, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(rank)
-    rank, low, high = rank[order], low[order], high[order]
-    first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else np.zeros(0, np.int64)
-    if not len(first):
-        return rank, low, high
-    return rank[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
-
-
-def _send(parts: dict[int, list], bid: int, buckets: int) -> pa.Table:
+def _bucket_of(rank: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascends with the rank."""
+    return ((rank >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+@dataclass
+class _List:
+    """A group's distinct keys in order: ranks, names within a rank (or none), least document, whether it stands more than once."""
+
+    rank: np.ndarray
+    name: np.ndarray | None
+    low: np.ndarray | None
+    more: np.ndarray
+
+    def at(self, rank: np.ndarray, name: np.ndarray | None = None) -> np.ndarray:
+        """Where keys of this list stand in it."""
+        if self.name is None:
+            return np.searchsorted(self.rank, rank)
+        lo = np.searchsorted(self.rank, rank)
+        hi = np.searchsorted(self.rank, rank, "right")
+        while (hi - lo > 1).any():  # names ascend within a rank
+            mid = (lo + hi) // 2
+            up = (self.name[np.minimum(mid, len(self.name) - 1)] <= name) & (hi - lo > 1)
+            lo, hi = np.where(up, mid, lo), np.where(up | (hi - lo <= 1), hi, mid)
+        return lo
+
+
+def _distinct(rank: np.ndarray, name: np.ndarray | None = None, doc: np.ndarray | None = None) -> _List:
+    order = np.argsort(rank, kind="stable") if name is None else np.lexsort((name, rank))
+    rank = rank[order]
+    new = np.ones(len(rank), bool)
+    new[1:] = rank[1:] != rank[:-1]
+    if name is not None:
+        name = name[order]
+        new[1:] |= name[1:] != name[:-1]
+    first = np.flatnonzero(new)
+    if doc is None:
+        low, more = None, np.diff(np.append(first, len(rank))) > 1
+    else:
+        doc = doc[order]
+        low = np.minimum.reduceat(doc, first) if len(first) else doc
+        more = (np.maximum.reduceat(doc, first) if len(first) else doc) > low
+    return _List(rank[first], None if name is None else name[first], low, more)
+
+
+def _send(own: _List, bid: int, buckets: int) -> pa.Table:
+    bucket = _bucket_of(own.rank, buckets)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     rows = []
-    for kind, own in parts.items():
-        rank, low, high = _merge(own) if own else (np.zeros(0, np.uint64),) * 3
-        bucket = ((rank >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascends with the rank
-        for b in np.unique(bucket):
-            lo, hi = np.searchsorted(bucket, [b, b + 1])
-            rows.append((int(b) + kind * buckets, kind, bid, rank[lo:hi].tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()))
-    return _table(rows, ("bucket", "kind", "bid", "ranks", "low", "high"))
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket)), strict=False):  # without keys there is no cut
+        # the bucket's share of the upper half is known where the rank goes: what is left is spread over 32 bits
+        rank = own.rank[lo:hi] if own.low is not None and own.name is None else (own.rank[lo:hi] * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+        name, low = (b"" if x is None else x[lo:hi].tobytes() for x in (own.name, own.low))
+        rows.append((int(bucket[lo]), bid, int(hi - lo), rank.tobytes(), name, low, np.packbits(own.more[lo:hi]).tobytes()))
+    return _table(rows, "bucket", "bid", "n", "ranks", "names", "low", "more")
 
 
-def _table(rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
-    kinds = {"bucket": pa.int32(), "kind": pa.int32(), "bid": pa.int32()}
+def _table(rows: list[tuple], *names: str) -> pa.Table:
+    kinds = dict.fromkeys(("kind", "bucket", "bid", "n"), pa.int32())
     return pa.table({n: pa.array([r[i] for r in rows], kinds.get(n, pa.binary())) for i, n in enumerate(names)})
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Of one bucket, the ranks with more than one value, sent back to each group that has them."""
-    kind, bid = table["kind"].to_pylist(), table["bid"].to_pylist()
-    blocks = [np.frombuffer(x, np.uint64) for x in table["ranks"].to_pylist()]
-    rank = np.concatenate(blocks)
-    low = np.concatenate([np.frombuffer(x, np.int64) for x in table["low"].to_pylist()])
-    high = np.concatenate([np.frombuffer(x, np.int64) for x in table["high"].to_pylist()])
-    order = np.argsort(rank)
-    ranked = rank[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    group = np.empty(len(rank), np.int64)
-    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rank))))
-    least, most = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
-    more = (least < most)[group]
-    rows, at = [], 0
-    for k, b, own in zip(kind, bid, blocks, strict=True):
-        keep = at + np.flatnonzero(more[at : at + len(own)])
-        at += len(own)
-        if len(keep):
-            rows.append((k, b, rank[keep].tobytes(), least[group[keep]].tobytes()))
-    return _table(rows, ("kind", "bid", "ranks", "low"))
-
-
-def _received(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the replies, ascending, and their least values."""
-    own = [i for i, k in enumerate(table["kind"].to_pylist()) if k == kind]
-    if not own:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ranks, low = table["ranks"].to_pylist(), table["low"].to_pylist()
-    rank = np.concatenate([np.frombuffer(ranks[i], np.uint64) for i in own])
-    least = np.concatenate([np.frombuffer(low[i], np.int64) for i in own])
-    order = np.argsort(rank)
-    return rank[order], least[order]
-
-
-def _find(known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each rank is known, and where."""
-    at = np.searchsorted(known, rank)
-    at[at == len(known)] = 0
-    return (known[at] == rank if len(known) else np.zeros(len(rank), bool)), at
-
-
-def _unsettled(g: _Group, anchors: np.ndarray, stretches: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches that repeat an earlier document's as a whole; those whose windows have to be ranked."""
-    which = np.flatnonzero(_find(anchors, g.anchor)[0]) if len(anchors) else np.zeros(0, np.int64)
-    name = g.name_stretches(np.arange(len(g.lo)))
-    hit, at = _find(stretches[0], name)
-    whole = hit.copy()
-    whole[hit] = stretches[1][at[hit]] < g.doc[hit]
-    return np.flatnonzero(whole), which[~whole[which]]
-
-
-WINDOW = 3
+def _bits(packed: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8), count=n) for p, n in zip(packed, sizes, strict=True)]).astype(bool)
+
+
+def _repeats(kind: int):
+    """Answers of one bucket: which keys repeat, which ranks have several names, and the least documents of the former."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        sizes = table["n"].to_pylist()
+        column = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
+        rank = column("ranks", np.uint64 if kind == WINDOW else np.uint32)
+        more = _bits(table["more"].to_pylist(), sizes)
+        name = column("names", np.uint64) if kind == STRETCH else None
+        order = np.argsort(rank, kind="stable") if name is None else np.lexsort((name, rank))
+        sorted_rank = rank[order]
+        new_rank = np.ones(len(rank), bool)
+        new_rank[1:] = sorted_rank[1:] != sorted_rank[:-1]
+        new = new_rank.copy()
+        if name is not None:
+            new[1:] |= name[order][1:] != name[order][:-1]
+        first = np.flatnonzero(new)
+        spread = lambda x: np.repeat(x, np.diff(np.append(first, len(rank))))
+        repeats, several, least = np.empty(len(rank), bool), np.zeros(len(rank), bool), None
+        many = np.diff(np.append(first, len(rank))) > 1
+        repeats[order] = spread(many | np.logical_or.reduceat(more[order], first))
+        if kind != ANCHOR:
+            least = np.empty(len(rank), np.int64)
+            least[order] = spread(np.minimum.reduceat(column("low", np.int64)[order], first))
+        if name is not None:
+            group = np.cumsum(new_rank) - 1
+            names = np.bincount(group, new)
+            several[order] = names[group] > 1
+        rows, at = [], 0
+        for bucket, bid, n in zip(table["bucket"].to_pylist(), table["bid"].to_pylist(), sizes, strict=True):
+            own = slice(at, at + n)
+            at += n
+            if repeats[own].any() or several[own].any():
+                low = b"" if least is None else least[own][repeats[own]].tobytes()
+                rows.append((kind, bucket, bid, n, np.packbits(repeats[own]).tobytes(), np.packbits(several[own]).tobytes() if name is not None else b"", low))
+        return _table(rows, "kind", "bucket", "bid", "n", "repeats", "several", "low")
+
+    return answer
+
+
+def _received(table: pa.Table, kind: int, own: _List, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each key of the list: whether it repeats, whether its rank has several names, and the least document (or the greatest number)."""
+    n = len(own.rank)
+    repeats, several, low = np.zeros(n, bool), np.zeros(n, bool), np.full(n, np.iinfo(np.int64).max)
+    begin = np.searchsorted(_bucket_of(own.rank, buckets), np.arange(buckets))
+    t = table.filter(pc.equal(table["kind"], kind)).to_pydict()
+    for bucket, size, r, s, least in zip(t["bucket"], t["n"], t["repeats"], t["several"], t["low"], strict=True):
+        at = slice(begin[bucket], begin[bucket] + size)
+        repeats[at] = np.unpackbits(np.frombuffer(r, np.uint8), count=size)
+        if s:
+            several[at] = np.unpackbits(np.frombuffer(s, np.uint8), count=size)
+        if least:
+            low[np.flatnonzero(repeats[at]) + begin[bucket]] = np.frombuffer(least, np.int64)
+    return repeats, several, low
+
+
+class _State:
+    """A group's windows after as many rounds as there are answers."""
+
+    def __init__(self, table: pa.Table, replies: pa.Table | None, length: int, buckets: int, rounds: int) -> None:
+        self.slices = [g for _, _, g in _slices(table, length)]
+        join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
+        anchor = join([g.anchor for g in self.slices], np.uint64)
+        self.list = _distinct(anchor)
+        if not rounds:
+            return
+        repeats, _, _ = _received(replies, ANCHOR, self.list, buckets)
+        self.open = [np.flatnonzero(repeats[self.list.at(g.anchor)]) for g in self.slices]  # stretches whose anchor repeats
+        names = [g.name_stretches(o) for g, o in zip(self.slices, self.open, strict=True)]
+        ranks = [g.anchor[o] for g, o in zip(self.slices, self.open, strict=True)]
+        docs = [g.doc[o] for g, o in zip(self.slices, self.open, strict=True)]
+        self.list = _distinct(join(ranks, np.uint64), join(names, np.uint64), join(docs, np.int64))
+        if rounds == 1:
+            return
+        _, several, low = _received(replies, STRETCH, self.list, buckets)
+        self.whole, unsettled = [], []
+        for o, r, n, d in zip(self.open, ranks, names, docs, strict=True):
+            at = self.list.at(r, n)
+            earlier = low[at] < d
+            self.whole.append(o[earlier])  # an earlier document has the same stretch
+            unsettled.append(o[several[at] & ~earlier])
+        self.windows, keys, docs = [], [], []
+        for g, which in zip(self.slices, unsettled, strict=True):
+            at, owner = g.windows(which)
+            self.windows.append((at, g.doc[which][owner]))
+            keys.append(g.rank_pairs(at))
+            docs.append(self.windows[-1][1])
+        self.keys = keys
+        self.list = _distinct(join(keys, np.uint64), None, join(docs, np.int64))
+        if rounds == 2:
+            return
+        _, _, self.low = _received(replies, WINDOW, self.list, buckets)
+
+    def gone(self, i: int, length: int) -> np.ndarray:
+        """Which bytes of the slice go."""
+        g, whole, (at, doc) = self.slices[i], self.whole[i], self.windows[i]
+        hit = at[self.low[self.list.at(self.keys[i])] < doc] if len(at) else at
+        edge = np.zeros(len(g.buf) + 1, np.int32)
+        for start, end in ((g.lo[whole], g.hi[whole] + length), (hit, hit + length)):
+            np.add.at(edge, start, 1)
+            np.add.at(edge, end, -1)
+        return np.cumsum(edge[:-1]) > 0
 
 
 def _whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -207,45 +300,20 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         F.struct(*(F.col(c) for c in rest)).alias("_rest"),
     )
 
-    def anchors(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        parts = [(g.anchor, g.doc, g.doc) for _, _, g in _slices(t, length)]
-        return _send({0: parts}, key[0].as_py(), buckets)
-
-    def stretches(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        known, _ = _received(replies, 0)
-        parts: dict[int, list] = {STRETCH: [], ANCHOR: []}
-        for _, _, g in _slices(t, length) if len(known) else ():
-            which = np.flatnonzero(_find(known, g.anchor)[0])
-            name = g.name_stretches(which)
-            parts[STRETCH].append((name, g.doc[which], g.doc[which]))
-            parts[ANCHOR].append((g.anchor[which], name.view(np.int64), name.view(np.int64)))
-        return _send(parts, key[0].as_py() if key[0].is_valid else 0, buckets)
-
-    def windows(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        open_anchors, stretch = _received(replies, ANCHOR)[0], _received(replies, STRETCH)
-        parts = []
-        for _, _, g in _slices(t, length) if len(open_anchors) else ():
-            _, which = _unsettled(g, open_anchors, stretch)
-            at, owner = g.windows(which)
-            doc = g.doc[which][owner]
-            parts.append((g.rank_pairs(at), doc, doc))
-        return _send({WINDOW: parts}, key[0].as_py(), buckets)
+    def sender(rounds: int):
+        def first(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+            return _send(_State(t, None, length, buckets, 0).list, key[0].as_py(), buckets)
+
+        def later(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
+            return _send(_State(t, replies, length, buckets, rounds).list, key[0].as_py(), buckets)
+
+        return later if rounds else first
 
     def remove(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-        open_anchors, stretch, window = _received(replies, ANCHOR)[0], _received(replies, STRETCH), _received(replies, WINDOW)
         n_bytes, n_removed, spans, kept = [], [], [], []
-        for _, _, g in _slices(t, length):
-            whole, which = _unsettled(g, open_anchors, stretch)
-            edge = np.zeros(len(g.buf) + 1, np.int32)
-            np.add.at(edge, g.lo[whole], 1)
-            np.add.at(edge, g.hi[whole] + length, -1)
-            if len(which) and len(window[0]):
-                at, owner = g.windows(which)
-                hit, where = _find(window[0], g.rank_pairs(at))
-                hit[hit] = window[1][where[hit]] < g.doc[which][owner[hit]]
-                np.add.at(edge, at[hit], 1)
-                np.add.at(edge, at[hit] + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+        state = _State(t, replies, length, buckets, 3)
+        for i, g in enumerate(state.slices):
+            gone = state.gone(i, length)
             for lo, hi in zip(g.offsets[:-1], g.offsets[1:], strict=True):
                 own = gone[lo:hi]
                 flips = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
@@ -263,12 +331,11 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
     def over(fn, replies: DataFrame, schema: str) -> DataFrame:
         return texts.groupBy("bid").cogroup(replies.groupBy("bid")).applyInArrow(fn, schema)
 
-    def answered(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(_repeats, _REPLIES)
+    def answered(sent: DataFrame, kind: int) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(_repeats(kind), _REPLIES)
 
-    first = answered(texts.groupBy("bid").applyInArrow(anchors, _ENTRIES))
-    second = answered(over(stretches, first, _ENTRIES))
-    third = answered(over(windows, second, _ENTRIES))
+    first = answered(texts.groupBy("bid").applyInArrow(sender(0), _ENTRIES), ANCHOR)
+    second = first.unionByName(answered(over(sender(1), first, _ENTRIES), STRETCH))
+    third = second.unionByName(answered(over(sender(2), second, _ENTRIES), WINDOW))
     kinds = f"_rest {texts.schema['_rest'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}"
-    done = over(remove, second.unionByName(third), kinds)
-    return done.select("_rest.*", *results)
+    return over(remove, third, kinds).select("_rest.*", *results)
