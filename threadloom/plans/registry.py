@@ -606,3 +606,94 @@ def user_sessions(spark, sf_dir):
     from threadloom.streaming.ingest import user_sessions as sessions
 
     return sessions(table(spark, sf_dir, "events"))
+
+
+# --- smaller operators ---------------------------------------------------------------------------------------------
+
+
+@query(M + " SELECT message_id FROM messages m WHERE retrieval_class = 'hot' AND EXISTS (SELECT 1 FROM messages p WHERE p.session_id = m.session_id AND p.retrieval_class = 'hot' AND p.message_seq < m.message_seq)")
+def semi_predecessor(spark, sf_dir):
+    return semantic.with_previous(views.messages(spark, sf_dir)).where("has_previous").select("message_id")
+
+
+@query(_vectors_cte(50) + " SELECT session_id, count(*) AS with_vector FROM doc_messages JOIN vectors USING (message_id) GROUP BY session_id")
+def join_vec_msgs(spark, sf_dir):
+    return doc_messages(spark, sf_dir).join(views.vectors(spark, sf_dir), "message_id").groupBy("session_id").agg(F.count("*").alias("with_vector"))
+
+
+@query(_vectors_cte(50) + _WAIT + """ SELECT message_id, CASE WHEN length(message_text) < 200 AND prev_text IS NOT NULL AND prev_text <> '' THEN right(prev_text, 512) || chr(10) || message_text ELSE message_text END AS embed_text FROM p""")
+def embed_text(spark, sf_dir):
+    return semantic.with_previous(doc_messages(spark, sf_dir)).select("message_id", semantic.embed_text().alias("embed_text"))
+
+
+@query(M + f" SELECT message_id, round(1 / (1 + greatest(0, {NOW} - created_at) / 86400000.0 * 0.1), 9) AS recency FROM messages")
+def recency(spark, sf_dir):
+    return views.messages(spark, sf_dir).select("message_id", F.round(fusion.recency(F.col("created_at"), NOW, 0.1), 9).alias("recency"))
+
+
+@query(_fused_sql(None) + " SELECT coalesce(f.message_id, s.message_id) AS message_id, f.pos AS fts_pos, s.pos AS sem_pos FROM top_fts f FULL JOIN top_sem s ON f.message_id = s.message_id")
+def rrf_outer(spark, sf_dir):
+    return _fused(spark, sf_dir).select("message_id", "fts_pos", "sem_pos")
+
+
+@query(M + " SELECT DISTINCT session_id FROM messages WHERE length(message_text) < 50 UNION SELECT session_id FROM messages WHERE retrieval_class = 'agent'")
+def set_union_dedup(spark, sf_dir):
+    m = views.messages(spark, sf_dir)
+    return m.where(F.length("message_text") < 50).select("session_id").union(m.where("retrieval_class = 'agent'").select("session_id")).distinct()
+
+
+@query(M + " SELECT session_id FROM messages WHERE length(message_text) < 200 INTERSECT SELECT session_id FROM messages WHERE length(message_text) > 400")
+def set_intersect(spark, sf_dir):
+    m = views.messages(spark, sf_dir)
+    return m.where(F.length("message_text") < 200).select("session_id").intersect(m.where(F.length("message_text") > 400).select("session_id"))
+
+
+@query(M + " SELECT session_id FROM messages EXCEPT SELECT session_id FROM messages WHERE message_seq > 3")
+def set_except(spark, sf_dir):
+    m = views.messages(spark, sf_dir)
+    return m.select("session_id").subtract(m.where("message_seq > 3").select("session_id"))
+
+
+@query(M + " SELECT session_id, max(created_at) AS newest FROM messages WHERE retrieval_class = 'hot' GROUP BY session_id")
+def agg_distinct(spark, sf_dir):
+    return messages.hot(views.messages(spark, sf_dir)).groupBy("session_id").agg(F.max("created_at").alias("newest"))
+
+
+@query(_vectors_cte(50) + " SELECT session_id, count(v.message_id) > 0 AS has_vectors FROM doc_messages LEFT JOIN vectors v USING (message_id) GROUP BY session_id")
+def agg_exists(spark, sf_dir):
+    v = views.vectors(spark, sf_dir).select("message_id", F.lit(True).alias("v"))
+    return doc_messages(spark, sf_dir).join(v, "message_id", "left").groupBy("session_id").agg((F.count("v") > 0).alias("has_vectors"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, {EPOCH} + doc_id * 60000 AS mtime_ms FROM documents)
+SELECT c.doc_id AS commit_id, count(*) AS candidates FROM f c JOIN f ON f.mtime_ms BETWEEN c.mtime_ms - {_WINDOW} - 60000 AND c.mtime_ms + {24 * HOUR} WHERE c.doc_id % 100 = 0 GROUP BY 1""")
+def src_candidates(spark, sf_dir):
+    """Transcripts whose time fits a commit, before any is parsed; the few commits are the broadcast side."""
+    f = table(spark, sf_dir, "documents").select("doc_id", (F.lit(EPOCH) + F.col("doc_id") * 60_000).alias("mtime_ms"))
+    c = F.broadcast(f.where("doc_id % 100 = 0").select(F.col("doc_id").alias("commit_id"), F.col("mtime_ms").alias("at")))
+    return f.join(c, F.col("mtime_ms").between(F.col("at") - _WINDOW - 60_000, F.col("at") + 24 * HOUR)).groupBy("commit_id").agg(F.count("*").alias("candidates"))
+
+
+@query(r"SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9]', '-', 'g') AS slug, regexp_replace(url, '[:/\\]', '-', 'g') AS narrow FROM pages")
+def slug(spark, sf_dir):
+    from threadloom.sources.sessions import project_slug
+
+    return table(spark, sf_dir, "pages").select("page_id", project_slug(F.col("url")).alias("slug"), project_slug(F.col("url"), True).alias("narrow"))
+
+
+@query(M + " SELECT session_id, regexp_matches(session_id, '(?i)^(?:[0-9a-f]{8}[0-9a-f-]{0,28}|agent-[0-9a-f]+)$') AS reads FROM (SELECT DISTINCT CASE WHEN retrieval_class = 'agent' THEN 'agent-' || substr(session_id, 2) ELSE session_id END AS session_id FROM messages)")
+def dispatch(spark, sf_dir):
+    from threadloom.sources.sessions import is_session_shaped
+
+    name = F.when(F.col("retrieval_class") == "agent", F.concat(F.lit("agent-"), F.expr("substring(session_id, 2)"))).otherwise(F.col("session_id"))
+    return views.messages(spark, sf_dir).select(name.alias("session_id")).distinct().select("session_id", is_session_shaped(F.col("session_id")).alias("reads"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT conv_id::VARCHAR AS path, n::BIGINT AS turn, min(turn) AS "offset", substr(min_by(text, turn), 1, 8192) AS prompt, coalesce(substr(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), 1, 8192), '') AS response,
+substr(max_by(text, turn) FILTER (WHERE role = 'assistant'), 1, 200) AS preview FROM t WHERE n > 0 GROUP BY conv_id, n""")
+def turn_content(spark, sf_dir):
+    from threadloom.sources.sessions import turns
+
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), F.col("turn").alias("offset"), F.col("role").alias("type"), "text")
+    return turns(c)
