@@ -6,9 +6,11 @@ together; an estimate from the sketch of the union filters the pairs; the Jaccar
 
 Which lists: documents that reach the threshold share at least ``sure_overlap`` of their retained values (but for a
 chance below 1e-12 a pair), so with values ordered by how many sketches hold them, rare first, they share one of the
-first ``size - sure_overlap + 1``. Only those are listed, and a value of one sketch alone is in no list. Groups of many mutual copies would
-make a square of pairs: first each document is compared with the pivot of a list only, in a few rounds; what the rounds
-leave in different components is then compared in full.
+first ``size - sure_overlap + 1``. Only those are listed, and a value of one sketch alone is in no list. Each list has a pivot:
+the member with the fewest values of its own. Every document is first compared with the pivot that it meets most often,
+which joins most of a group of mutual copies. Lists with one pivot then make one group, so any two members of a list are
+in a group together; groups whose members are not all joined are compared in full, in blocks of bounded size, without
+a row for a pair: a block tells only links between documents that are not joined yet, and no more than join them.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from ._spark import durable
 from .components import components
 
 SKETCH = 64
-#: Rounds in which each document meets one pivot before the remaining pairs are compared.
-PIVOT_ROUNDS = 2
+#: Bytes of text and documents of one block; two blocks are compared at a time.
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1_024
 
 
 @functools.cache
@@ -116,19 +118,101 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 
 def _stars(links: DataFrame) -> DataFrame:
-    """Labels after the first round, in which pivots are smaller than what they link: the pivot's pivot, or the pivot."""
-    up = links.select(F.col("b").alias("node"), F.col("a").alias("p"))
+    """Labels after the first comparison: the pivot's pivot, or the pivot. Documents with one label are linked."""
+    up = links.select(F.col("b").alias("doc_id"), F.col("a").alias("p"))
     higher = links.select(F.col("b").alias("p"), F.col("a").alias("q"))
-    jumped = up.join(higher, "p", "left").select("node", F.coalesce("q", "p").alias("component"))
-    return durable(jumped, "labels")
+    return durable(up.join(higher, "p", "left").select("doc_id", F.coalesce("q", "p").alias("label")), "labels")
 
 
-def _label(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Lists with the component of each member; lists within one component have nothing left to join."""
-    named = lists.join(links.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    return named.join(open_, "value")
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs, above the diagonal."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    value = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(value, kind="stable")  # owners ascend within a value
+    value, owner = value[order], owner[order]
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    many = np.diff(np.append(first, len(value)))
+    for d in range(2, 17):  # few owners: pair by pair
+        rows = first[many == d]
+        if len(rows):
+            own = owner[rows[:, None] + np.arange(d)]
+            for i in range(d):
+                for j in range(i + 1, d):
+                    np.add.at(out, (own[:, i], own[:, j]), 1)
+    dense = np.flatnonzero(many > 16)  # many owners: a product of 0/1 matrices
+    for at in range(0, len(dense), 2_048):
+        part = dense[at : at + 2_048]
+        x = np.zeros((n, len(part)), np.float32)
+        index = np.repeat(first[part], many[part]) + np.arange(many[part].sum()) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+        x[owner[index], np.repeat(np.arange(len(part)), many[part])] = 1
+        out += x @ x.T
+    return out
+
+
+def _joins(ids: np.ndarray, labels: np.ndarray, texts: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different labels, as few as connect what is connected here."""
+    offsets, buf = texts
+    sets = []
+    for lo, hi in T.chunks(offsets):
+        own = offsets[lo : hi + 1]
+        h, at = T.shingles(buf[own[0] : own[-1]], own - own[0], words)
+        sets += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    size = np.array([len(x) for x in sets], np.float32)
+    both = _overlaps(sets)
+    linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None] - both)) & (labels[:, None] != labels[None])
+    a, b = np.nonzero(np.triu(linked, 1))
+    _, one = np.unique(np.stack([np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])]), axis=1, return_index=True)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i in one:
+        x, y = find(int(labels[a[i]])), find(int(labels[b[i]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[a[i]]), int(ids[b[i]])))
+    return out
+
+
+def _in_blocks(groups: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) within groups (p, doc_id, label), block against block."""
+    texts = members.select("doc_id", "text", F.octet_length("text").alias("_n"))
+    full = groups.join(texts, "doc_id")
+    sums = groups.join(members.select("doc_id", F.octet_length("text").alias("_n")), "doc_id").groupBy("p").agg(
+        F.greatest(F.ceil(F.sum("_n") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("nb")
+    )
+    placed = full.join(sums, "p").withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+    placed = placed.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    placed = placed.select("p", F.least("_b", "_x").alias("i"), F.greatest("_b", "_x").alias("j"), "doc_id", "label", "text")
+    dealt = placed.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(t: pa.Table) -> pa.RecordBatch:
+            links = _joins(t["doc_id"].to_numpy(), t["label"].to_numpy(), T.as_bytes(t["text"]), words, percent) if len(t) > 1 else []
+            return pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if hi > lo:
+                    if held and tuple(keys[lo]) != last:
+                        yield solve(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    last = tuple(keys[lo])
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
@@ -154,35 +238,25 @@ def near_duplicates(
     sizes = [prefix_size(n, percent, k) for n in range(1, k + 2)]
     listed = F.element_at(F.array(*map(F.lit, sizes)), F.least(F.col("n_shingles"), F.lit(k + 1)).cast("int"))
     alone = F.least(F.col("n_shingles"), F.lit(k)).cast("int") - F.size("shared")  # values of no other sketch come first
-    first = some.select("doc_id", "n_shingles", F.slice("shared", 1, F.greatest(listed - alone, F.lit(0))).alias("shared"))
-    lists = first.select("doc_id", "n_shingles", F.explode("shared.value").alias("value"))
-    lists = durable(lists, "lists")
-    wanted = lists.select("doc_id").distinct()
+    first = some.select("doc_id", "n_shingles", F.slice("shared", 1, F.greatest(listed - alone, F.lit(0))).alias("shared"), F.col("shared").alias("all"))
+    entry = F.struct((F.least(F.col("n_shingles"), F.lit(k)).cast("int") - F.size("all")).alias("own"), F.col("doc_id"), F.col("n_shingles"))
+    lists = durable(first.select("doc_id", "n_shingles", entry.alias("e"), F.explode("shared.value").alias("value")), "lists")
+    pivot = lists.groupBy("value").agg(F.min("e").alias("p"), F.count("*").alias("rows")).where("rows > 1")
+    met = lists.join(pivot, "value").groupBy(F.col("p.doc_id").alias("p"), F.col("p.n_shingles").alias("pn"), "doc_id", "n_shingles").agg(F.count("*").alias("often"))
+    met = durable(met, "groups")
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = met.select("doc_id").distinct()
     members = durable(reps.join(wanted, "doc_id").join(texts, "doc_id"), "members")
 
-    links = df.sparkSession.createDataFrame([], "node long, component long")
-    found = None
-    for turn in range(PIVOT_ROUNDS):
-        open_ = _label(lists, links)
-        order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-        pick = F.struct(order.alias("order"), F.col("doc_id"), F.col("component"), F.col("n_shingles"))
-        pivot = open_.groupBy("value").agg(F.min(pick).alias("p"))
-        met = open_.join(pivot, "value").where(F.col("component") != F.col("p.component")).where(_sizes_fit(F.col("n_shingles"), F.col("p.n_shingles"), percent))
-        often = met.groupBy("doc_id", F.col("p.doc_id").alias("pivot")).count()
-        best = often.groupBy("doc_id").agg(F.max_by("pivot", F.struct("count", -F.col("pivot"))).alias("pivot"))
-        new = durable(_alike(best.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), members, percent, words, k), "links")
-        found = new if found is None else found.unionByName(new)
-        links = _stars(new) if turn == 0 < PIVOT_ROUNDS - 1 else components(found)
-    open_ = _label(lists, links)
-    left = open_.select("value", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    right = open_.select("value", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    # each pair once, by the member with the smaller set
-    rest = left.join(right, "value").where("ca <> cb and (na < nb or (na = nb and a < b))").where(_sizes_fit(F.col("na"), F.col("nb"), percent))
-    rest = _alike(rest.select("a", "b").distinct(), members, percent, words, k)
+    near = met.where("p <> doc_id").where(_sizes_fit(F.col("n_shingles"), F.col("pn"), percent))
+    best = near.groupBy("doc_id").agg(F.max_by("p", F.struct("often", -F.col("p"))).alias("p"))
+    found = durable(_alike(best.select(F.col("p").alias("a"), F.col("doc_id").alias("b")), members, percent, words, k), "links")
+    named = met.select("p", "doc_id").join(_stars(found), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    split = named.groupBy("p").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("p")
+    rest = _in_blocks(named.join(split, "p"), members, words, percent)
     # rows of one id may be of several classes: those classes are linked by the id
     twins = full.join(classes, ["print", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).where("a <> b")
-    links = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest).unionByName(twins))
+    links = components(found.unionByName(rest).unionByName(twins))
     out = rows.select("doc_id", "n_shingles", "print").join(classes, ["print", "n_shingles"], "left").join(links.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
