@@ -19,6 +19,8 @@ from ._text import as_bytes, chunks
 SLICE = 2 << 20
 #: Distinct runs kept by a worker; beyond it the memory starts anew.
 MEMORY = 600_000
+#: Words of letters given to the library in one text.
+JOINED = 1_000
 
 
 class Encoder:
@@ -39,17 +41,25 @@ class Encoder:
         self.start = np.zeros(MEMORY + 2, np.int64)  # run i has ids[start[i]:start[i + 1]]
 
     def _learn(self, runs: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([r.decode() for r in runs], add_special_tokens=False)]
+        texts = [r.decode() for r in runs]
+        # a run of Latin-1 letters is one word to the tokenizer: many go in one call and are told apart by their words' numbers
+        plain = [t.isalpha() and max(t) <= "\xff" for t in texts]
+        words = [t for t, p in zip(texts, plain, strict=True) if p]
+        others = [t for t, p in zip(texts, plain, strict=True) if not p]
+        joined = self.tokenizer.encode_batch([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)
+        alone = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
+        sizes = [np.bincount(np.array(e.word_ids), minlength=min(JOINED, len(words) - i * JOINED)) for i, e in enumerate(joined)]
+        sizes = np.concatenate([*sizes, np.fromiter(map(len, alone), np.int64, len(alone))]).astype(np.int64)
+        order = [r for r, p in zip(runs, plain, strict=True) if p] + [r for r, p in zip(runs, plain, strict=True) if not p]
         at = len(self.seen)
-        if at + len(runs) + 1 > len(self.start):  # one text with more distinct runs than the memory holds
+        if at + len(runs) + 1 > len(self.start):  # one slice with more distinct runs than the memory holds
             self.start = np.concatenate([self.start, np.zeros(len(runs) + MEMORY, np.int64)])
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
         end = self.start[at] + np.cumsum(sizes)
         if end[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(end[-1])), np.uint32)])
         self.start[at + 1 : at + 1 + len(runs)] = end
-        self.ids[self.start[at] : end[-1]] = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        self.seen.update(zip(runs, range(at, at + len(runs)), strict=True))
+        self.ids[self.start[at] : end[-1]] = np.fromiter(chain(*(e.ids for e in joined), *alone), np.uint32, int(sizes.sum()))
+        self.seen.update(zip(order, range(at, at + len(runs)), strict=True))
 
     def encode(self, text: bytes | None) -> np.ndarray:
         return self.encode_many([text])[0]
