@@ -16,6 +16,7 @@ from threadloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Token shares of the mix, and its size as a multiple of what comes in. Documents that are good and not toxic are the bulk.
+#: They hold where more than the toxic share comes in; else the shares that come in do.
 TARGETS, BUDGET = {"clean": 0.97, "toxic": 0.03}, 1.0
 CAPACITY, END_ID = 4096, 1
 
@@ -55,12 +56,13 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate says, so that the domains' token shares become the targets.
+    """Each document as often as its fitted rate says, so that toxic text is at most its target share of the tokens.
 
+    No document is lost for which toxic isn't the likelier domain: its rate is 1 or more. Toxic text that is within its share stays.
     The whole part of a rate is that many rows; the rest decides by the hash of the id on one more.
     """
     label = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean")
-    fitted = mixing.mix(docs, _labels(spark, sf_dir), label, TARGETS, BUDGET)
+    fitted = mixing.mix(docs, _labels(spark, sf_dir), label, TARGETS, BUDGET, capped="toxic")
     times = mixing.copies(F.col("_rate"), F.col("doc_id"))
     rated = fitted.apply(docs.select(*COLUMNS), into="_rate").withColumn("_times", times)
     return rated.where("_times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)

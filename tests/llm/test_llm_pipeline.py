@@ -103,6 +103,29 @@ def test_mixing_stage(spark):
     assert np.mean([times[i] > 0 for i in clean]) > 0.95
 
 
+def test_mixing_loses_no_clean_document(spark, tmp_path):
+    """Under 3% of the tokens are toxic: nothing is dropped, nothing comes twice."""
+    rng = np.random.default_rng(5)
+    good, bad = [f"calm{i}" for i in range(50)], [f"vile{i}" for i in range(20)]
+    texts = [" ".join(rng.choice(bad if i % 130 == 7 else good, 40)) for i in range(520)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i % 130 != 7), int(i % 130 == 7)) for i in range(520)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter(r.doc_id for r in P.mix_sources(spark, docs, str(tmp_path)).collect())
+    assert got == Counter(range(520))
+
+
+def test_a_cap_thins_its_own_domain_only(spark):
+    """A tenth is toxic, and some clean documents have a posterior of it above a tenth."""
+    p_toxic = [0.02] * 700 + [0.15, 0.3, 0.45] * 60 + [0.97] * 100
+    rows = spark.createDataFrame([(i, 10, [1 - x, x]) for i, x in enumerate(p_toxic)], "doc_id long, _tokens long, _p array<double>")
+    moves, reached = mixing.fit_rates(rows, np.array([0.9, 0.1]), capped=1)
+    got = np.array([r.rate for r in rows.select("doc_id", mixing.rate(moves, capped=1).alias("rate")).orderBy("doc_id").collect()])
+    assert moves and (got[:880] >= 1).all() and (got[880:] < 1).all() and (got >= 0).all()
+    before = np.mean(p_toxic)
+    assert 0.09 < reached[1] < before
+    assert mixing.fit_rates(rows, np.array([0.8, 0.2]), capped=1)[0] == []
+
+
 def test_packing_stage_and_run(spark, docs):
     rows = P.pack(spark, docs, SF).collect()
     check_packing(rows, [(r.doc_id, reference_ids(r.text) + [1]) for r in docs.collect()], P.CAPACITY)

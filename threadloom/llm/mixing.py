@@ -25,6 +25,8 @@ from ._spark import durable
 TRAINING_ROWS = 4_000
 #: Projected-gradient steps at most, and the largest miss of a target's share at which they end.
 STEPS, TOLERANCE = 40, 1e-6
+#: With a capped domain, steps without a smaller miss after which they end.
+PATIENCE = 3
 
 
 @dataclass
@@ -104,20 +106,33 @@ def with_posteriors(docs: DataFrame, model: Domains, text_col: str = "text") ->
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
 
 
-def rate(moves: list[np.ndarray], p: str = "_p") -> Column:
-    """A document's rate: from 1, each step moves it along its posterior and cuts it at 0."""
+def least_rate(names: int, capped: int | None, p: str = "_p") -> Column:
+    """The bound of a document's rate: 0, but 1 where there is a capped domain and it isn't the likeliest."""
+    if capped is None:
+        return F.lit(0.0)
+    others = F.array_max(F.array(F.lit(0.0), *(F.get(F.col(p), F.lit(i)) for i in range(names) if i != capped)))
+    return F.when(F.get(F.col(p), F.lit(capped)) > others, 0.0).otherwise(1.0)
+
+
+def rate(moves: list[np.ndarray], p: str = "_p", capped: int | None = None) -> Column:
+    """A document's rate: from 1, each step moves it along its posterior and cuts it at its bound."""
     r = F.lit(1.0)
     for v in moves:
-        r = F.greatest(F.lit(0.0), r - sum((F.get(F.col(p), F.lit(k)) * float(x) for k, x in enumerate(v)), F.lit(0.0)))
+        r = F.greatest(least_rate(len(v), capped, p), r - sum((F.get(F.col(p), F.lit(k)) * float(x) for k, x in enumerate(v)), F.lit(0.0)))
     return r
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(
+    rows: DataFrame, targets: np.ndarray, budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE, capped: int | None = None
+) -> tuple[list[np.ndarray], np.ndarray]:
     """The steps' moves (K numbers each) and the shares reached, for ``targets`` shares of ``budget`` times all tokens.
 
     ``rows`` have _tokens and _p. Projected gradient on ``|sum_i r_i t_i p_i / T - targets|^2 / 2`` from r = 1, in the metric of the
     documents' tokens and of the second moments of the posteriors of documents above zero, which makes a step without
     cuts exact. Targets that no rates reach (a domain without any posterior) are met as well as the steps allow.
+
+    The share of a ``capped`` domain is only lowered: where the rows hold no more of it than its target, what they hold is
+    the target of each domain and all rates stay 1. Rates of documents for which it isn't the likeliest stay 1 or more.
     """
     k = len(targets)
     total = rows.agg(F.sum("_tokens")).first()[0] or 0
@@ -128,19 +143,31 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, budget: float = 1.0, steps:
     goal = np.asarray(targets, float) * budget
     at = lambda i: F.get("_p", F.lit(i))
     weight = F.col("_tokens") / F.lit(float(total))
+    best, best_miss, best_reached = 0, np.inf, reached
     for step in range(steps + 1):
-        live = F.when(F.col("r") > 0, weight).otherwise(0.0)
+        # at the first step with a cap, rows stand at their bound without having been cut
+        free = F.lit(True) if capped is not None and step == 0 else F.col("r") > least_rate(k, capped)
+        live = F.when(free, weight).otherwise(0.0)
         sums = [F.sum(F.col("r") * weight * at(i)) for i in range(k)]
         moments = {(i, j): F.sum(live * at(i) * at(j)) for i in range(k) for j in range(i, k)}
-        got = list(rows.withColumn("r", rate(moves)).agg(*sums, *moments.values()).first())
+        got = list(rows.withColumn("r", rate(moves, capped=capped)).agg(*sums, *moments.values()).first())
         reached = np.array(got[:k])
+        if capped is not None and step == 0 and reached[capped] <= goal[capped]:
+            return moves, reached
         miss = reached - goal
+        if (size := np.abs(miss).max()) < best_miss:
+            best, best_miss, best_reached = len(moves), size, reached
+        elif capped is not None and step - best >= PATIENCE:
+            break
         if np.abs(miss).max() <= tolerance or step == steps:
             break
         gram = np.zeros((k, k))
         for (i, j), x in zip(moments, got[k:], strict=True):
             gram[i, j] = gram[j, i] = x
-        moves.append(np.linalg.solve(gram + 1e-9 * np.eye(k), miss))
+        # bounds at 1 can leave rows of one posterior only, from which a capped fit takes no direction
+        moves.append(np.linalg.solve(gram + 1e-9 * np.eye(k), miss) if capped is None else np.linalg.lstsq(gram, miss, rcond=1e-6)[0])
+    if capped is not None:
+        return moves[:best], best_reached
     return moves, reached
 
 
@@ -152,17 +179,19 @@ class Mix:
     moves: list[np.ndarray]
     reached: dict[str, float]  # expected token share of each domain, of all tokens before
     rates: DataFrame  # doc_id, tokens, a posterior ``p_<name>`` for each domain, rate
+    capped: int | None = None
 
     def apply(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", into: str = "rate") -> DataFrame:
         """All rows and columns of ``docs`` with their rate."""
         rated = with_posteriors(docs, self.model, text_col)
-        return rated.withColumn(into, rate(self.moves)).drop("_tokens", "_p")
+        return rated.withColumn(into, rate(self.moves, capped=self.capped)).drop("_tokens", "_p")
 
 
 def mix(
-    docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text",
+    capped: str | None = None,
 ) -> Mix:
-    """Fit classifier and rates. ``targets`` are shares of ``budget`` times all tokens of ``docs``.
+    """Fit classifier and rates. ``targets`` are shares of ``budget`` times all tokens of ``docs``; for ``capped`` see fit_rates.
 
     Repeated rows get a rate each, null ids too; null and empty texts have no token and don't matter to the totals; an
     empty table gives no row. Further columns are not carried along in ``rates``, but by ``apply``.
@@ -171,10 +200,11 @@ def mix(
     model = train(docs, labels, domain, names)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     small = durable(with_posteriors(rows, model).drop("text"), "posteriors")
-    moves, reached = fit_rates(small, np.array([targets[n] for n in names]), budget)
+    cap = None if capped is None else names.index(capped)
+    moves, reached = fit_rates(small, np.array([targets[n] for n in names]), budget, capped=cap)
     own = [F.get("_p", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)]
-    rates = small.select("doc_id", F.col("_tokens").alias("tokens"), *own, rate(moves).alias("rate"))
-    return Mix(model, moves, dict(zip(names, reached.tolist(), strict=True)), rates)
+    rates = small.select("doc_id", F.col("_tokens").alias("tokens"), *own, rate(moves, capped=cap).alias("rate"))
+    return Mix(model, moves, dict(zip(names, reached.tolist(), strict=True)), rates, cap)
 
 
 def copies(rate: Column, id_col: Column, seed: int = 0) -> Column:
