@@ -167,6 +167,17 @@ def test_url_filter(spark, monkeypatch, limit):
     assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_url_rules_end_with_the_host(spark, monkeypatch, limit):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
+    paths = ["foo.com/a.net/b", "web.archive.org/web/2010/http://foo.net/x", "foo.net/x.org/fr/", "a.de/org/fr/", "community.io/com/", "com", "a.com", "x.com.de/", "netfoo/", "a.netfoo", "foo.b.net/fr/"]
+    urls = [f"http://{x}" for x in paths]
+    rules = [*queries.RULES, ("block", "com", ""), ("block", "net", "foo")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(map(repr, (tuple(r)[:5] for r in url_filter.filter_urls(df, rules).collect())))
+    assert got == sorted(repr((i, *judge(u, rules))) for i, u in enumerate(urls))
+
+
 def test_url_filter_stays_in_the_engine(spark):
     df = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     plan = url_filter.filter_urls(df, queries.RULES)._jdf.queryExecution().toString()

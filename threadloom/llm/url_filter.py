@@ -73,7 +73,7 @@ def filter_urls(
         index.setdefault(min(ts, key=lambda t: (heard.get(t, 0), t), default=""), []).append(i)
     table = spark.createDataFrame(
         [
-            (token, v, h + p, len(h + p), rf"(?s)^(.*\.)?{re.escape(h)}{re.escape(p)}")
+            (token, v, h + p, len(h + p), rf"(?s)^([^/]*\.)?{re.escape(h)}(?=/|\z){re.escape(p)}")  # a host holds no "/" and ends there
             for token, filed in index.items()
             for v, h, p, _ in (listed[i] for i in filed)
         ],
