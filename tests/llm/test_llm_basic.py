@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,21 @@ def test_knn_equals_brute_force(spark, monkeypatch):
     assert knn.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 6, 30])
+def test_knn_of_repeated_query_ids(spark, copies):
+    """As the SQL has it: the pairs of all rows of a query's id, in one list for the id."""
+    rng = np.random.default_rng(copies)
+    rows = [(50, [1.0, 0.0])] * copies + [(100, [0.9, 0.0]), (100, [0.0, 0.9])]
+    rows += [(101 + i % 30, [0.125, float(rng.integers(0, 8)) / 8]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with duckdb.connect() as con:
+        con.execute("create table embeddings (vec_id bigint, embedding double[])")
+        con.executemany("insert into embeddings values (?, ?)", rows)
+        want = sorted((q, r, v, s) for q, r, v, s in con.execute(queries.ORACLE["op3_voronoi_knn"]).fetchall())
+    assert len(want) == 10
+    assert sorted(tuple(r) for r in knn.top_k(df, 5, 50).collect()) == want
+
+
 def test_knn_prunes_clustered_data(spark):
     """Far groups are not copied to a query's group."""
     rng = np.random.default_rng(2)

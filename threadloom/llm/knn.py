@@ -60,6 +60,13 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _least(d: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` least of ``d`` ascending, with their ids, each id once by its least."""
+    order = np.lexsort((ids, d))
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:n]
+    return d[order[first]], ids[order[first]]
+
+
 def _first(mask: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(mask)[:n]
 
@@ -71,8 +78,9 @@ def top_k(
     inner product of floor(scale * x), the query's own id left out; ties to the smaller id; all if fewer.
 
     Null ids take no part, nor do vectors that are null, empty or hold null or non-finite components. Vectors of
-    different lengths are compared only with their own length. Repeated rows count once each. An empty table
-    gives no row. Scores are exact while ``length * max(|component|)**2 < 2**53``; beyond that the operator raises.
+    different lengths are compared only with their own length. Repeated rows count once each: an id has one list, ranked
+    over the pairs of each of its rows with each row of another id, as in the SQL, so the copies of a query bring a neighbour once each.
+    An empty table gives no row. Scores are exact while ``length * max(|component|)**2 < 2**53``; beyond that the operator raises.
     """
     vectors = quantise(df, id_col, vector_col, scale)
     top = F.max(F.array_max(F.transform("v", lambda e: F.abs(e)))).alias("top")
@@ -100,7 +108,8 @@ def _top_k(vectors: DataFrame, shape, kind: type, k: int, every: int, pivots: in
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = len(centre)
-        near = np.full((p, k + 1), np.inf)  # one more than k: a query may be among them itself
+        # of distinct ids, as no row with a query's id is an answer; one more than k: that id may be among them
+        near, near_ids = [np.zeros(0)] * p, [np.zeros(0, np.int64)] * p
         radius, reach = np.full(p, -1.0), np.full(p, -1.0)
         for b in batches:
             if b.num_rows:
@@ -108,32 +117,33 @@ def _top_k(vectors: DataFrame, shape, kind: type, k: int, every: int, pivots: in
                 g, d = _nearest(m, centre)
                 for j in np.unique(g):
                     own = g == j
-                    near[j] = np.sort(np.concatenate([near[j], d[own]]))[: k + 1]
+                    near[j], near_ids[j] = _least(np.concatenate([near[j], d[own]]), np.concatenate([near_ids[j], ids[own]]), k + 1)
                     if (q := own & (ids % every == 0)).any():
                         radius[j], reach[j] = max(radius[j], d[q].max()), max(reach[j], _norm(m[q]).max())
-        live = np.flatnonzero(np.isfinite(near[:, 0]))
-        yield pa.record_batch(
-            [pa.array(live.astype(np.int32)), pa.array(list(near[live])), pa.array(radius[live]), pa.array(reach[live])], names=["g", "near", "radius", "reach"]
-        )
+        live = np.flatnonzero([len(x) for x in near])
+        lists = [pa.array([x[j] for j in live], pa.list_(t)) for x, t in ((near, pa.float64()), (near_ids, pa.int64()))]
+        yield pa.record_batch([pa.array(live.astype(np.int32)), *lists, pa.array(radius[live]), pa.array(reach[live])], names=["g", "near", "ids", "radius", "reach"])
 
     # one row per group: the least of the partial lists of each partition, merged by aggregation
-    partial = vectors.mapInArrow(summarise, "g int, near array<double>, radius double, reach double")
-    each = partial.select("g", "radius", "reach", F.posexplode("near").alias("i", "d")).where(F.col("d") != float("inf"))
-    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("d"))).where(F.col("r") <= k + 1)
-    near = ranked.groupBy("g").agg(F.collect_list("d").alias("near"))
+    partial = vectors.mapInArrow(summarise, "g int, near array<double>, ids array<long>, radius double, reach double")
+    each = partial.select("g", F.inline(F.arrays_zip(F.col("near").alias("d"), F.col("ids").alias("id")))).groupBy("g", "id").agg(F.min("d").alias("d"))
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("d", "id"))).where(F.col("r") <= k + 1)
+    near = ranked.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))
     rows = near.join(partial.groupBy("g").agg(F.max("radius").alias("radius"), F.max("reach").alias("reach")), "g").collect()
 
     p = len(centre)
-    radius, reach, least = np.full(p, -1.0), np.full(p, 0.0), [np.zeros(0)] * p
+    radius, reach, least, of = np.full(p, -1.0), np.full(p, 0.0), [np.zeros(0)] * p, [np.zeros(0, np.int64)] * p
     for r in rows:
-        radius[r["g"]], reach[r["g"]], least[r["g"]] = r["radius"], max(0.0, r["reach"]), np.sort(r["near"])
+        radius[r["g"]], reach[r["g"]] = r["radius"], max(0.0, r["reach"])
+        least[r["g"]], of[r["g"]] = np.array([n["d"] for n in r["near"]]), np.array([n["id"] for n in r["near"]])
     # for any q of group i and v at distance d from pivot j: <q, v> >= <q, c_j> - |q| d, and <q, c_j> >= <c_i, c_j> - radius_i |c_j|
     cross, length = centre @ centre.T, _norm(centre)
     floor = np.full(p, -np.inf)
     for i in np.flatnonzero(radius >= 0):
         low = np.concatenate([cross[i, j] - radius[i] * length[j] - reach[i] * least[j] for j in range(p)])
-        if len(low) > k:
-            floor[i] = np.sort(low)[::-1][k]  # the (k+1)-th, as the query itself may be one of them
+        best = _least(-low, np.concatenate(of), k + 1)[0]  # an id can have rows in several groups
+        if len(best) > k:
+            floor[i] = -best[k]  # the (k+1)-th, as the query's id may be one of them
     slack = 1e-9 * (1 + np.abs(floor[np.isfinite(floor)]).max(initial=0) + reach.max(initial=0) * (length.max(initial=0) + 1))
     asked = np.flatnonzero(radius >= 0)
 
