@@ -177,6 +177,23 @@ def test_syncmers_equal_their_definition(spark):
     assert pos == [i for i in range(len(words) - 4) if min(pairs[i : i + 4]) in (pairs[i], pairs[i + 3])]
 
 
+def test_short_and_unspaced_texts_have_fingerprints(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    short = [(" ".join(word() for _ in range(5 + i % 2)), " ".join(word() for _ in range(5 + i % 2))) for i in range(40)]
+    han = "".join(chr(0x4E00 + rnd.randrange(2_000)) for _ in range(120))
+    token = "".join(rnd.choice("abcdefgh") for _ in range(300))
+    near = [(x, x[:60] + "q" + x[61:]) for x in (han, token)] + [("alpha beta gamma delta omega", "alpha beta gamma delta omegas"), ("one two three", "one two three")]
+    rows = [(i, *p) for i, p in enumerate(short + near + [(short[0][0], "")])]
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    for c in "ab":
+        df = syncmers.with_anchors(df, c, f"{c}_anchors").withColumn(f"{c}_own", syncmers.sketch(f"{c}_anchors"))
+    got = df.select("i", "b", F.size("a_own").alias("m"), F.size("b_own").alias("n"), syncmers.likeness("a_own", "b_own").alias("like")).orderBy("i").collect()
+    assert all(r.m > 0 and (r.n > 0) == (r.b != "") for r in got)
+    assert all(r.like < 0.2 for r in got[:40]) and got[-1].like == 0
+    assert all(r.like > 0.4 for r in got[40:44])
+
+
 def test_classifiers_on_held_out_rows(spark):
     truth = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     for name, label, bar in (("op10_quality_classifier", "quality", 0.97), ("op7_toxicity", "toxic", 0.965)):

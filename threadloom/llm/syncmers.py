@@ -7,11 +7,15 @@ the anchors; the share of common ones among the least of both documents estimate
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, S = 5, 2
+#: Words of more characters count as their characters, as do all words of a text of fewer units than surely hold an anchor.
+LONG, FEW = 24, 2 * K - S - 1
 #: Hashes a fingerprint keeps, of 32 bits each.
 SIZE = 64
 #: Documents of one bucket when each is set beside the next, and the most buckets (their bounds go through the driver).
@@ -20,14 +24,27 @@ BUCKET_ROWS, MOST_BUCKETS = 1_000, 40_000
 _LOW = (1 << 32) - 1
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _units(words: Column) -> Column:
+    """The words, long ones (or text without blanks) by characters; of few words their characters and the blanks between."""
+    by_char = lambda x: F.when(F.length(x) > LONG, F.split(x, "")).otherwise(F.array(x))
+    pieces = lambda w: F.when(F.exists(w, lambda x: F.length(x) > LONG), F.flatten(F.transform(w, by_char))).otherwise(w)
+    few = lambda w, p: F.when((F.size(p) > 0) & (F.size(p) < FEW), F.split(F.array_join(w, " "), "")).otherwise(p)
+    return _let(words, lambda w: _let(pieces(w), lambda p: few(w, p)))
+
+
 def with_anchors(df: DataFrame, text_col: str, into: str = "anchors") -> DataFrame:
-    """Adds ``into``: array of (pos, hash), the word position and 32-bit hash of each closed syncmer.
+    """Adds ``into``: array of (pos, hash), the position and 32-bit hash of each closed syncmer of words (see _units).
 
-    Null texts and texts without words have none; with fewer than K words the whole sequence is the only one.
+    Null texts and texts without words have none; where no syncmer is closed the whole sequence is the only anchor.
     """
     h, s, w = f"_{into}_h", f"_{into}_s", f"_{into}_w"
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")
-    hashed = df.withColumn(w, words).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
+    hashed = df.withColumn(w, _units(words)).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     at = lambda c, i: F.get(F.col(c), i)
     inner = F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*(at(h, i + j) for j in range(S))))
     hashed = hashed.withColumn(s, F.when(F.size(h) >= K, inner))
@@ -39,7 +56,8 @@ def with_anchors(df: DataFrame, text_col: str, into: str = "anchors") -> DataFra
     named = lambda i: F.struct(i.alias("pos"), F.xxhash64(*(at(h, i + j) for j in range(K))).bitwiseAND(F.lit(_LOW)).alias("hash"))
     whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).bitwiseAND(F.lit(_LOW)).alias("hash")))
     none = F.slice(whole, 1, 0)
-    made = F.when(F.size(h) >= K, F.transform(closed, named)).when(F.size(h) > 0, whole).otherwise(none)
+    found = F.when(F.size(h) >= K, F.transform(closed, named)).otherwise(none)
+    made = _let(found, lambda a: F.when((F.size(a) == 0) & (F.size(h) > 0), whole).otherwise(a))
     return hashed.withColumn(into, made).drop(h, s, w)
 
 
