@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine on hashed words, structure statistics and text metadata.
+"""Quality classifier: a factorisation machine on hashed words and structure statistics; metadata are left out.
 
 Pairwise weights have a low rank, so a document is scored in time linear in its features by
 ``sum_f ((sum_i v_if x_i)**2 - sum_i (v_if x_i)**2) / 2``.
