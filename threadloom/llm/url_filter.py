@@ -1,8 +1,9 @@
 """URL filter: pattern rules indexed by their rarest literal token (DataFrame functions only).
 
 Each rule becomes a regular expression over ``host || path`` and is filed under the one of its
-literal tokens that the URLs hold least often. A URL's own tokens fetch the rules filed under them;
-only those candidates run their expression.
+literal tokens that the URLs hold least often. The index is a table of (token, rule): an equi-join on the URLs' own
+tokens fetches candidates, and only those run their expression. There is one plan for any number of rules; Spark
+broadcasts the index where its written size allows that and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import durable
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules of up to this many are broadcast; larger sets are joined by a shuffle.
-BROADCAST_RULES = 100_000
 
 
 def url_host(url: Column) -> Column:
@@ -55,71 +56,46 @@ def filter_urls(
     with a host. Repeated rows and repeated or null ids are judged row by row; an empty table gives none.
     A rule without any literal token is tried on every URL. Further input columns are not carried along.
     """
-    spark = urls.sparkSession
     rows = urls.select(
-        F.col(id_col).alias("_id"), url_host(F.col(url_col)).alias("_host"), url_path(F.col(url_col)).alias("_path")
-    ).withColumn("_tokens", _tokens(F.concat("_host", "_path")))
-    listed = [(v, h, p, _rule_tokens(h, p)) for v, h, p in rules]
-    literals = sorted({t for *_, ts in listed for t in ts})
-    heard: dict[str, int] = {}
-    if literals:  # one count per literal of the rules
-        wanted = spark.createDataFrame([(t,) for t in literals], "token string")
-        if len(literals) <= BROADCAST_RULES:
-            wanted = F.broadcast(wanted)
-        counted = rows.select(F.explode("_tokens").alias("token")).join(wanted, "token").groupBy("token").count()
-        heard = {r["token"]: r["count"] for r in counted.collect()}
-    index: dict[str, list[int]] = {}
-    for i, (*_, ts) in enumerate(listed):
-        index.setdefault(min(ts, key=lambda t: (heard.get(t, 0), t), default=""), []).append(i)
-    table = spark.createDataFrame(
-        [
-            (token, v, h + p, len(h + p), rf"(?s)^([^/]*\.)?{re.escape(h)}(?=/|\z){re.escape(p)}")  # a host holds no "/" and ends there
-            for token, filed in index.items()
-            for v, h, p, _ in (listed[i] for i in filed)
-        ],
-        "_token string, _verdict string, _rule string, _length int, _pattern string",
+        F.struct(
+            F.monotonically_increasing_id().alias("n"),  # tells repeated rows apart
+            F.col(id_col).alias("id"),
+            url_host(F.col(url_col)).alias("host"),
+            url_path(F.col(url_col)).alias("path"),
+        ).alias("_row")
     )
-    entry = F.struct("_length", "_rule", "_verdict", "_pattern")
-    if len(listed) > BROADCAST_RULES:
-        return _by_shuffle(rows, table, id_col, default)
-    # the index is one small row: a map from a token to the rules filed under it, so no URL is moved
-    filed = table.groupBy("_token").agg(F.collect_list(entry).alias("_filed"))
-    one = filed.agg(F.map_from_entries(F.collect_list(F.struct("_token", "_filed"))).alias("_index"))
-    found = rows.crossJoin(F.broadcast(one)).withColumn(
-        "_candidates",
-        F.flatten(
-            F.filter(
-                F.transform(F.concat("_tokens", F.array(F.lit(""))), lambda t: F.element_at("_index", t)),
-                lambda c: c.isNotNull(),
-            )
-        ),
+    # every row has the empty token, under which rules without a literal are filed
+    tokens = F.concat(_tokens(F.concat("_row.host", "_row.path")), F.array(F.lit("")))
+    asked = rows.select("_row", F.explode(tokens).alias("_token"))
+    index = _index(asked.select("_token"), rules, urls.sparkSession)
+    key = F.concat("_row.host", "_row.path")
+    tried = asked.join(index, "_token", "left").where("_token = '' OR _pattern IS NOT NULL")
+    fits = F.call_function("regexp_like", key, F.col("_pattern"))
+    best = tried.groupBy("_row").agg(
+        F.max(F.when(fits, F.struct("_length", "_rule", "_verdict"))).alias("_best"), F.count("_pattern").cast("int").alias("candidates")
     )
-    key = F.concat("_host", "_path")
-    fits = F.filter("_candidates", lambda c: F.call_function("regexp_like", key, c["_pattern"]))
-    best = found.withColumn("_best", F.array_max(fits))
     return best.select(
-        F.col("_id").alias(id_col),
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
+        F.col("_row.id").alias(id_col),
+        F.col("_row.host").alias("host"),
+        F.col("_row.path").alias("path"),
         F.col("_best._rule").alias("rule"),
         F.coalesce("_best._verdict", F.lit(default)).alias("verdict"),
-        F.coalesce(F.size("_candidates"), F.lit(0)).alias("candidates"),
+        "candidates",
     )
 
 
-def _by_shuffle(rows: DataFrame, table: DataFrame, id_col: str, default: str) -> DataFrame:
-    """The same for rule sets too large to broadcast: candidates by a join on the token."""
-    keyed = rows.withColumn("_row", F.struct(F.monotonically_increasing_id(), F.col("_id"), F.col("_host"), F.col("_path")))
-    tried = keyed.select("_row", F.explode(F.concat("_tokens", F.array(F.lit("")))).alias("_token")).join(table, "_token", "left")
-    fits = F.call_function("regexp_like", F.concat("_row._host", "_row._path"), F.col("_pattern"))
-    best = tried.groupBy("_row").agg(
-        F.max(F.when(fits, F.struct("_length", "_rule", "_verdict"))).alias("_best"), F.count("_pattern").alias("_tried")
-    )
-    return best.select(
-        F.col("_row._id").alias(id_col),
-        F.col("_row._host").alias("host"),
-        F.col("_row._path").alias("path"),
-        F.col("_best._rule").alias("rule"),
-        F.coalesce("_best._verdict", F.lit(default)).alias("verdict"),
-        F.col("_tried").cast("int").alias("candidates"),
-    )
+def _index(held: DataFrame, rules: Sequence[tuple[str, str, str]], spark: SparkSession) -> DataFrame:
+    """(_token, _verdict, _rule, _length, _pattern): each rule once, under its token that stands least often in ``held``."""
+    table = [
+        # a host holds no "/" and ends where the rule's host ends
+        (i, v, h + p, len(h + p), rf"(?s)^([^/]*\.)?{re.escape(h)}(?=/|\z){re.escape(p)}", _rule_tokens(h, p) or [""])
+        for i, (v, h, p) in enumerate(rules)
+    ]
+    schema = "_i long, _verdict string, _rule string, _length int, _pattern string, _literals array<string>"
+    listed = durable(spark.createDataFrame(table, schema), "url-rules")
+    each = listed.select("_i", F.explode("_literals").alias("_token"))
+    literals = durable(each.select("_token").distinct(), "url-literals")
+    heard = held.join(literals, "_token").groupBy("_token").agg(F.count("*").alias("_n"))
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_token").alias("token"))).alias("_least")
+    filed = each.join(heard, "_token", "left").groupBy("_i").agg(rarest)
+    return durable(listed.join(filed, "_i").select(F.col("_least.token").alias("_token"), "_verdict", "_rule", "_length", "_pattern"), "url-index")
