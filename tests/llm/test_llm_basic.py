@@ -157,9 +157,15 @@ def judge(url, rules):
     return host, path, rule, verdict
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_url_filter(spark, monkeypatch, limit):
-    monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
+@pytest.fixture(params=["10m", "-1"])
+def joins(spark, request):
+    """Joins with and without a broadcast of the index."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_url_filter(spark, joins):
     rules = [*queries.RULES, ("block", "com", ""), ("allow", "b.example.com", "/de")]
     df = spark.createDataFrame([(i % 9, u, "x") for i, u in enumerate(URLS * 2)], "page_id long, url string, rule string")
     got = sorted(map(repr, (tuple(r)[:5] for r in url_filter.filter_urls(df, rules).collect())))
@@ -168,10 +174,9 @@ def test_url_filter(spark, monkeypatch, limit):
     assert {r.verdict for r in url_filter.filter_urls(df, []).collect()} == {"allow"}
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_url_rules_end_with_the_host(spark, monkeypatch, limit):
-    monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
-    paths = ["foo.com/a.net/b", "web.archive.org/web/2010/http://foo.net/x", "foo.net/x.org/fr/", "a.de/org/fr/", "community.io/com/", "com", "a.com", "x.com.de/", "netfoo/", "a.netfoo", "foo.b.net/fr/"]
+def test_url_rules_end_with_the_host(spark, joins):
+    paths = ["foo.org/x.net/", "web.archive.org/web/2020/http://www.example.com/de/a", "foo.com/y.org/fr/z", "foo.com/en/www.example.net/en/", "com.evil.org/", "company.com.de/"]
+    paths += ["foo.com/a.net/b", "web.archive.org/web/2010/http://foo.net/x", "foo.net/x.org/fr/", "a.de/org/fr/", "community.io/com/", "com", "a.com", "x.com.de/", "netfoo/", "a.netfoo", "foo.b.net/fr/"]
     urls = [f"http://{x}" for x in paths]
     rules = [*queries.RULES, ("block", "com", ""), ("block", "net", "foo")]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -179,6 +184,16 @@ def test_url_rules_end_with_the_host(spark, monkeypatch, limit):
     assert got == sorted(repr((i, *judge(u, rules))) for i, u in enumerate(urls))
 
 
+def test_url_index_fetches_few_of_many_rules(spark):
+    """10,000 rules: a URL runs the expressions of those filed under its own tokens, not of all."""
+    rules = [("block", f"h{i}.example.com", f"/p{i % 7}/") for i in range(10_000)] + queries.RULES
+    urls = [f"http://{'www.' * (i % 2)}h{i * 13}.example.com/p{i % 5}/x" for i in range(900)] + URLS
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(df, rules).collect()
+    assert sorted(repr(tuple(r)[:5]) for r in got) == sorted(repr((i, *judge(u, rules))) for i, u in enumerate(urls))
+    assert max(r.candidates for r in got) <= 8 and sum(r.candidates for r in got) < 4 * len(urls)
+
+
 def test_url_filter_stays_in_the_engine(spark):
     df = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     plan = url_filter.filter_urls(df, queries.RULES)._jdf.queryExecution().toString()
@@ -228,11 +243,40 @@ def test_knn_of_repeated_query_ids(spark, copies):
 
 
 def test_knn_prunes_clustered_data(spark):
-    """Far groups are not copied to a query's group."""
+    """Of eight far clusters no vector goes to the queries of another; unstructured data are moved once for all groups."""
     rng = np.random.default_rng(2)
     rows = [(i, (np.eye(8)[i % 8] * 20 + rng.normal(size=8) * 0.1).tolist()) for i in range(800)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(tuple(r) for r in knn.top_k(df, 5, 50).collect()) == brute_knn(rows, 5, 50)
+    report = {}
+    assert sorted(tuple(r) for r in knn.top_k(df, 5, 50, report=report).collect()) == brute_knn(rows, 5, 50)
+    assert report[8]["copied"] < 0.2, report
+    even = [(i, rng.normal(size=64).tolist()) for i in range(600)]
+    df = spark.createDataFrame(even, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in knn.top_k(df, 5, 50, report=report).collect()) == brute_knn(even, 5, 50)
+    assert report[64]["together"] > 1, report
+
+
+def test_knn_of_large_components_and_many_lengths(spark):
+    """Products beyond 53 bits are exact, and one odd vector ends nothing; rare lengths are compared, too."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 2 + i % 9)]) for i in range(300)]
+    rows += [(1000, [2.0**33, 1.0]), (1001, [2.0**20, 2.0**12]), (1002, [2.0**20, 2.0**12 + 1]), (1050, [1e300, -1.0]), (1051, [-1e300, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in knn.top_k(df, 5, 50).collect())
+    exact = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    ends = lambda n: max(-(2**63) + 1, min(2**63 - 1, n))
+    want = []
+    for q, x in exact:
+        if q % 50 == 0:
+            near = sorted((-ends(sum(a * b for a, b in zip(x, v, strict=True))), i) for i, v in exact if i != q and len(v) == len(x))[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
+    assert got == sorted(want)
+
+
+def test_knn_salts_are_even():
+    ids = np.arange(1 << 20)
+    seen = np.bincount([knn._salt(ids[at : at + knn.PACK], 16) for at in range(0, len(ids), knn.PACK)], minlength=16)
+    assert seen.min() > 32 and seen.max() < 100, seen
 
 
 def test_search_of_few_rows(spark):
