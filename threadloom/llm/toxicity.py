@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Presence of hashed n-grams (white space folded, A-Z lower-cased) is scaled by the log ratio of their counts in the two
-classes; a logistic regression with L2 penalty is fitted on that, and the product of both weights is the model.
+Presence of hashed n-grams (white space and ASCII punctuation folded, A-Z lower-cased) is scaled by the log ratio of their
+counts in the two classes; a logistic regression with L2 penalty is fitted on that, and the product of both weights is the
+model. Every n-gram enters whose log ratio is more than SURE of its standard deviations from 0; there is no cap on them.
 """
 
 from __future__ import annotations
@@ -17,19 +18,23 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import _text as T
 from ._labels import held_out, training_rows
+from ._spark import durable
 
 BITS = 19
 GRAMS = (4, 5, 6)
 #: Most labelled documents a fit learns from.
 TRAINING_ROWS = 5_000
-#: Most n-grams that enter the model, by the size of their log ratio times the root of their count.
-FEATURES = 1_000
+#: Standard deviations from 0 from which on an n-gram's log ratio counts.
+SURE = 3.5
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[c for c in range(128) if not chr(c).isalnum() and (c > 32 or 9 <= c <= 13)]] = True
 
 
 def _folded(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower case, white space as one kind of byte, and a blank before and after each row."""
+    """Lower case, white space and punctuation as one kind of byte, and a blank before and after each row."""
     low = T.lower_ascii(buf)
-    low = np.where((low >= 9) & (low <= 13), np.uint8(32), low)
+    low = np.where(_BLANK[low], np.uint8(32), low)
     size = np.diff(offsets)
     out = np.full(len(low) + 2 * len(size), 32, np.uint8)
     row = np.repeat(np.arange(len(size)), size)
@@ -81,8 +86,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 2e-3, smooth: float = 1.0, rounds: int = 120) -> Model:
-    """``rows``: distinct ids of each document. Without documents of both classes the model is their share."""
+def log_ratios(toxic: np.ndarray, clean: np.ndarray, n: tuple[int, int], smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratio of the shares of toxic and clean documents that hold an n-gram, and how many standard deviations it is from 0."""
+    p, q = toxic + smooth, clean + smooth
+    ratio = np.log(p / (n[1] + 2 * smooth)) - np.log(q / (n[0] + 2 * smooth))
+    return ratio, np.abs(ratio) / np.sqrt(1 / p + 1 / q)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-5, rounds: int = 100) -> Model:
+    """``rows``: distinct ids of each document. Without documents of both classes the model is their share.
+
+    A class weighs by the root of its number of documents, so that the rarer one isn't outvoted.
+    """
     size = 1 << BITS
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 1e-3
     bias = float(np.log(share / (1 - share)))
@@ -91,13 +106,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 2e-3, smoot
     count = [np.zeros(size), np.zeros(size)]
     for ids, y in zip(rows, labels, strict=True):
         count[y][ids] += 1
-    p, q = count[1] + smooth, count[0] + smooth
-    n1, n0 = labels.sum() + 2 * smooth, (1 - labels).sum() + 2 * smooth
-    ratio = np.log(p / n1) - np.log(q / n0)  # of the share of documents of each class that hold the n-gram
-    seen = count[0] + count[1]
-    worth = np.abs(ratio) * np.sqrt(seen) * (seen > 1)
-    keep = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
-    keep = keep[worth[keep] > 0]
+    ratio, sure = log_ratios(count[1], count[0], (int((1 - labels).sum()), int(labels.sum())))
+    keep = np.flatnonzero(sure >= SURE)
     index = np.full(size, -1, np.int32)
     index[keep] = np.arange(len(keep))
     own = [index[r] for r in rows]
@@ -105,13 +115,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 2e-3, smoot
     length = np.array([len(r) for r in own])
     flat, row = np.concatenate(own), np.repeat(np.arange(len(own)), length)
     r = ratio[keep]
-    w, b = np.zeros(len(keep)), bias
+    w, b = np.zeros(len(keep)), bias / 2
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     y = labels.astype(float)
+    weight = np.where(y == 1, ((1 - share) / share) ** 0.5, 1.0)
+    weight /= weight.sum()
     for t in range(1, rounds + 1):  # Adam on the whole sample
         z = np.bincount(row, (w * r)[flat], len(own)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(own)
-        g = np.append(np.bincount(flat, error[row], len(keep)) * r + penalty * w / len(keep) ** 0.5, error.sum())
+        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
+        g = np.append(np.bincount(flat, error[row], len(keep)) * r + penalty * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -121,18 +133,43 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 2e-3, smoot
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS) -> Model:
-    """Features are made where the texts are; the driver gets distinct ids of at most ``rows`` documents."""
+    """The model of at most ``rows`` labelled documents.
+
+    N-grams are counted where the texts are and the counts added up by Spark; the driver gets the n-grams that enter the model
+    (at most 2**BITS) and which of them each document holds.
+    """
+    sample = durable(training_rows(docs, labels, label, rows).select("label", "text"), "labelled")
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if not (n.get(0) and n.get(1)):
+        return fit([], np.repeat([0, 1], [n.get(0, 0), n.get(1, 0)]))
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
-            offsets, buf = T.as_bytes(batch.column(0))
+            offsets, buf = T.as_bytes(batch.column(1))
+            labelled = batch.column(0).to_numpy()
             for lo, hi in T.chunks(offsets):
                 own = offsets[lo : hi + 1]
-                for i, ids in enumerate(features(buf[own[0] : own[-1]], own - own[0])):
-                    yield pa.record_batch([batch.column(1).slice(lo + i, 1), pa.array([ids.tobytes()], pa.binary())], names=["label", "ids"])
-
-    sample = training_rows(docs, labels, label, rows).select("text", "label")
-    got = sample.mapInArrow(extract, "label int, ids binary").toArrow()
+                yield from zip(labelled[lo:hi], features(buf[own[0] : own[-1]], own - own[0]), strict=True)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int32)
+        for y, ids in each(batches):
+            seen[y, ids] += 1
+        live = np.flatnonzero(seen.any(0))
+        yield pa.record_batch([pa.array(live.astype(np.int32)), pa.array(seen[0, live]), pa.array(seen[1, live])], names=["gram", "clean", "toxic"])
+
+    total = sample.mapInArrow(count, "gram int, clean int, toxic int").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    p, q = F.col("toxic") + 1.0, F.col("clean") + 1.0  # as in log_ratios
+    ratio = F.log(p / (n[1] + 2.0)) - F.log(q / (n[0] + 2.0))
+    strong = total.where(F.abs(ratio) / F.sqrt(1 / p + 1 / q) >= SURE - 1e-6).select("gram").toArrow()["gram"].to_numpy()
+    live = np.zeros(1 << BITS, bool)
+    live[strong] = True
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, ids in each(batches):
+            yield pa.record_batch([pa.array([int(y)], pa.int32()), pa.array([ids[live[ids]].tobytes()], pa.binary())], names=["label", "ids"])
+
+    got = sample.mapInArrow(held, "label int, ids binary").toArrow()
     return fit([np.frombuffer(x, np.int32) for x in got["ids"].to_pylist()], got["label"].to_numpy())
 
 
