@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
     [
         ("", None), ("   ", None), ("\t \n", None), ("foo bar", '"foo" "bar"'), ("claude-transcript", '"claude" "transcript"'), ("foo_bar", '"foo" "bar"'),
         ('foo"bar', "foobar"), ('"hello world"', '"hello world"'), ("walk*", "walk*"), ("one", "one"), ("a b c", '"a" OR "b" OR "c"'),
-        ("a A b c", '"a" OR "b" OR "c"'), ("foo AND (bar)", "foo AND bar"), ("[*^]", None), ("x: {y}", '"x" "y"'),
+        ("a A b c", '"a" OR "b" OR "c"'), ("foo AND (bar)", "foo AND bar"), ("[*^]", None), ("x: {y}", '"x" "y"'), ("foo:bar a b", '"foobar" OR "a" OR "b"'), ("The the THE", "the"), ("(AND)", "AND"),
     ],
 )
 def test_clean(raw, want):

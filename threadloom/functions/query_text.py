@@ -6,9 +6,13 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-#: Fixed values of the clean-up rules.
+#: Fixed values of the clean-up rules: shares and counts, the words that make a query boolean, the characters that such
+#: a query keeps, and those that go from any other.
 HIGH_SHARE = 0.15
 RAREST = 5
+OPERATORS = r"\b(AND|OR|NOT|NEAR)\b"
+NOT_KEPT = r"""[^a-zA-Z0-9\s"*.\-_'/]"""
+DELETED = r'[*^:{}\[\]()"]'
 
 
 @dataclass(frozen=True)
@@ -60,29 +64,26 @@ def clean(raw: str, share: Callable[[str], float] | None = None) -> str | None:
     text = joined_words(text)
     if text.count('"') % 2:
         text = text.replace('"', "")
-    if re.search(r"\b(AND|OR|NOT|NEAR)\b", text):
-        kept = re.sub(r"""[^a-zA-Z0-9\s"*.\-_'/]""", "", text)
-        return re.sub(r"\s+", " ", kept).strip() or None
-    if re.fullmatch(r'"[^"]+"', text) or re.fullmatch(r"[A-Za-z0-9_]+\*?", text):
+    if re.search(OPERATORS, text):
+        kept = " ".join(re.sub(NOT_KEPT, "", text).split())
+        if kept:
+            return kept
+    if re.fullmatch(r'"[^"]+"\s*|[A-Za-z0-9_]+\*?\s*', text):
         return text
-    words = re.sub(r'[*^:{}\[\]()"]', " ", text).split()
-    if not words:
-        return None
+    words = re.sub(DELETED, "", text).split()
     if len(words) <= 2:
-        return words[0] if len(words) == 1 else " ".join(f'"{w}"' for w in words)
-    kept = words
-    if share is not None:
-        shares = {w: share(w) for w in dict.fromkeys(words)}
-        kept = [w for w in words if shares[w] < HIGH_SHARE]
-    once: dict[str, str] = {}
-    for w in kept:
-        once.setdefault(w.lower(), w)
-    kept = list(once.values())
+        return None if not words else words[0] if len(words) == 1 else _all_of(words)
+    once = list(dict.fromkeys(w.lower() for w in words))
+    kept = once if share is None else [w for w in once if share(w) < HIGH_SHARE]
     if not kept:
-        kept = sorted(dict.fromkeys(words), key=lambda w: shares[w])[:RAREST]
-    if len(kept) == 1:
-        return kept[0]
-    return (" " if len(kept) == 2 else " OR ").join(f'"{w}"' for w in kept)
+        kept = sorted(once, key=share)[:RAREST]
+    if len(kept) <= 2:
+        return kept[0] if len(kept) == 1 else _all_of(kept)
+    return " OR ".join(f'"{w}"' for w in kept)
+
+
+def _all_of(words: list[str]) -> str:
+    return " ".join(f'"{w}"' for w in words)
 
 
 def parse(expression: str | None, tokenise: Callable[[str], list[str]]) -> object | None:

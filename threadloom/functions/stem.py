@@ -19,7 +19,20 @@ def tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def python_tokens(text: str) -> list[str]:
+#: Marks after a letter belong to its token; they go when it is stemmed.
+MARKED = r"[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*"
+
+
+def word_tokens(text: str | Column) -> Column:
+    """The same with combining marks kept on their letters, as the stemmed index takes them."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(MARKED), F.lit(0))
+
+
+def python_tokens(text: str, marks: bool = False) -> list[str]:
+    if marks:
+        text = unicodedata.normalize("NFC", text)
+        text = "".join(c for c in text if not unicodedata.combining(c))
     return re.findall(r"[^\W_]+", text.lower())
 
 

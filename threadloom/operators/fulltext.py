@@ -1,137 +1,20 @@
-"""Keyword search: postings, vocabulary, boolean matching and BM25 over hot messages."""
+"""What a keyword search shows of its hits. Searching itself is in ``search_index``."""
 
 from __future__ import annotations
 
-import math
 import re
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.query_text import And, Not, Or, Phrase, clean, parse, phrases
-from threadloom.functions.stem import python_tokens, stem, stemmed, tokens
-from threadloom.operators.messages import hot, in_scope, infer_role, preview
+from threadloom.functions.query_text import phrases
+from threadloom.functions.stem import stem
 
-#: Fixed values of the ranking function.
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
-
-def indexed(messages: DataFrame) -> DataFrame:
-    """Hot messages with their tokens and how many."""
-    return hot(messages).withColumn("_tokens", tokens("message_text")).withColumn("_len", F.size("_tokens"))
-
-
-def postings(messages: DataFrame, stems: bool = False) -> DataFrame:
-    """(term, message_id, tf, positions). Stems are made once for each distinct term."""
-    at = indexed(messages).select("message_id", F.posexplode("_tokens").alias("pos", "term"))
-    if stems:
-        known = at.select("term").distinct().withColumn("stem", stemmed("term"))
-        at = at.join(known, "term").select("message_id", "pos", F.col("stem").alias("term"))
-    return at.groupBy("term", "message_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
-def vocabulary(messages: DataFrame) -> DataFrame:
-    """(term, doc, cnt): messages that hold the term, and occurrences. One shuffle of per-task sums."""
-    counted = indexed(messages).select(F.explode("_tokens").alias("term"), "message_id")
-    return counted.groupBy("term", "message_id").count().groupBy("term").agg(F.count("*").alias("doc"), F.sum("count").alias("cnt"))
-
-
-def term_shares(messages: DataFrame, words: list[str]) -> DataFrame:
-    """(term, doc, share of hot messages) for each of the words, 0 where no message holds it."""
-    m = indexed(messages)
-    aggs = [F.count_if(F.array_contains("_tokens", w)).alias(f"w{i}") for i, w in enumerate(words)]
-    one = m.agg(F.count("*").alias("total"), *aggs)
-    pairs = F.array(*(F.struct(F.lit(w).alias("term"), F.col(f"w{i}").alias("doc")) for i, w in enumerate(words)))
-    return one.select("total", F.inline(pairs)).select("term", "doc", F.when(F.col("total") > 0, F.col("doc") / F.col("total")).otherwise(0.0).alias("share"))
-
-
-def rarest(messages: DataFrame, words: list[str], n: int = 5) -> DataFrame:
-    order = F.array_position(F.array(*map(F.lit, words)), F.col("term"))
-    return term_shares(messages, words).orderBy("share", order).limit(n)
-
-
-def _count(p: Phrase, t: str = "_tokens") -> Column:
-    """How often a phrase occurs. The tokens are bound once a row, so that no inner function makes them again."""
-    same = lambda x, w, last: x.startswith(w) if p.prefix and last else x == w
-    m = len(p.tokens)
-
-    def count(a: Column) -> Column:
-        if m == 1:
-            return F.size(F.filter(a, lambda x: same(x, p.tokens[0], True)))
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(a) - m),
-            lambda i: reduce(lambda x, y: x & y, [same(F.get(a, i + j), w, j == m - 1) for j, w in enumerate(p.tokens)]),
-        )
-        return F.when(F.size(a) >= m, F.size(starts)).otherwise(0)
-
-    return F.get(F.transform(F.array(t), count), F.lit(0))
-
-
-def _matches(plan: object, where: dict[Phrase, Column]) -> Column:
-    if isinstance(plan, Phrase):
-        return where[plan] > 0
-    if isinstance(plan, Not):
-        return _matches(plan.keep, where) & ~_matches(plan.drop, where)
-    parts = [_matches(p, where) for p in plan.parts]
-    return reduce((lambda a, b: a & b) if isinstance(plan, And) else (lambda a, b: a | b), parts)
-
-
-def match(messages: DataFrame, plan: object | None) -> DataFrame:
-    """Hot messages that fit the plan, with ``rank`` (negative BM25; smaller is better).
-
-    Counts, lengths and frequencies are those of the whole hot index, whatever filters follow. One scan for the
-    statistics (a single row), one for the scores; no message is moved.
-    """
-    base = indexed(messages)
-    if plan is None:
-        return base.withColumn("rank", F.lit(0.0)).limit(0)
-    each = list(dict.fromkeys(phrases(plan)))
-    counted = base.select("*", *(_count(p).alias(f"_f{i}") for i, p in enumerate(each)))
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(each))))
-    where = {p: F.col(f"_f{i}") for i, p in enumerate(each)}
-    hits = counted.where(_matches(plan, where)).crossJoin(F.broadcast(stats))
-    length = K1 * (1 - B + B * F.col("_len") / F.col("_avg"))
-    score = F.lit(0.0)
-    for p in phrases(plan):
-        i = each.index(p)
-        idf = F.log((F.col("_n") - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        score = score + idf * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + length)
-    return hits.withColumn("rank", -score)
-
-
-def plan_of(messages: DataFrame, query: str, skip_idf: bool = False) -> object | None:
-    """Clean up and parse a query; one pass counts all of its words."""
-    share = None
-    if not skip_idf:
-        words = {w: python_tokens(w) for w in query.split()}
-        flat = sorted({min(t) for t in words.values() if t})
-        got = {r["term"]: r["share"] for r in term_shares(messages, flat).collect()} if flat else {}  # as many rows as words in the query
-        share = lambda w: got.get(min(python_tokens(w), default=""), 0.0)
-    return parse(clean(query, share), python_tokens)
-
-
-def search(
-    messages: DataFrame, query: str, limit: int = 20, project: str | None = None, session: str | None = None, exclude: str | None = None,
-    skip_idf: bool = False, plan: object | None = None,
-) -> DataFrame:
-    """The best hot messages by BM25; filters come after the ranking's statistics. What can't be parsed finds nothing."""
-    plan = plan if plan is not None else plan_of(messages, query, skip_idf)
-    hits = in_scope(match(messages, plan), project, session, exclude).withColumn("_r", F.round("rank", 9))
-    top = hits.orderBy("_r", "created_at", "message_id").limit(limit)
-    return top.select("message_id", "session_id", "message_seq", "project_id", "created_at", infer_role().alias("message_role"), *preview(), "rank")
-
-
-def search_counts(messages: DataFrame, plan: object | None, project: str | None = None, exclude: str | None = None) -> DataFrame:
-    """Hits of each session."""
-    return in_scope(match(messages, plan), project, None, exclude).groupBy("session_id").agg(F.count("*").alias("hits"))
-
-
-def snippet_of(text: str, plan: object, size: int = 64, open_: str = ">>>", close: str = "<<<", more: str = "...") -> str:
+def snippet_of(text: str, plan: object, stems: bool = False, size: int = 64, open_: str = ">>>", close: str = "<<<", more: str = "...") -> str:
     """At most ``size`` tokens of the text from shortly before the first match on, matches marked."""
-    spans = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text)]
+    spans = [(m.start(), m.end(), stem(m[0]) if stems else m[0].lower()) for m in re.finditer(r"[^\W_]+", text)]
     hit = [False] * len(spans)
     for p in phrases(plan):
         for i in range(len(spans) - len(p.tokens) + 1):
@@ -151,19 +34,11 @@ def snippet_of(text: str, plan: object, size: int = 64, open_: str = ">>>", clos
     return (more if lo else "") + "".join(out) + (more if hi < len(spans) else "")
 
 
-def with_snippet(hits: DataFrame, plan: object, text: str = "message_text") -> DataFrame:
+def with_snippet(hits: DataFrame, plan: object, text: str = "message_text", stems: bool = False) -> DataFrame:
     """Adds ``match_snippet``; for the rows of a result, not for a scan."""
 
     @F.pandas_udf("string")
     def mark(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: snippet_of(t or "", plan))
+        return texts.map(lambda t: snippet_of(t or "", plan, stems))
 
     return hits.withColumn("match_snippet", mark(text))
-
-
-def idf(total: int, having: int) -> float:
-    x = math.log((total - having + 0.5) / (having + 0.5))
-    return x if x > 0 else LEAST_IDF
-
-
-__all__ = ["And", "Not", "Or", "Phrase", "idf", "match", "plan_of", "postings", "rarest", "search", "search_counts", "snippet_of", "stem", "term_shares", "vocabulary", "with_snippet"]

@@ -11,7 +11,8 @@ from threadloom.functions import vector as V
 from threadloom.functions.query_text import And, Not, Or, Phrase
 from threadloom.functions.stem import tokens
 from threadloom.operators import attribution, fulltext, fusion, messages, semantic, store
-from threadloom.plans import views
+from threadloom.operators.search_index import Index
+from threadloom.plans import storage, views
 from threadloom.plans.views import DOC_MESSAGES_SQL, EPOCH, MESSAGES_SQL, doc_messages, table, vectors_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,9 +109,9 @@ def flt_grep(spark, sf_dir):
     return messages.grep(doc_messages(spark, sf_dir), "li[cz]en[a-z]+")
 
 
-@query(D + _GREP.format(p="the\\(", view="doc_messages", limit=5))
+@query(D + _GREP.format(p="\\*\\*\\*", view="doc_messages", limit=5))
 def flt_grep_literal(spark, sf_dir):
-    return messages.grep(doc_messages(spark, sf_dir), "the(", limit=5)
+    return messages.grep(doc_messages(spark, sf_dir), "***", limit=5)
 
 
 @query(M + """ SELECT count(*) FILTER (WHERE retrieval_class = 'hot') AS hot_count, count(*) FILTER (WHERE retrieval_class = 'agent') AS agent_count,
@@ -298,38 +299,53 @@ def fts_tokenize(spark, sf_dir):
     return t.select("message_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.slice("t", 1, 5), " ").alias("first_tokens"))
 
 
+_indexes: dict[tuple[str, str, bool], Index] = {}
+
+
+def _index(spark, sf_dir, stems=False) -> Index:
+    """The stored postings of the documents' messages; written at first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, stems)
+    if key not in _indexes:
+        _indexes[key] = Index.build(doc_messages(spark, sf_dir), storage.scratch(spark, "index"), stems)
+    return _indexes[key]
+
+
 @query(_TOKENS + ", x AS (SELECT message_id, unnest(toks) AS term FROM t) SELECT term, count(DISTINCT message_id) AS doc, count(*) AS cnt FROM x GROUP BY term")
 def fts_vocab(spark, sf_dir):
-    return fulltext.vocabulary(doc_messages(spark, sf_dir))
+    return _index(spark, sf_dir).vocabulary()
 
 
 @query(_TOKENS + ", x AS (SELECT message_id, unnest(toks) AS term FROM t) SELECT term, message_id, count(*) AS tf FROM x GROUP BY term, message_id")
 def fts_index(spark, sf_dir):
-    return fulltext.postings(doc_messages(spark, sf_dir)).drop("positions")
+    return _index(spark, sf_dir).postings().select("term", "message_id", F.size("positions").cast("long").alias("tf"))
 
 
 @query()
 def fts_index_stemmed(spark, sf_dir):
-    return fulltext.postings(doc_messages(spark, sf_dir), stems=True).select("term", "message_id", "tf")
+    return _index(spark, sf_dir, True).postings().select("term", "message_id", F.size("positions").cast("long").alias("tf"))
 
 
 WORDS = ["the", "license", "public", "trash", "und", "clown", "nowhere"]
 _SHARES = _TOKENS + f""", s AS (SELECT w.term, w.i, count(*) FILTER (WHERE list_contains(toks, w.term)) AS doc, count(*) AS n FROM t, (SELECT unnest({WORDS}) AS term, generate_subscripts({WORDS}, 1) AS i) w GROUP BY ALL)"""
 
 
+def _shares(spark, sf_dir):
+    return _index(spark, sf_dir).shares(WORDS)
+
+
 @query(_SHARES + " SELECT term, doc, round(doc / n, 9) AS share FROM s")
 def agg_df(spark, sf_dir):
-    return fulltext.term_shares(doc_messages(spark, sf_dir), WORDS).withColumn("share", F.round("share", 9))
+    return _shares(spark, sf_dir).select("term", "doc", F.round("share", 9).alias("share"))
 
 
 @query(_SHARES + " SELECT term, doc, round(doc / n, 9) AS share FROM s ORDER BY doc / n, i LIMIT 5")
 def rarest5(spark, sf_dir):
-    return fulltext.rarest(doc_messages(spark, sf_dir), WORDS).withColumn("share", F.round("share", 9))
+    return _shares(spark, sf_dir).orderBy("share", "i").limit(5).select("term", "doc", F.round("share", 9).alias("share"))
 
 
 @query(_SHARES + " SELECT term FROM s WHERE doc / n < 0.15")
 def idf_filter(spark, sf_dir):
-    return fulltext.term_shares(doc_messages(spark, sf_dir), WORDS).where("share < 0.15").select("term")
+    return _shares(spark, sf_dir).where("share < 0.15").select("term")
 
 
 def _bm25_sql(counts: dict[str, str], where: str, limit: int) -> str:
@@ -354,7 +370,7 @@ _PHRASE = "CASE WHEN len(toks) >= 3 THEN len(list_filter(range(1, len(toks) - 1)
 
 
 def _keyword(spark, sf_dir, plan, limit=20, **scope):
-    return fulltext.search(doc_messages(spark, sf_dir), "", limit, plan=plan, **scope).withColumn("rank", F.round("rank", 6))
+    return _index(spark, sf_dir).search(doc_messages(spark, sf_dir), "", limit, plan=plan, **scope).withColumn("rank", F.round("rank", 6))
 
 
 @query(f"{_TOKENS}, {_bm25_sql(_OR, 'f1 > 0 OR f2 > 0 OR f3 > 0', 20)}{_FTS_OUT}")
@@ -385,9 +401,10 @@ def fts_prefix(spark, sf_dir):
     return _keyword(spark, sf_dir, Phrase(("licen",), prefix=True))
 
 
-@query(f"{_TOKENS}, {_bm25_sql(_OR, '(f1 > 0 OR f2 > 0 OR f3 > 0)', 1_000_000)} SELECT session_id, count(*) AS hits FROM top_fts WHERE project_id = 'p1' AND session_id <> 'src4' GROUP BY session_id")
+@query(f"{_TOKENS}, {_bm25_sql(_OR, '(f1 > 0 OR f2 > 0 OR f3 > 0)', 1_000_000)} SELECT session_id, count(*) AS hits FROM top_fts WHERE project_id = 'p1' AND session_id <> 'src4' GROUP BY ROLLUP (session_id)")
 def agg_fts_meta(spark, sf_dir):
-    return fulltext.search_counts(doc_messages(spark, sf_dir), OR_PLAN, project="p1", exclude="src4")
+    """Hits of each session, and of all in the row without a session."""
+    return _index(spark, sf_dir).counts(OR_PLAN, project="p1", exclude="src4")
 
 
 @query(f"""{_TOKENS}, {_bm25_sql(_OR, "(f1 > 0 OR f2 > 0 OR f3 > 0) AND project_id = 'p1'", 10)}{_FTS_OUT}""")
@@ -395,12 +412,40 @@ def join_fts_msgs(spark, sf_dir):
     return _keyword(spark, sf_dir, OR_PLAN, 10, project="p1")
 
 
+def _stem(*endings: str, of: str) -> str:
+    return f"len(list_filter(toks, lambda x: regexp_full_match(x, '{of}({'|'.join(endings)})?')))"
+
+
+_STEMS = {"f1": _stem("e", "es", "ed", "ing", of="licens"), "f2": _stem("s", "ed", "ing", of="clown"), "f3": _stem("es", "ed", "ing", of="trash")}
+
+
+@query(f"{_TOKENS}, {_bm25_sql(_STEMS, 'f1 > 0 OR f2 > 0 OR f3 > 0', 20)}{_FTS_OUT}")
+def fts_stem(spark, sf_dir):
+    """Words in other forms than the messages': the index holds stems, and so does the query. The SQL lists the forms."""
+    index = _index(spark, sf_dir, True)
+    found = index.search(doc_messages(spark, sf_dir), "licensing clowns trashed", skip_idf=True)
+    return found.withColumn("rank", F.round("rank", 6))
+
+
 @query()
 def fts_match_bm25(spark, sf_dir):
-    """From what a user types, by the clean-up rules, with marked snippets."""
-    m = doc_messages(spark, sf_dir)
-    plan = fulltext.plan_of(m, "the public license and clown-trash")
-    return fulltext.with_snippet(fulltext.search(m, "", plan=plan).join(m.select("message_id", "message_text"), "message_id"), plan).drop("message_text")
+    """From what a user types, by the clean-up rules, over stems, with marked snippets."""
+    m, index = doc_messages(spark, sf_dir), _index(spark, sf_dir, True)
+    plan = index.plan_of("the public licenses and clown-trash")
+    found = index.search(m, "", plan=plan).join(m.select("message_id", "message_text"), "message_id")
+    return fulltext.with_snippet(found, plan, stems=True).drop("message_text")
+
+
+_RAW = ["", "foo bar", "claude-transcript", 'foo"bar', '"hello world"', "walk*", "foo:bar a b", "The the THE", "a AND (b)", "x-y-z", "[*^]", "license the public trash und clown", "the und"]
+
+
+@query("""SELECT * FROM (VALUES (0, NULL), (1, '"foo" "bar"'), (2, '"claude" "transcript"'), (3, 'foobar'), (4, '"hello world"'), (5, 'walk*'), (6, '"foobar" OR "a" OR "b"'), (7, 'the'), (8, 'a AND b'),
+(9, '"x" "y-z"'), (10, NULL), (11, '"license" OR "the" OR "public" OR "trash" OR "und" OR "clown"'), (12, '"the" "und"')) AS t(i, expression)""")
+def fts_sanitize(spark, sf_dir):
+    """What is typed, and the expression that is looked for (without the vocabulary's shares); the SQL states the rules' results."""
+    from threadloom.functions.query_text import clean
+
+    return spark.createDataFrame([(i, clean(x)) for i, x in enumerate(_RAW)], "i int, expression string")
 
 
 # --- fusion --------------------------------------------------------------------------------------------------------
@@ -431,7 +476,7 @@ _FUSED_OUT = " SELECT message_id, session_id, message_seq, created_at, message_p
 
 def _fused(spark, sf_dir, decay=None):
     m, v = doc_messages(spark, sf_dir), views.vectors(spark, sf_dir, 50)
-    k = fusion.ranked(fulltext.search(m, "", LIMIT * fusion.FETCH, plan=OR_PLAN).withColumn("_r", F.round("rank", 9)), "fts", "_r", "created_at", "message_id")
+    k = fusion.ranked(_index(spark, sf_dir).search(m, "", LIMIT * fusion.FETCH, plan=OR_PLAN).withColumn("_r", F.round("rank", 9)), "fts", "_r", "created_at", "message_id")
     s = semantic.search(m, v, _query_vector(spark, sf_dir), LIMIT * fusion.FETCH, semantic.is_tolerant(m, v))
     s = fusion.ranked(s.withColumn("_r", -F.round("similarity", 9)), "semantic", "_r", "created_at", "message_id")
     return fusion.fuse(k, s, NOW, decay)
