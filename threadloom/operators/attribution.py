@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import subprocess
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,19 +64,34 @@ def lines_by_file(added: DataFrame) -> DataFrame:
     return added.groupBy("hash", "file").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
 
 
+def _within(edits: DataFrame, commits: DataFrame, window_ms: int, by: list[str]) -> DataFrame:
+    """Edits with the commits in whose window [parent, commit + window] they fall, joined on ``by`` and the hour of the edit.
+
+    A commit stands once for each hour of its window, and an edit in its own hour, so each pair meets once, in an equi-join.
+    """
+    hour = 3_600_000
+    last = F.col("commit_ms") + window_ms
+    hours = F.sequence(F.floor(F.col("parent_ms") / hour), F.floor(last / hour))
+    spread = commits.where(F.col("parent_ms") <= last).withColumn("_hour", F.explode(hours))
+    placed = edits.withColumn("_hour", F.floor(F.col("ts") / hour))
+    return placed.join(spread, [*by, "_hour"]).where(F.col("ts").between(F.col("parent_ms"), last)).drop("_hour")
+
+
 def match_commits(edits: DataFrame, commits: DataFrame, added: DataFrame, blobs: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """One row per commit and session whose edits share a trigram with an added line run of the same file.
 
     ``edits`` (session, file, content, ts), ``commits`` (hash, commit_ms, parent_ms), ``added`` (hash, file, lines) and
     ``blobs`` (hash, file, content). All edits of the session in the window count as edits; the ratio is over its files of the
-    commit: distinct trigrams that stand in the committed file.
+    commit: distinct trigrams that stand in the committed file. Trigrams are made once a text and compared by 128 bits of hash.
     """
-    span = F.col("ts").between(F.col("parent_ms"), F.col("commit_ms") + window_ms)
-    times = edits.select("session", "ts").join(F.broadcast(commits), span).groupBy("hash", "session").agg(F.count("*").alias("edit_count"), F.max("ts").alias("last_edit"))
+    name = lambda tri: F.struct(F.xxhash64(tri).alias("x"), F.xxhash64(F.reverse(tri), F.length(tri)).alias("y"))
+    made = lambda lines: F.transform(trigrams(lines), name)
+    times = _within(edits.select("session", "ts"), commits, window_ms, []).groupBy("hash", "session").agg(F.count("*").alias("edit_count"), F.max("ts").alias("last_edit"))
     files = blobs.select("hash", "file").distinct().join(commits, "hash")
-    own = edits.join(files, "file").where(span).select("hash", "session", "file", F.explode(trigrams(F.split("content", "\n"))).alias("tri")).distinct()
-    in_added = added.select("hash", "file", F.explode(trigrams(F.col("lines"))).alias("tri"), F.lit(1).alias("hit"))
-    in_blob = blobs.select("hash", "file", F.explode(trigrams(F.split("content", "\n"))).alias("tri"), F.lit(1).alias("stays"))
+    tris = edits.select("session", "file", "ts", made(F.split("content", "\n")).alias("tris"))
+    own = _within(tris, files, window_ms, ["file"]).select("hash", "session", "file", F.explode("tris").alias("tri")).distinct()
+    in_added = added.select("hash", "file", F.explode(made(F.col("lines"))).alias("tri"), F.lit(1).alias("hit"))
+    in_blob = blobs.select("hash", "file", F.explode(made(F.split("content", "\n"))).alias("tri"), F.lit(1).alias("stays"))
     key = ["hash", "file", "tri"]
     marked = own.join(in_added, key, "left").join(in_blob, key, "left")
     sums = marked.groupBy("hash", "session").agg(
@@ -88,6 +104,74 @@ def match_commits(edits: DataFrame, commits: DataFrame, added: DataFrame, blobs:
     )
 
 
+def blamed_commits(porcelain: DataFrame) -> DataFrame:
+    """(hash) of the commits in ``porcelain`` (line), the lines of ``git blame --porcelain``; lines not committed have none."""
+    found = F.regexp_extract("line", r"^([0-9a-f]{40}) \d+ \d+", 1)
+    return porcelain.select(found.alias("hash")).where((F.col("hash") != "") & (F.col("hash") != "0" * 40)).distinct()
+
+
+def blame_lines(lines: DataFrame, specs: list[BlameSpec]) -> DataFrame:
+    """(hash) of the commits that last wrote the lines asked for; ``lines``: (file, line_no, hash), line numbers from 1.
+
+    The specs are united. A spec whose last line is before its first is an error.
+    """
+    for s in specs:
+        if s.first is not None and s.last < s.first:
+            raise ValueError(f"lines {s.first} to {s.last} of {s.path}")
+    wanted = F.lit(False)
+    for s in specs:  # as many as a user names
+        one = F.col("file") == s.path
+        wanted = wanted | (one if s.first is None else one & F.col("line_no").between(s.first, s.last))
+    return lines.where(wanted).select("hash").distinct()
+
+
+def attribute(hashes: DataFrame, edits: DataFrame, commits: DataFrame, added: DataFrame, blobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Matches of some commits (a hash, or those of a blame), ascending by the last edit, or the last ``limit`` of them.
+
+    Hashes that no commit has are left out.
+    """
+    of = lambda df: df.join(hashes.select("hash").distinct(), "hash", "left_semi")
+    found = match_commits(edits, of(commits), of(added), of(blobs))
+    return latest(found, limit) if limit else found.orderBy("last_edit", "session", "hash")
+
+
+def commit_info(shown: DataFrame) -> DataFrame:
+    """(hash, commit_ms, files) of ``shown`` (id, text): what ``git show --pretty=format:%H%n%aI --name-only`` prints."""
+    lines = F.split(F.trim("text"), "\n")
+    return shown.select(
+        "id", F.get(lines, F.lit(0)).alias("hash"), F.coalesce(F.unix_millis(F.try_to_timestamp(F.get(lines, F.lit(1)))), F.lit(0)).alias("commit_ms"),
+        F.filter(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), lambda x: x != "").alias("files"),
+    )
+
+
+def read_git(spark: SparkSession, root: str, *args: str) -> DataFrame:
+    """(line_no, line) of what git prints in ``root``; none where it fails. One call for what a user asks."""
+    done = subprocess.run(["git", *args], cwd=root, capture_output=True, text=True, check=False)
+    lines = done.stdout.split("\n") if done.returncode == 0 else []
+    return spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+
+
+def candidates(files: DataFrame, commits: DataFrame, before_ms: int = 60_000, after_ms: int = 86_400_000) -> DataFrame:
+    """(hash, path) of the transcripts whose time fits a commit: from a minute before its parent to a day after it.
+
+    ``files`` (path, mtime_ms), ``commits`` (hash, commit_ms, parent_ms). Joined on the day, like edits on the hour.
+    """
+    day = 86_400_000
+    low, high = F.col("parent_ms") - before_ms, F.col("commit_ms") + after_ms
+    spread = commits.where(low <= high).withColumn("_day", F.explode(F.sequence(F.floor(low / day), F.floor(high / day))))
+    placed = files.select("path", "mtime_ms").withColumn("_day", F.floor(F.col("mtime_ms") / day))
+    return placed.join(spread, "_day").where(F.col("mtime_ms").between(low, high)).select("hash", "path")
+
+
+def as_table(matches: DataFrame) -> DataFrame:
+    """What is printed of matches: the session's first eight characters, time, hits, edits and share, ascending by time."""
+    text = F.format_string(
+        "%s  %s  %d hits  %d edits  %d%%%s", F.substring("session", 1, 8), F.date_format(F.timestamp_millis("last_edit"), "yyyy-MM-dd HH:mm"),
+        F.col("content_hits"), F.col("edit_count"), F.floor(F.col("surviving_ratio") * 100 + 0.5), F.when(F.col("surviving_in_commit"), "").otherwise("  (superseded)"),
+    )
+    return matches.select("hash", "session", "last_edit", text.alias("line")).orderBy("last_edit", "session", "hash")
+
+
 def latest(matches: DataFrame, n: int) -> DataFrame:
     """The last ``n`` by their last edit, ascending."""
     return matches.orderBy(F.desc("last_edit"), "session", "hash").limit(n).orderBy("last_edit", "session", "hash")

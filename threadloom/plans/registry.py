@@ -526,7 +526,7 @@ def page_search(spark, sf_dir):
 
 _WINDOW = 6 * HOUR
 _ATTR = f"""WITH ed AS (SELECT source AS session, 'f' || (doc_id % 7)::VARCHAR AS file, text AS content, {EPOCH} + doc_id * 60000 AS ts FROM documents),
-co AS (SELECT 'c' || doc_id::VARCHAR AS hash, {EPOCH} + doc_id * 60000 + 30000 AS commit_ms, {EPOCH} + doc_id * 60000 + 30000 - {_WINDOW} AS parent_ms, 'f' || (doc_id % 7)::VARCHAR AS file, text AS content FROM documents WHERE doc_id % 10 = 0),
+co AS (SELECT 'c' || doc_id::VARCHAR AS hash, {EPOCH} + doc_id * 60000 + 30000 AS commit_ms, {EPOCH} + doc_id * 60000 + 30000 - {_WINDOW} AS parent_ms, 'f' || (doc_id % 7)::VARCHAR AS file, text AS content FROM documents),
 ln AS (SELECT hash, file, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM co),
 tc AS (SELECT DISTINCT hash, file, unnest(CASE WHEN len(l) >= 3 THEN list_transform(range(1, len(l) - 1), lambda i: l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2]) ELSE [] END) AS tri FROM ln),
 le AS (SELECT *, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM ed),
@@ -538,33 +538,77 @@ mt AS (SELECT su.hash, su.session, content_hits, edit_count, last_edit, content_
 
 
 def _attribution(spark, sf_dir):
+    """Every document is an edit of its source's session, and a commit half a minute later."""
     d = table(spark, sf_dir, "documents")
     file = F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")).alias("file")
     ts = F.lit(EPOCH) + F.col("doc_id") * 60_000
     edits = d.select(F.col("source").alias("session"), file, F.col("text").alias("content"), ts.alias("ts"))
-    c = d.where("doc_id % 10 = 0").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("hash"), file, F.col("text").alias("content"), (ts + 30_000).alias("commit_ms"))
+    c = d.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("hash"), file, F.col("text").alias("content"), (ts + 30_000).alias("commit_ms"))
     commits = c.select("hash", "commit_ms", (F.col("commit_ms") - _WINDOW).alias("parent_ms"))
     added = c.select("hash", "file", F.split("content", "\n").alias("lines"))
-    return attribution.match_commits(edits, commits, added, c.select("hash", "file", "content"))
+    return edits, commits, added, c.select("hash", "file", "content")
 
 
 @query(_ATTR + " SELECT * FROM mt")
 def attr_match(spark, sf_dir):
-    return _attribution(spark, sf_dir)
+    return attribution.match_commits(*_attribution(spark, sf_dir))
 
 
 @query(_ATTR + " SELECT * FROM mt ORDER BY last_edit DESC, session, hash LIMIT 25")
 def last_n_attr(spark, sf_dir):
-    return attribution.latest(_attribution(spark, sf_dir), 25)
+    return attribution.latest(attribution.match_commits(*_attribution(spark, sf_dir)), 25)
 
 
 @query(_ATTR + " SELECT hash, file, count(*) AS trigrams FROM tc GROUP BY 1, 2")
 def attr_trigram(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    d = table(spark, sf_dir, "documents")
     t = d.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("hash"), F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")).alias("file"), F.explode(attribution.trigrams(F.split("text", "\n"))).alias("tri"))
     return t.groupBy("hash", "file").agg(F.count("*").alias("trigrams"))
 
 
+@query(_ATTR + " SELECT * FROM mt WHERE hash = 'c21'")
+def attr_commit(spark, sf_dir):
+    """Sessions that made one commit, from its hash."""
+    return attribution.attribute(spark.createDataFrame([("c21",), ("none",)], "hash string"), *_attribution(spark, sf_dir))
+
+
+_BLAME = ["f3:2-5", "f5:1", "f6"]
+
+
+@query(_ATTR + """, bl AS (SELECT 'f' || (doc_id % 7)::VARCHAR AS file, doc_id // 7 + 1 AS line_no, 'c' || doc_id::VARCHAR AS hash FROM documents)
+SELECT * FROM mt WHERE hash IN (SELECT hash FROM bl WHERE file = 'f3' AND line_no BETWEEN 2 AND 5 OR file = 'f5' AND line_no = 1 OR file = 'f6') ORDER BY last_edit DESC, session, hash LIMIT 30""")
+def attr_blame(spark, sf_dir):
+    """Sessions behind the lines of three specs, as if line n of a file were of its n-th document's commit."""
+    d = table(spark, sf_dir, "documents")
+    file, line = F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")), F.floor(F.col("doc_id") / 7) + 1
+    lines = d.select(file.alias("file"), line.alias("line_no"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("hash"))
+    hashes = attribution.blame_lines(lines, [attribution.parse_spec(x) for x in _BLAME])
+    return attribution.attribute(hashes, *_attribution(spark, sf_dir), limit=30)
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT lpad(lower(to_hex(doc_id)), 40, '0') AS hash FROM l WHERE doc_id > 0""")
+def src_git(spark, sf_dir):
+    """Commits named by blame lines in porcelain form, one for each line of a document; lines of no commit have none."""
+    d = table(spark, sf_dir, "documents")
+    n = F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n"))))
+    head = F.concat_ws(" ", F.lpad(F.lower(F.hex("doc_id")), 40, "0"), F.col("n"), F.col("n"), F.lit("1"))
+    lines = d.select("doc_id", n.alias("n")).select(F.explode(F.array(head, F.lit("author x"), F.concat(F.lit("\t"), head))).alias("line"))
+    return attribution.blamed_commits(lines)
+
+
+@query("""SELECT * FROM (VALUES (0, 'a.ts', NULL, NULL), (1, 'a.ts', 3, 3), (2, 'a.ts', 3, 9), (3, 'C:/x.ts', 12, 12), (4, 'a:b', NULL, NULL), (5, 'a.ts:', NULL, NULL)) AS t(i, path, first_line, last_line)""")
+def attr_spec(spark, sf_dir):
+    specs = [attribution.parse_spec(x) for x in ("a.ts", "a.ts:3", "a.ts:3-9", "C:/x.ts:12", "a:b", "a.ts:")]
+    return spark.createDataFrame([(i, s.path, s.first, s.last) for i, s in enumerate(specs)], "i int, path string, first_line int, last_line int")
+
+
+@query(_ATTR + """ SELECT hash, session, last_edit, substr(session, 1, 8) || '  ' || strftime(epoch_ms(last_edit), '%Y-%m-%d %H:%M') || '  ' || content_hits || ' hits  ' || edit_count || ' edits  ' ||
+floor(surviving_ratio * 100 + 0.5)::INT || '%' || CASE WHEN surviving_in_commit THEN '' ELSE '  (superseded)' END AS line FROM mt""")
+def attr_print(spark, sf_dir):
+    return attribution.as_table(attribution.match_commits(*_attribution(spark, sf_dir)))
+
+
 @query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT 'c' || doc_id::VARCHAR AS hash, 'f' || (doc_id % 7)::VARCHAR AS file, line_no + 3 AS line_no, CASE WHEN line_no % 2 = 0 THEN 'added' ELSE 'removed' END AS kind, line FROM l""")
 def attr_diff_parse(spark, sf_dir):
@@ -710,13 +754,16 @@ def agg_exists(spark, sf_dir):
     return doc_messages(spark, sf_dir).join(v, "message_id", "left").groupBy("session_id").agg((F.count("v") > 0).alias("has_vectors"))
 
 
-@query(f"""WITH f AS (SELECT doc_id, {EPOCH} + doc_id * 60000 AS mtime_ms FROM documents)
-SELECT c.doc_id AS commit_id, count(*) AS candidates FROM f c JOIN f ON f.mtime_ms BETWEEN c.mtime_ms - {_WINDOW} - 60000 AND c.mtime_ms + {24 * HOUR} WHERE c.doc_id % 100 = 0 GROUP BY 1""")
+@query(f"""WITH f AS (SELECT conv_id, {EPOCH} + conv_id * 3600000 AS mtime_ms FROM (SELECT DISTINCT conv_id FROM conversations)),
+c AS (SELECT doc_id, {EPOCH} + doc_id * 60000 AS t FROM documents)
+SELECT 'c' || doc_id::VARCHAR AS hash, '/t/' || conv_id::VARCHAR || '.jsonl' AS path FROM c JOIN f ON f.mtime_ms BETWEEN t - {_WINDOW} - 60000 AND t + {24 * HOUR}""")
 def src_candidates(spark, sf_dir):
-    """Transcripts whose time fits a commit, before any is parsed; the few commits are the broadcast side."""
-    f = table(spark, sf_dir, "documents").select("doc_id", (F.lit(EPOCH) + F.col("doc_id") * 60_000).alias("mtime_ms"))
-    c = F.broadcast(f.where("doc_id % 100 = 0").select(F.col("doc_id").alias("commit_id"), F.col("mtime_ms").alias("at")))
-    return f.join(c, F.col("mtime_ms").between(F.col("at") - _WINDOW - 60_000, F.col("at") + 24 * HOUR)).groupBy("commit_id").agg(F.count("*").alias("candidates"))
+    """Transcripts whose time fits a commit, before any is parsed; every conversation is a transcript, every document a commit."""
+    files = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    files = files.select(F.concat(F.lit("/t/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), (F.lit(EPOCH) + F.col("conv_id") * HOUR).alias("mtime_ms"))
+    at = F.lit(EPOCH) + F.col("doc_id") * 60_000
+    commits = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("hash"), at.alias("commit_ms"), (at - _WINDOW).alias("parent_ms"))
+    return attribution.candidates(files, commits)
 
 
 @query(r"SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9]', '-', 'g') AS slug, regexp_replace(url, '[:/\\]', '-', 'g') AS narrow FROM pages")
