@@ -26,10 +26,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e, mark = _written(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written, so that the join on a hub's key is of two plain exchanges, which Spark splits
+        least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = durable(large.where(F.col("a") != F.col("b")).distinct(), "large")
+        root = durable(large.groupBy("a").agg(F.min("b").alias("m")), "roots")
         pair = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
         small = large.join(root, "a").select(F.inline(pair)).where(F.col("a") != F.col("b")).distinct()
         e, now = _written(small)

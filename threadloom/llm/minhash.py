@@ -9,8 +9,10 @@ chance below 1e-12 a pair), so with values ordered by how many sketches hold the
 first ``size - sure_overlap + 1``. Only those are listed, and a value of one sketch alone is in no list. Each list has a pivot:
 the member with the fewest values of its own. Every document is first compared with the pivot that it meets most often,
 which joins most of a group of mutual copies. Lists with one pivot then make one group, so any two members of a list are
-in a group together; groups whose members are not all joined are compared in full, in blocks of bounded size, without
-a row for a pair: a block tells only links between documents that are not joined yet, and no more than join them.
+in a group together. Where the members of a group are not all joined, those outside its greatest joined part (the
+outsiders) are compared with all members, in blocks of bounded size, without a row for a pair: a block tells only links
+between documents that are not joined yet, and no more than join them. A member's text goes to one task for each block of
+outsiders, so it is copied as often as the outsiders fill blocks, not with the size of the group.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,35 +127,37 @@ def _stars(links: DataFrame) -> DataFrame:
     return durable(up.join(higher, "p", "left").select("doc_id", F.coalesce("q", "p").alias("label")), "labels")
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs, above the diagonal."""
+def _overlaps(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """Sizes of the intersections of each of the ``first`` sets (rows) with each set (columns), above the diagonal."""
     n = len(sets)
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((first, n), np.float32)
     value = np.concatenate(sets)
     owner = np.repeat(np.arange(n), [len(x) for x in sets])
     order = np.argsort(value, kind="stable")  # owners ascend within a value
     value, owner = value[order], owner[order]
-    first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    many = np.diff(np.append(first, len(value)))
+    begin = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    many = np.diff(np.append(begin, len(value)))
+    many[owner[begin] >= first] = 0  # held by no row
     for d in range(2, 17):  # few owners: pair by pair
-        rows = first[many == d]
+        rows = begin[many == d]
         if len(rows):
             own = owner[rows[:, None] + np.arange(d)]
             for i in range(d):
+                live = own[own[:, i] < first]
                 for j in range(i + 1, d):
-                    np.add.at(out, (own[:, i], own[:, j]), 1)
+                    np.add.at(out, (live[:, i], live[:, j]), 1)
     dense = np.flatnonzero(many > 16)  # many owners: a product of 0/1 matrices
     for at in range(0, len(dense), 2_048):
         part = dense[at : at + 2_048]
         x = np.zeros((n, len(part)), np.float32)
-        index = np.repeat(first[part], many[part]) + np.arange(many[part].sum()) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+        index = np.repeat(begin[part], many[part]) + np.arange(many[part].sum()) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
         x[owner[index], np.repeat(np.arange(len(part)), many[part])] = 1
-        out += x @ x.T
+        out += x[:first] @ x.T
     return out
 
 
-def _joins(ids: np.ndarray, labels: np.ndarray, texts: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> list[tuple[int, int]]:
-    """Links between documents of different labels, as few as connect what is connected here."""
+def _joins(ids: np.ndarray, labels: np.ndarray, first: int, texts: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> list[tuple[int, int]]:
+    """Links of the ``first`` documents with documents of other labels, as few as connect what is connected here."""
     offsets, buf = texts
     sets = []
     for lo, hi in T.chunks(offsets):
@@ -160,8 +165,8 @@ def _joins(ids: np.ndarray, labels: np.ndarray, texts: tuple[np.ndarray, np.ndar
         h, at = T.shingles(buf[own[0] : own[-1]], own - own[0], words)
         sets += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
     size = np.array([len(x) for x in sets], np.float32)
-    both = _overlaps(sets)
-    linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None] - both)) & (labels[:, None] != labels[None])
+    both = _overlaps(sets, first)
+    linked = (both > 0) & (100 * both >= percent * (size[:first, None] + size[None] - both)) & (labels[:first, None] != labels[None])
     a, b = np.nonzero(np.triu(linked, 1))
     _, one = np.unique(np.stack([np.minimum(labels[a], labels[b]), np.maximum(labels[a], labels[b])]), axis=1, return_index=True)
     root: dict[int, int] = {}
@@ -180,27 +185,40 @@ def _joins(ids: np.ndarray, labels: np.ndarray, texts: tuple[np.ndarray, np.ndar
     return out
 
 
-def _in_blocks(groups: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) within groups (p, doc_id, label), block against block."""
-    texts = members.select("doc_id", "text", F.octet_length("text").alias("_n"))
-    full = groups.join(texts, "doc_id")
-    sums = groups.join(members.select("doc_id", F.octet_length("text").alias("_n")), "doc_id").groupBy("p").agg(
-        F.greatest(F.ceil(F.sum("_n") / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("nb")
-    )
-    placed = full.join(sums, "p").withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-    placed = placed.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = placed.select("p", F.least("_b", "_x").alias("i"), F.greatest("_b", "_x").alias("j"), "doc_id", "label", "text")
+def _in_blocks(named: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) within groups (p, doc_id, label) of several labels: outsiders against all members, block against block.
+
+    What is known of a group is written as a table, so that the joins on a pivot are of two plain exchanges, which Spark
+    splits where a pivot is hot.
+    """
+    parts = named.groupBy("p", "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy("p").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    main = durable(main.select("p", F.col("m.label").alias("main")), "groups-main")
+    size = members.select("doc_id", F.octet_length("text").cast("long").alias("size")).hint("merge")
+    sides = named.join(main, "p").select("p", "doc_id", "label", (F.col("label") != F.col("main")).alias("out"))
+    sides = durable(sides.join(size, "doc_id"), "groups-open")
+    blocks = lambda own: F.greatest(F.ceil(F.sum(F.when(own, F.col("size"))) / BLOCK_BYTES), F.ceil(F.count_if(own) / BLOCK_ROWS), F.lit(1)).cast("int")
+    counts = durable(sides.groupBy("p").agg(blocks(F.col("out")).alias("no"), blocks(~F.col("out")).alias("ni")), "groups-blocks")
+    h = F.xxhash64("doc_id")
+    mine = F.when(F.col("out"), F.pmod(h, F.col("no"))).otherwise(F.col("no") + F.pmod(h, F.col("ni"))).cast("int")
+    met = F.when(F.col("out"), F.sequence(F.lit(0), F.col("no") + F.col("ni") - 1)).otherwise(F.sequence(F.lit(0), F.col("no") - 1))
+    placed = sides.join(counts, "p").withColumn("_b", mine).withColumn("_x", F.explode(met))
+    placed = placed.select("p", F.least("_b", "_x").alias("i"), F.greatest("_b", "_x").alias("j"), "doc_id", "label", (F.col("_b") <= F.col("_x")).alias("row"))
+    placed = placed.join(members.select("doc_id", "text").hint("merge"), "doc_id")
     dealt = placed.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
-            links = _joins(t["doc_id"].to_numpy(), t["label"].to_numpy(), T.as_bytes(t["text"]), words, percent) if len(t) > 1 else []
+            t = t.sort_by([("row", "descending")])  # the block of outsiders comes first
+            first, ids, labels = pc.sum(t["row"]).as_py(), t["doc_id"].to_numpy(), t["label"].to_numpy()
+            links = _joins(ids, labels, first, T.as_bytes(t["text"]), words, percent) if first and len(t) > 1 else []
             return pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("p", "i", "j")]
+            keys = np.stack(columns, 1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 if hi > lo:
@@ -252,8 +270,7 @@ def near_duplicates(
     best = near.groupBy("doc_id").agg(F.max_by("p", F.struct("often", -F.col("p"))).alias("p"))
     found = durable(_alike(best.select(F.col("p").alias("a"), F.col("doc_id").alias("b")), members, percent, words, k), "links")
     named = met.select("p", "doc_id").join(_stars(found), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    split = named.groupBy("p").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("p")
-    rest = _in_blocks(named.join(split, "p"), members, words, percent)
+    rest = _in_blocks(durable(named, "named"), members, words, percent)
     # rows of one id may be of several classes: those classes are linked by the id
     twins = full.join(classes, ["print", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).where("a <> b")
     links = components(found.unionByName(rest).unionByName(twins))
