@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import components, minhash, passages, quality, queries, syncmers, toxicity
+from threadloom.llm import _labels, components, minhash, passages, quality, queries, suffix_array, syncmers, toxicity
 from threadloom.llm import _text as T
 
 SF = "/root/testdata/sf0.001"
@@ -79,6 +79,35 @@ def test_near_duplicates_equal_brute_force(spark, words, percent, k):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize(("rows", "size"), [(3, 4 << 20), (1_024, 1_500), (2, 700)])
+def test_near_duplicates_in_many_blocks(spark, monkeypatch, rows, size):
+    """Chains of copies of copies: a group has several joined parts, outsiders that fill several blocks, and long texts."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+    rnd = random.Random(rows)
+    words = [f"w{rnd.randrange(10_000)}" for _ in range(80)]
+    chain = [list(words)]
+    for _ in range(60):
+        w = list(rnd.choice(chain[-6:]))
+        for _ in range(rnd.randrange(1, 4)):
+            w[rnd.randrange(len(w))] = f"w{rnd.randrange(10_000)}"
+        chain.append(w)
+    texts = list(enumerate([" ".join(w) for w in chain] + [" ".join(words * 40), " ".join(words * 41)]))
+    sets = shingle_sets(texts, 3)
+    want = brute_components(sets, 85)
+    assert 3 < len(set(want.values())) < 50
+    got = minhash.near_duplicates(frame(spark, texts), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_overlaps_equal_sets():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(0, 60))) for _ in range(70)]
+    for first in (1, 30, 70):
+        got = minhash._overlaps(sets, first)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(first) for j in range(i + 1, 70))
+
+
 def test_near_duplicates_without_links(spark):
     assert minhash.near_duplicates(frame(spark, make_texts()).limit(0)).count() == 0
     got = minhash.near_duplicates(spark.createDataFrame([(5, None), (None, "a b c"), (6, "a b c"), (6, "d e f"), (7, "d e f")], "doc_id long, text string"), 3, 85)
@@ -126,6 +155,37 @@ def test_removal_equals_brute_force(spark, monkeypatch, length):
     assert got[0].component == "b"
 
 
+def test_offsets_double_up_to_the_length():
+    assert suffix_array.offsets(50) == [8, 16, 18] and suffix_array.offsets(8) == [] and suffix_array.offsets(3, 1) == [1, 1]
+
+
+@pytest.mark.parametrize("length", [50, 21, 5])
+def test_prefix_doubling_equals_brute_force_and_anchors(spark, monkeypatch, length):
+    """All suffixes, ranked by doubling, lose the bytes that brute force and the anchors' form remove."""
+    monkeypatch.setattr(passages, "GROUP_BYTES", 4_000)
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 3_000)
+    rows = make_texts(length, n=70)
+    want = {i: (removed, n) for i, (_, removed, n, _) in brute_removal(rows, length).items() if removed}
+    got = suffix_array.removed_bytes(frame(spark, rows), length).collect()
+    assert {r.doc: (r.n_removed, len(r.spans)) for r in got} == want
+    anchors = passages.remove_repeats(frame(spark, rows), length).where("n_removed > 0").collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in anchors} == {r.doc: [(s.start, s.end) for s in r.spans] for r in got}
+    assert suffix_array.removed_bytes(frame(spark, rows).limit(0), length).count() == 0
+
+
+def test_removal_across_chunks(spark):
+    """A text longer than a vectorised step, whose passages repeat in later slices of its group."""
+    rnd = random.Random(2)
+    prose = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    long = prose(T.CHUNK + 90_000)
+    cut = lambda n: long[(at := rnd.randrange(len(long) - n)) : at + n]
+    rows = [(3, long)] + [(i, prose(300) + cut(200) + prose(40) + cut(60) + long[-70:]) for i in (1, 2, 4, 5, 6, 7)]
+    want = brute_removal(rows, 50)
+    assert len(want[3][3]) < len(long) and len(list(T.chunks(np.array([0, len(long), len(long) + 600])))) == 2
+    got = passages.remove_repeats(frame(spark, rows), 50).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == want
+
+
 def test_removal_of_nothing(spark):
     assert passages.remove_repeats(frame(spark, make_texts()).limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "x" * 99), (1, "x" * 99), (None, "x" * 60)], "doc_id long, text string")
@@ -194,6 +254,25 @@ def test_short_and_unspaced_texts_have_fingerprints(spark):
     assert all(r.like > 0.4 for r in got[40:44])
 
 
+def test_anchors_align_by_position(spark):
+    """Words put in shift the anchors after them; what follows again keeps its own shift; unlike texts have no long match."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    rnd.shuffle(words)
+    put = [f"x{i}" for i in range(7)]
+    rows = [(1, words, words[:150] + put + words[150:]), (2, words, words), (3, words, [f"y{i}" for i in range(300)]), (4, words, []), (None, words, words)]
+    rows.append((5, words, words[300:] + words[:300]))  # parts swapped
+    df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, a, b in rows], "i long, a string, b string")
+    df = syncmers.with_anchors(syncmers.with_anchors(df, "a", "x"), "b", "y")
+    got = {}
+    for r in syncmers.align(df, "i", "x", "y").collect():
+        got.setdefault(r.i, {})[r.shift] = (r.n_anchors, r.a_start, r.a_end)
+    assert set(got) == {1, 2, 5}
+    assert set(got[1]) == {0, 7} and got[1][0][2] <= 150 and got[1][7][1] >= 145
+    assert set(got[2]) == {0} and got[2][0][0] > 100
+    assert set(got[5]) == {100, -300} and got[5][100][2] < 300 <= got[5][-300][1]
+
+
 def test_classifiers_on_held_out_rows(spark):
     truth = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     for name, label, bar in (("op10_quality_classifier", "quality", 0.97), ("op7_toxicity", "toxic", 0.965)):
@@ -202,6 +281,55 @@ def test_classifiers_on_held_out_rows(spark):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
         test = [(r.predicted, getattr(truth[r.doc_id], label)) for r in got if r.held_out and r.doc_id in truth]
         assert np.mean([p == y for p, y in test]) >= bar, name
+        if label == "toxic":
+            assert np.mean([p for p, y in test if y]) >= 0.9
+
+
+def test_log_ratios_equal_counting():
+    """The n-grams that enter the model and their ratios, from sets of strings instead of hashed arrays."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["calm", "mild", "Quiet!", "day", "vile" if i % 3 == 0 else "soft"]) for _ in range(12)) for i in range(120)]
+    labels = np.array([int(i % 3 == 0) for i in range(120)])
+    fold = lambda t: " " + re.sub(r"[^a-z0-9]", " ", t.lower()) + " "
+    sets = [{fold(t)[j : j + n] for n in toxicity.GRAMS for j in range(len(fold(t)) - n + 1)} for t in texts]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    rows = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert [len(r) for r in rows] == [len(s) for s in sets]
+    model = toxicity.fit(rows, labels)
+    want = 0
+    for gram in set().union(*sets):
+        c = [sum(gram in s for s, y in zip(sets, labels, strict=True) if y == k) for k in (0, 1)]
+        ratio = np.log((c[1] + 1) / (40 + 2)) - np.log((c[0] + 1) / (80 + 2))
+        want += abs(ratio) >= toxicity.SURE * (1 / (c[1] + 1) + 1 / (c[0] + 1)) ** 0.5
+        got = toxicity.log_ratios(np.array([c[1]]), np.array([c[0]]), (80, 40))
+        assert np.isclose(got[0][0], ratio)
+    assert want > 3 and (model.weights != 0).sum() == want
+    score = model.score(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert ((score >= 0.5) == np.array(["vile" in t for t in texts])).all()
+
+
+def test_training_counts_equal_a_local_fit(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = _labels.training_rows(docs, labels, "toxic", 5_000).collect()
+    raw = [r.text.encode() for r in rows]
+    local = toxicity.fit(toxicity.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])])), np.array([r.label for r in rows]))
+    got = toxicity.train(docs, labels)
+    assert np.allclose(got.weights, local.weights, atol=1e-4) and np.isclose(got.bias, local.bias, atol=1e-4)
+
+
+def test_factorisation_machine_equals_the_sum_over_pairs():
+    texts = [(t or "").encode() for _, t in make_texts(5)][:40]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    r = quality.features(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    m = quality.fit(quality.per_row(r), np.arange(40) % 2, rounds=5)
+    score = m.score(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for i, (ids, values, stats) in enumerate(quality.per_row(r)):
+        x = [*zip(ids, values, strict=True), *((len(m.w) - len(stats) + j, s) for j, s in enumerate(m._stats(stats)))]
+        z = m.bias + sum(m.w[a] * s for a, s in x)
+        z += sum((m.v[a] @ m.v[b]) * s * t for j, (a, s) in enumerate(x) for b, t in x[j + 1 :])
+        assert np.isclose(score[i], 1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 @pytest.mark.parametrize("kind", [toxicity, quality])

@@ -14,8 +14,9 @@ Ranks are 64-bit fingerprints, so ranking again needs no total order. The rounds
 Every round sends, from a group of documents to the bucket of the rank, the group's distinct ranks in order, and gets
 back a bit for each that says whether it repeats (and the least document, where it does). A group makes the same list
 again from its documents, so the bits need no keys. Each group sends a rank once, so a frequent passage costs an entry a
-group, not one for each occurrence. Within its bucket a first-round rank is cut to 32 bits: rounds two and three compare
-64 bits, so this can only add candidates.
+group, not one for each occurrence. Within its bucket a first-round rank is cut to 32 bits, which can only add
+candidates. Rounds two and three compare those 32 bits, the bucket and 64 bits more: an anchor's rank and its stretch's name,
+or two hashes of the pair of the halves' ranks. Windows that differ are taken for equal only if all of them agree.
 """
 
 from __future__ import annotations
@@ -76,12 +77,13 @@ class _Group:
         owner = np.repeat(np.arange(len(which)), size)
         return self.lo[which][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size), owner
 
-    def rank_pairs(self, at: np.ndarray) -> np.ndarray:
+    def rank_pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the ranks of both halves (and the last byte of an odd length), one to order by and one to tell apart."""
         half = self.length // 2
-        key = self.rank[at] * T.BASE + self.rank[at + half]
+        one, two = self.rank[at], self.rank[at + half]
         if self.length % 2:
-            key = T.mix(key) * T.BASE + self.buf[at + self.length - 1].astype(np.uint64)
-        return T.mix(key)
+            two = T.mix(two * T.BASE + self.buf[at + self.length - 1].astype(np.uint64))
+        return T.mix(one * T.BASE + two), T.mix(T.mix(two) * T.BASE + one)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -153,7 +155,7 @@ def _send(own: _List, bid: int, buckets: int) -> pa.Table:
     rows = []
     for lo, hi in zip(cuts, np.append(cuts[1:], len(bucket)), strict=False):  # without keys there is no cut
         # the bucket's share of the upper half is known where the rank goes: what is left is spread over 32 bits
-        rank = own.rank[lo:hi] if own.low is not None and own.name is None else (own.rank[lo:hi] * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+        rank = (own.rank[lo:hi] * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
         name, low = (b"" if x is None else x[lo:hi].tobytes() for x in (own.name, own.low))
         rows.append((int(bucket[lo]), bid, int(hi - lo), rank.tobytes(), name, low, np.packbits(own.more[lo:hi]).tobytes()))
     return _table(rows, "bucket", "bid", "n", "ranks", "names", "low", "more")
@@ -174,9 +176,9 @@ def _repeats(kind: int):
     def answer(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
         column = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
-        rank = column("ranks", np.uint64 if kind == WINDOW else np.uint32)
+        rank = column("ranks", np.uint32)
         more = _bits(table["more"].to_pylist(), sizes)
-        name = column("names", np.uint64) if kind == STRETCH else None
+        name = column("names", np.uint64) if kind != ANCHOR else None
         order = np.argsort(rank, kind="stable") if name is None else np.lexsort((name, rank))
         sorted_rank = rank[order]
         new_rank = np.ones(len(rank), bool)
@@ -192,7 +194,7 @@ def _repeats(kind: int):
         if kind != ANCHOR:
             least = np.empty(len(rank), np.int64)
             least[order] = spread(np.minimum.reduceat(column("low", np.int64)[order], first))
-        if name is not None:
+        if kind == STRETCH:
             group = np.cumsum(new_rank) - 1
             names = np.bincount(group, new)
             several[order] = names[group] > 1
@@ -202,7 +204,7 @@ def _repeats(kind: int):
             at += n
             if repeats[own].any() or several[own].any():
                 low = b"" if least is None else least[own][repeats[own]].tobytes()
-                rows.append((kind, bucket, bid, n, np.packbits(repeats[own]).tobytes(), np.packbits(several[own]).tobytes() if name is not None else b"", low))
+                rows.append((kind, bucket, bid, n, np.packbits(repeats[own]).tobytes(), np.packbits(several[own]).tobytes() if kind == STRETCH else b"", low))
         return _table(rows, "kind", "bucket", "bid", "n", "repeats", "several", "low")
 
     return answer
@@ -249,14 +251,13 @@ class _State:
             earlier = low[at] < d
             self.whole.append(o[earlier])  # an earlier document has the same stretch
             unsettled.append(o[several[at] & ~earlier])
-        self.windows, keys, docs = [], [], []
+        self.windows, self.keys = [], []
         for g, which in zip(self.slices, unsettled, strict=True):
             at, owner = g.windows(which)
             self.windows.append((at, g.doc[which][owner]))
-            keys.append(g.rank_pairs(at))
-            docs.append(self.windows[-1][1])
-        self.keys = keys
-        self.list = _distinct(join(keys, np.uint64), None, join(docs, np.int64))
+            self.keys.append(g.rank_pairs(at))
+        one, two = (join([k[i] for k in self.keys], np.uint64) for i in (0, 1))
+        self.list = _distinct(one, two, join([doc for _, doc in self.windows], np.int64))
         if rounds == 2:
             return
         _, _, self.low = _received(replies, WINDOW, self.list, buckets)
@@ -264,7 +265,7 @@ class _State:
     def gone(self, i: int, length: int) -> np.ndarray:
         """Which bytes of the slice go."""
         g, whole, (at, doc) = self.slices[i], self.whole[i], self.windows[i]
-        hit = at[self.low[self.list.at(self.keys[i])] < doc] if len(at) else at
+        hit = at[self.low[self.list.at(*self.keys[i])] < doc] if len(at) else at
         edge = np.zeros(len(g.buf) + 1, np.int32)
         for start, end in ((g.lo[whole], g.hi[whole] + length), (hit, hit + length)):
             np.add.at(edge, start, 1)
