@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._spark import durable
+
 K, S = 5, 2
 #: Words of more characters count as their characters, as do all words of a text of fewer units than surely hold an anchor.
 LONG, FEW = 24, 2 * K - S - 1
 #: Hashes a fingerprint keeps, of 32 bits each.
 SIZE = 64
-#: Documents of one bucket when each is set beside the next, and the most buckets (their bounds go through the driver).
+#: Documents of one bucket when each is set beside the next, and the most buckets (their bounds go through the driver). Beyond
+#: so many, a bucket is a 40,000th of the table, some 2.5 GB of 100 TB: it is sorted with spilling, and the window holds two rows.
 BUCKET_ROWS, MOST_BUCKETS = 1_000, 40_000
 
 _LOW = (1 << 32) - 1
@@ -83,6 +86,21 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("_sketch", sketch("anchors")).select("doc_id", "anchors", as_text("_sketch").alias("fingerprint"))
 
 
+def align(pairs: DataFrame, key_col: str, a: str, b: str) -> DataFrame:
+    """Positional matches of the anchors in columns ``a`` and ``b``: one row for each key and shift (position in b less that in a).
+
+    Columns: the key, shift, n_anchors, a_start and a_end (positions of the first and last of them in a). Within a key each hash
+    counts at its first position on either side, so a phrase that recurs gives no pairs of its occurrences. The keys have to be
+    unique; a null key, or a pair without common anchors, gives no row; further columns are not carried along.
+    """
+    made = durable(pairs.select(F.col(key_col).alias("_key"), F.col(a).alias("_x"), F.col(b).alias("_y")), "anchors")
+    side = lambda c, pos: made.select("_key", F.inline(c)).groupBy("_key", "hash").agg(F.min("pos").alias(pos))
+    met = side("_x", "_a").join(side("_y", "_b"), ["_key", "hash"])  # both sides are grouped by the key of the join
+    shifts = met.groupBy("_key", (F.col("_b") - F.col("_a")).alias("shift"))
+    found = shifts.agg(F.count("*").alias("n_anchors"), F.min("_a").alias("a_start"), F.max("_a").alias("a_end"))
+    return found.withColumnRenamed("_key", key_col)
+
+
 def beside_next(df: DataFrame, order_col: str, columns: list[str], rows: int) -> DataFrame:
     """Adds ``next_<c>`` of ``columns``: those of the next row by ``order_col``, then by the columns; after the last comes the first.
 
