@@ -9,9 +9,10 @@ from threadloom.operators.messages import hot
 
 
 def insert_messages(current: DataFrame, incoming: DataFrame, replace_sessions: DataFrame | None = None) -> DataFrame:
-    """First write wins by message_id, after the sessions to replace are taken out."""
+    """First write wins by message_id, after the sessions to replace are taken out; of ids that repeat in ``incoming`` the first by session and place."""
     kept = current if replace_sessions is None else current.join(replace_sessions.select("session_id"), "session_id", "left_anti")
-    new = incoming.dropDuplicates(["message_id"]).join(kept.select("message_id"), "message_id", "left_anti")
+    first = incoming.groupBy("message_id").agg(F.min_by(F.struct(*incoming.columns), F.struct("session_id", "message_seq")).alias("r")).select("r.*")
+    new = first.join(kept.select("message_id"), "message_id", "left_anti")
     return kept.unionByName(new.select(*kept.columns))
 
 
@@ -58,3 +59,38 @@ def advance_watermark(watermark: DataFrame, done: DataFrame) -> DataFrame:
 def same_postings(a: DataFrame, b: DataFrame) -> bool:
     """Integrity of an index against one rebuilt from the messages."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def repair_vectors(vectors: DataFrame) -> DataFrame:
+    """No vectors; the next sweep makes them anew."""
+    return vectors.limit(0)
+
+
+def is_leaf(session: str = "session_id"):
+    return F.startswith(session, F.lit("agent-"))
+
+
+def migrate_classes(messages: DataFrame, vectors: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Messages with classes, vectors of hot ones, provenance of the agents, and a one-row report.
+
+    ``files``: (path, vendor, session_id, meta_parent, is_child) of the known transcripts. Agents are sessions named ``agent-``
+    and the second vendor's children. Sessions of that vendor of which no file tells what they are stay as they are and are counted.
+    """
+    if "retrieval_class" not in messages.columns:
+        messages = messages.withColumn("retrieval_class", F.lit("hot"))
+    leaves = messages.where(is_leaf()).select("session_id").distinct()
+    folder = F.nullif(F.regexp_extract(F.replace("path", F.lit("\\"), F.lit("/")), r"(?i)/([^/]+)/subagents/agent-[^/]+\.jsonl$", 1), F.lit(""))
+    claude = files.where("vendor = 'claude'").select(F.regexp_extract("path", r"([^/\\]+?)(?:\.jsonl)?$", 1).alias("session_id"), folder.alias("parent_session_id"), "path").where("parent_session_id is not null")
+    children = files.where("vendor = 'codex' and is_child").select("session_id", F.col("meta_parent").alias("parent_session_id"), "path").dropDuplicates(["session_id"])
+    own = leaves.join(claude.dropDuplicates(["session_id"]), "session_id", "left").withColumn("vendor", F.lit("claude"))
+    agents = own.unionByName(children.withColumn("vendor", F.lit("codex"))).withColumn("kind", F.lit("agent"))
+    now, left = reclassify(messages, vectors, agents)
+    shaped = messages.where(F.startswith("message_id", F.lit("codex-jsonl-"))).select("session_id").distinct()
+    known = agents.select("session_id").union(files.where("vendor = 'codex' and not is_child").select("session_id")).distinct()
+    changed = messages.where("retrieval_class <> 'agent'").join(agents.select("session_id").distinct(), "session_id", "left_semi")
+    report = (
+        agents.agg(F.count_distinct("session_id").alias("agent_sessions")).crossJoin(changed.agg(F.count("*").alias("agent_messages")))
+        .crossJoin(shaped.join(known, "session_id", "left_anti").agg(F.count("*").alias("unresolved")))
+        .crossJoin(vectors.join(left.select("message_id"), "message_id", "left_anti").agg(F.count("*").alias("purged_vectors")))
+    )  # one row each
+    return now, left, agents, report

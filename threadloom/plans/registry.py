@@ -789,3 +789,6 @@ def turn_content(spark, sf_dir):
 
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), F.col("turn").alias("offset"), F.col("role").alias("type"), "text")
     return turns(c)
+
+
+from threadloom.plans import transcript_queries  # noqa: E402, F401  registers the queries over transcripts

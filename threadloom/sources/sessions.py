@@ -93,6 +93,12 @@ def session_facts(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     return f.select("path", label.alias("label"), n.alias("entries"), F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("tool_uses", F.lit(0)).alias("tool_uses"), "last_response", "model", etag.alias("etag"), F.coalesce(trivial, F.lit(False)).alias("trivial"))
 
 
+def prompts(entries: DataFrame) -> DataFrame:
+    """Entries (type, text, is_meta, is_tool_result) in which a user asks something: no meta entries, tool results, warm-ups, blanks."""
+    asked = (F.col("type") == "user") & ~F.coalesce("is_meta", F.lit(False)) & ~F.coalesce("is_tool_result", F.lit(False))
+    return entries.where(asked & ~F.trim(F.coalesce("text", F.lit(""))).isin("", "Warmup"))
+
+
 def turns(entries: DataFrame, cap: int = 8_192, preview: int = 200) -> DataFrame:
     """Per user prompt (path, turn): offset, prompt, the assistant text until the next prompt, and the start of its last part.
 

@@ -18,6 +18,11 @@ TOOL_CATEGORIES = {
     "Bash": "shell", "BashOutput": "shell", "KillShell": "shell", "Grep": "search", "Glob": "search", "LS": "search", "WebSearch": "web", "WebFetch": "web",
     "Task": "agent", "TodoWrite": "planning",
 }
+#: How texts begin that a tool puts in the user's name.
+SYSTEM_OPENINGS = (
+    "<system-reminder>", "<environment_context>", "<INSTRUCTIONS>", "# AGENTS.md instructions for", "<context>", "<task-notification>", "<command-name>",
+    "<local-command-stdout>", "<local-command-caveat>",
+)
 TOOL_NAMES = {"exec_command": "Bash", "shell_command": "Bash", "shell": "Bash", "write_stdin": "Bash", "view_image": "Read", "update_plan": "TodoWrite"}
 
 
@@ -27,6 +32,32 @@ def list_files(spark: SparkSession, root: str, vendor: str) -> DataFrame:
     return f.select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), F.lit(vendor).alias("vendor"))
 
 
+def newest_first(files: DataFrame) -> DataFrame:
+    """The listing, the newest file first."""
+    return files.orderBy(F.desc("mtime_ms"), "path")
+
+
+def file_of(files: DataFrame, uuid: str) -> DataFrame:
+    """The listed files of one session."""
+    return files.where(F.lower(session_of(F.col("path"))) == uuid.lower())
+
+
+def new_lines(whole: DataFrame, state: DataFrame) -> DataFrame:
+    """(path, line_no, offset, value, next) of complete lines that ``state`` (path, offset, size) hasn't seen.
+
+    ``whole`` (path, value): files with their text. A file that shrank is read anew; a last line without its line feed waits.
+    ``offset`` is where a line begins, ``next`` where the next begins, in bytes; the greatest ``next`` of a file is its new state.
+    """
+    s = state.select("path", F.col("offset").alias("_from"), F.col("size").alias("_size"))
+    f = whole.join(s, "path", "left").withColumn("_from", F.when(F.octet_length("value") >= F.coalesce("_size", F.lit(0)), F.coalesce("_from", F.lit(0))).otherwise(0))
+    lines = F.split("value", "\n")
+    f = f.select("path", "_from", F.posexplode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line_no", "raw"))
+    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    f = f.withColumn("next", F.sum(F.octet_length("raw") + 1).over(w)).withColumn("offset", F.col("next") - F.octet_length("raw") - 1)
+    kept = f.where(F.col("offset") >= F.col("_from")).withColumn("value", F.trim("raw"))
+    return kept.where(F.col("value") != "").select("path", "line_no", "offset", "value", "next")
+
+
 def session_of(path: Column) -> Column:
     """The file's base name, or the trailing uuid of a ``rollout-`` file."""
     name = F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
@@ -34,12 +65,14 @@ def session_of(path: Column) -> Column:
     return F.when(uuid != "", uuid).otherwise(name)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], tolerant: bool = False) -> DataFrame:
     """(path, line_no, value, offset): non-blank lines in file order; ``offset`` is where a line begins, in bytes.
 
-    Each file is one row of the reader, so that lines keep their order: transcripts are MBs, not GBs.
+    Each file is one row of the reader, so that lines keep their order: transcripts are MBs, not GBs. With ``tolerant`` files that
+    are gone or can't be read have no lines.
     """
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(paths)
+    missing = str(tolerant).lower()
+    whole = spark.read.option("wholetext", True).option("ignoreMissingFiles", missing).option("ignoreCorruptFiles", missing).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(paths)
     lines = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     at = lines.withColumn("offset", F.coalesce(F.sum(F.octet_length("raw") + 1).over(w), F.lit(0)))
@@ -65,23 +98,45 @@ def joined_text(content: Column, kind: Column) -> Column:
     return F.when(kind.startswith("ARRAY"), F.array_join(blocks, "\n\n")).otherwise(F.trim(content))
 
 
+def is_system_context(text: Column) -> Column:
+    """Whether a user's first text was put there by a tool."""
+    found = F.lit(False)
+    for opening in SYSTEM_OPENINGS:
+        found = found | F.startswith(text, F.lit(opening))
+    return F.coalesce(found, F.lit(False))
+
+
 def claude_entries(lines: DataFrame) -> DataFrame:
-    """User and assistant entries: uuid, parent, session, time, cwd, role, text, and whether they belong to a tool's sub-agent."""
-    j = parse_lines(lines)
-    kind = F.schema_of_variant(F.try_variant_get("j", "$.message.content", "variant"))
-    wrapped = F.col("type") == "progress"
+    """Entries: type, uuid, parent, session, time, cwd, role, text, model, whether meta, and whether they belong to a tool's sub-agent.
+
+    Queue operations, untyped lines and progress entries without content go; progress entries with content count as the message
+    inside them. An entry without a message, but with a text of its own, is the assistant's.
+    """
+    j = parse_lines(lines).withColumn("_progress", _get("$.type") == "progress")
+    pick = lambda inner, plain: F.when(F.col("_progress"), _get(inner)).otherwise(_get(plain))
+    part = F.when(F.col("_progress"), F.try_variant_get("j", "$.data.message.message.content", "variant")).otherwise(F.try_variant_get("j", "$.message.content", "variant"))
+    alone = ~F.col("_progress") & F.try_variant_get("j", "$.message", "variant").isNull()
     e = j.select(
-        "path", "line_no", "offset", "j", _get("$.type").alias("type"), F.coalesce(_get("$.uuid"), _get("$.id")).alias("uuid"),
-        F.coalesce(_get("$.parentUuid"), _get("$.parent_uuid")).alias("parent_uuid"), F.coalesce(_get("$.sessionId"), _get("$.session_id")).alias("entry_session"),
-        millis(_get("$.timestamp")).alias("created_at"), _get("$.cwd").alias("cwd"), _get("$.parentToolUseID").alias("parent_tool"),
-        _get("$.message.content").alias("content"), F.coalesce(kind, F.lit("STRING")).alias("kind"), _get("$.message.model").alias("model"),
+        "path", "line_no", "offset", F.when(F.col("_progress"), F.coalesce(_get("$.data.message.type"), F.lit("assistant"))).otherwise(_get("$.type")).alias("type"),
+        F.coalesce(_get("$.uuid"), _get("$.id")).alias("uuid"), F.coalesce(_get("$.parentUuid"), _get("$.parent_uuid")).alias("parent_uuid"),
+        F.coalesce(_get("$.sessionId"), _get("$.session_id")).alias("entry_session"), millis(_get("$.timestamp")).alias("created_at"), _get("$.cwd").alias("cwd"),
+        F.coalesce(_get("$.parentToolUseID"), _get("$.parent_tool_use_id")).alias("parent_tool"),
+        F.coalesce(pick("$.data.message.message.content", "$.message.content"), F.when(alone, _get("$.content"))).alias("content"),
+        F.coalesce(F.schema_of_variant(part), F.lit("STRING")).alias("kind"), pick("$.data.message.message.model", "$.message.model").alias("model"),
+        F.coalesce(pick("$.data.message.message.role", "$.message.role"), F.when(alone & _get("$.content").isNotNull(), "assistant")).alias("role"),
+        F.coalesce(_get("$.isMeta", "boolean"), F.lit(False)).alias("_meta"), F.coalesce(_get("$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"),
+        F.coalesce(_get("$.agentId"), _get("$.data.agentId")).alias("agent_id"), "_progress",
     )
-    e = e.where(F.col("type").isNotNull() & (F.col("type") != "queue-operation") & ~wrapped)
-    return e.withColumn("session_id", session_of(F.col("path"))).withColumn("text", joined_text(F.col("content"), F.col("kind"))).drop("j")
+    e = e.where(F.col("type").isNotNull() & (F.col("type") != "queue-operation") & ~(F.col("_progress") & (F.coalesce("content", F.lit("")) == "")))
+    first = F.get(F.filter(F.from_json("content", _BLOCKS), lambda b: b["type"] == "text"), F.lit(0))["text"]
+    opening = F.when(F.col("kind").startswith("ARRAY"), first).otherwise(F.col("content"))
+    meta = F.col("_meta") | (~F.col("_progress") & (F.col("type") == "user") & (F.coalesce("role", F.lit("")) == "user") & is_system_context(opening))
+    e = e.withColumn("is_meta", meta).drop("_meta", "_progress")
+    return e.withColumn("session_id", session_of(F.col("path"))).withColumn("text", joined_text(F.col("content"), F.col("kind")))
 
 
 def codex_entries(lines: DataFrame) -> DataFrame:
-    """Message envelopes as entries; working folder and model are carried forward from the envelopes before."""
+    """Message envelopes as entries; the working folder is carried forward from the envelopes before. See ``codex`` for all emitters."""
     j = parse_lines(lines).withColumn("type", _get("$.type")).withColumn("sub", _get("$.payload.type"))
     session = session_of(F.col("path"))
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -120,15 +175,31 @@ def tool_category(name: Column) -> Column:
     return F.when(name.startswith("mcp__"), "mcp").otherwise(F.coalesce(F.try_element_at(known, name), F.lit("other")))
 
 
-def message_rows(entries: DataFrame, project: str | None = None) -> DataFrame:
+def evidence(files: DataFrame, vendor: str, lines: DataFrame) -> DataFrame:
+    """What ``classify`` takes for ``files`` (path): no hook, and for the second vendor the meta data of the first line."""
+    from threadloom.sources.codex import file_meta
+
+    nothing = F.lit(None).cast("string")
+    own = files.select("path", F.lit(vendor).alias("vendor"), session_of(F.col("path")).alias("session_id"), nothing.alias("hook_agent"), nothing.alias("hook_session"))
+    if vendor == "claude":
+        return own.withColumn("meta_id", nothing).withColumn("meta_parent", nothing)
+    return own.join(file_meta(lines).select("path", F.col("id").alias("meta_id"), F.col("parent_id").alias("meta_parent")), "path", "left")
+
+
+def text_blocks(entries: DataFrame) -> DataFrame:
+    """User and assistant entries with text that belong to no tool's sub-agent."""
+    return entries.where(F.col("type").isin("user", "assistant") & F.col("parent_tool").isNull() & (F.coalesce("text", F.lit("")) != ""))
+
+
+def message_rows(entries: DataFrame, project: str | None = None, keep: str | None = None) -> DataFrame:
     """Message rows of user and assistant entries with text; the seq is the place among them before rows without uuid or text go."""
-    kept = entries.where(F.col("type").isin("user", "assistant") & F.col("parent_tool").isNull() & (F.coalesce("text", F.lit("")) != ""))
+    kept = text_blocks(entries)
     w = Window.partitionBy("path").orderBy("line_no")
     first_cwd = F.first("cwd", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     leaf = F.contains("path", F.lit("/subagents/")) | F.col("session_id").startswith("agent-")
     rows = kept.withColumn("message_seq", (F.row_number().over(w) - 1).cast("long")).withColumn("project_id", F.lit(project) if project else first_cwd)
     return rows.where(F.col("uuid").isNotNull()).select(
-        F.col("uuid").alias("message_id"), "session_id", "message_seq", F.col("text").alias("message_text"), "project_id",
+        *([keep] if keep else []), F.col("uuid").alias("message_id"), "session_id", "message_seq", F.col("text").alias("message_text"), "project_id",
         F.coalesce("created_at", F.lit(0)).alias("created_at"), F.col("type").alias("message_role"), F.when(leaf, "agent").otherwise("hot").alias("retrieval_class"),
     )
 

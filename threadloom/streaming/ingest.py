@@ -1,50 +1,225 @@
-"""Structured Streaming: incremental ingest into a versioned store, and event-time windows."""
+"""Incremental ingest into an append-only store, scans of transcript folders, and event-time windows."""
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators.store import insert_messages
+from threadloom.operators.store import advance_watermark, changed_files
+from threadloom.plans.storage import remove, written
+from threadloom.sources import codex, transcripts
+from threadloom.sources.sessions import classify
+
+MESSAGE_SCHEMA = "message_id string, session_id string, message_seq long, message_text string, project_id string, created_at long, message_role string, retrieval_class string"
+MARK_SCHEMA = "path string, last_mtime long, last_size long, vendor string"
+#: Files that one round of a scan reads; their paths go through the driver.
+FILES_A_ROUND = 10_000
+
+
+class ConcurrentWrite(Exception):
+    """Another writer is committing the same version; the batch can be tried again."""
 
 
 class Versioned:
-    """A table as numbered Parquet folders; a small marker file names the current one, so readers never see half a write."""
+    """A table as numbered segments of Parquet. A segment counts once its marker has its name, which one rename gives it.
+
+    A batch adds a segment and touches no other. A segment may replace sessions: their rows in segments before it are hidden
+    when reading. Version numbers are claimed by creating a file, so that two writers never commit the same one.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = "message_id") -> None:
+        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
 
-    def _marker(self):
+    def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Committed versions, ascending."""
+        path, fs = self._fs()
+        names = [s.getPath().getName() for s in (fs.globStatus(path(f"{self.path}/COMMIT-*")) or [])]
+        return sorted(int(n.split("-")[1]) for n in names)
 
     def version(self) -> int:
-        p, fs = self._marker()
-        return int(self.spark.read.text(p.toString()).first()[0]) if fs.exists(p) else 0
+        return max(self.versions(), default=0)
 
     def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], self.schema)
-
-    def swap(self, df: DataFrame) -> None:
+        """The rows that count."""
+        committed = self.versions()
+        if not committed:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(f"{self.schema}, _version int").parquet(*(f"{self.path}/v{v}" for v in committed))
+        path, fs = self._fs()
+        hidden = [f"{self.path}/hide{v}" for v in committed if fs.exists(path(f"{self.path}/hide{v}"))]
+        if hidden:
+            gone = self.spark.read.schema("session_id string, before int").parquet(*hidden).groupBy("session_id").agg(F.max("before").alias("before"))
+            rows = rows.join(gone, "session_id", "left").where(F.col("before").isNull() | (F.col("_version") >= F.col("before"))).drop("before")
+        return rows.select(*(f.split()[0] for f in self.schema.split(", ")))
+
+    def _commit(self, v: int) -> None:
+        path, fs = self._fs()
+        draft = path(f"{self.path}/draft-{uuid.uuid4().hex}")
+        fs.create(draft, True).close()
+        if not fs.rename(draft, path(f"{self.path}/COMMIT-{v}")):
+            raise ConcurrentWrite(v)
+
+    def append(self, df: DataFrame, replaces: DataFrame | None = None) -> int:
+        """Add the rows of ``df`` as a segment, in place of what the sessions in ``replaces`` held; the version made."""
+        path, fs = self._fs()
         v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        p, fs = self._marker()
-        out = fs.create(p, True)
-        out.writeBytes(str(v))
-        out.close()
+        try:
+            fs.create(path(f"{self.path}/claim-{v}"), False).close()
+        except Exception as e:
+            raise ConcurrentWrite(v) from e
+        df.select(*(f.split()[0] for f in self.schema.split(", "))).withColumn("_version", F.lit(v)).write.mode("overwrite").parquet(f"{self.path}/v{v}")
+        if replaces is not None:
+            replaces.select("session_id", F.lit(v).alias("before")).distinct().write.mode("overwrite").parquet(f"{self.path}/hide{v}")
+        self._commit(v)
+        return v
+
+    def release(self) -> None:
+        """Give up a claim whose writer died before it committed."""
+        path, fs = self._fs()
+        fs.delete(path(f"{self.path}/claim-{self.version() + 1}"), False)
+
+    def clear(self) -> None:
+        """Drop all segments."""
+        remove(self.spark, self.path)
+
+    def insert(self, incoming: DataFrame, replaces: DataFrame | None = None) -> int:
+        """Append the rows whose key isn't there, of repeated keys the first by session and place. Reads keys alone, not texts."""
+        new = incoming.groupBy(self.key).agg(F.min_by(F.struct(*incoming.columns), F.struct("session_id", "message_seq")).alias("r")).select("r.*")
+        if self.versions():
+            there = self.read()
+            if replaces is not None:
+                there = there.join(replaces.select("session_id").distinct(), "session_id", "left_anti")
+            new = new.join(there.select(self.key), self.key, "left_anti")
+        return self.append(new, replaces)
 
 
 def ingest_stream(stream: DataFrame, store: Versioned, checkpoint: str):
-    """Merge each micro-batch of message rows into the store; first write wins, so a replayed batch changes nothing."""
+    """Add each micro-batch of message rows to the store; first write wins, so a replayed batch adds nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        store.swap(insert_messages(store.read(), batch))
+        store.insert(batch)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@dataclass(frozen=True)
+class Scan:
+    scanned: int
+    unchanged: int
+    ingested: int
+    failed: int
+
+
+def session_rows(lines: DataFrame, vendor: str, project: str | None = None) -> DataFrame:
+    """Message rows of transcript lines of one vendor, with ``path``."""
+    entries = transcripts.claude_entries(lines) if vendor == "claude" else codex.entries(lines).withColumn("parent_tool", F.lit(None).cast("string"))
+    rows = transcripts.message_rows(entries, project, keep="path")
+    return rows.withColumn("project_id", normal_path(F.col("project_id")))
+
+
+def normal_path(path):
+    """Forward slashes, no slash at the end, drive letters in lower case."""
+    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "(?<=.)/+$", "")
+    return F.when(F.regexp_like(p, F.lit("^[A-Z]:")), F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, F.length(p)))).otherwise(p)
+
+
+def ingest_scan(
+    spark: SparkSession, roots: dict[str, str], store: Versioned, marks: Versioned, provenance: Versioned, files_a_round: int = FILES_A_ROUND, force: bool = False
+) -> Scan:
+    """List the transcripts below ``roots`` (vendor -> folder), ingest those that changed since their mark, advance their marks.
+
+    A file that can't be read keeps its mark and counts as failed. ``force`` ingests all files and replaces their sessions.
+    """
+    listing = None
+    for vendor, root in roots.items():
+        one = transcripts.list_files(spark, root, vendor)
+        listing = one if listing is None else listing.unionByName(one)
+    listing = written(listing, "listing")
+    state = written(changed_files(listing, latest_marks(marks)), "changed")
+    counts = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
+    todo = state if force else state.where("state <> 'unchanged'")
+    ingested, wanted = 0, todo.orderBy("path").select("path", "vendor").collect()  # paths; each round reads a bounded number
+    for vendor in roots:
+        own = [r["path"] for r in wanted if r["vendor"] == vendor]
+        for at in range(0, len(own), files_a_round):
+            ingested += _ingest_files(spark, vendor, own[at : at + files_a_round], listing, store, marks, provenance, force)
+    return Scan(sum(counts.values()), 0 if force else counts.get("unchanged", 0), ingested, len(wanted) - ingested)
+
+
+def latest_marks(marks: Versioned) -> DataFrame:
+    """The last mark of each path."""
+    m = marks.read()
+    return m.groupBy("path").agg(F.max_by(F.struct("last_mtime", "last_size", "vendor"), F.struct("last_mtime", "last_size")).alias("m")).select("path", "m.*")
+
+
+def _ingest_files(spark: SparkSession, vendor: str, paths: list[str], listing: DataFrame, store: Versioned, marks: Versioned, provenance: Versioned, force: bool) -> int:
+    lines = written(transcripts.read_lines(spark, paths, tolerant=True), "lines")
+    there = lines.select("path").distinct()
+    files = transcripts.evidence(there, vendor, lines)
+    stored = latest_provenance(provenance).select("transcript_path", "kind", "session_id", "parent_session_id")
+    classed = written(classify(files, stored), "classes")
+    rows = session_rows(lines, vendor).join(classed.select("path", F.col("session_id").alias("_s"), "kind"), "path")
+    rows = rows.withColumn("session_id", F.col("_s")).withColumn("retrieval_class", F.when(F.col("kind") == "agent", "agent").otherwise("hot"))
+    store.insert(rows.drop("path", "_s", "kind"), classed.select("session_id") if force else None)
+    agents = classed.withColumn("vendor", F.lit(vendor)).withColumnRenamed("path", "transcript_path")
+    provenance.append(agents.select("session_id", "vendor", "kind", "parent_session_id", "transcript_path"))
+    done = listing.join(there, "path", "left_semi")
+    none = spark.createDataFrame([], MARK_SCHEMA)
+    marks.append(advance_watermark(none, done))
+    return done.count()
+
+
+PROVENANCE_SCHEMA = "session_id string, vendor string, kind string, parent_session_id string, transcript_path string"
+
+
+def latest_provenance(provenance: Versioned) -> DataFrame:
+    """What is known of each session; an agent stays one, and a parent once known stays known."""
+    p = provenance.read()
+    return p.groupBy("session_id").agg(
+        F.max("vendor").alias("vendor"), F.min("kind").alias("kind"), F.max("parent_session_id").alias("parent_session_id"), F.max("transcript_path").alias("transcript_path")
+    )
+
+
+def vendor_of(path, codex_home: str | None = None):
+    """By the path: below a ``.codex`` folder or the vendor's home it is codex, else claude."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    below = F.contains(p, F.lit("/.codex/"))
+    if codex_home:
+        home = codex_home.replace("\\", "/").removesuffix("/")
+        below = below | (p == home) | F.startswith(p, F.lit(f"{home}/"))
+    return F.when(below, "codex").otherwise("claude")
+
+
+def hook_targets(events: DataFrame, codex_home: str | None = None) -> DataFrame:
+    """(session_id, path, vendor, hook_session, hook_agent) of stop events (value: JSON); events without a target go.
+
+    The transcript of a sub-agent counts before that of its session.
+    """
+    j = events.withColumn("j", F.try_parse_json("value")).where(F.col("j").isNotNull())
+    get = lambda p: F.nullif(F.try_variant_get("j", p, "string"), F.lit(""))
+    agent, own, session = get("$.agent_transcript_path"), get("$.transcript_path"), get("$.session_id")
+    name = F.regexp_replace(F.element_at(F.split(F.replace(agent, F.lit("\\"), F.lit("/")), "/"), -1), r"(?i)\.jsonl$", "")
+    out = j.select(
+        F.when(agent.isNotNull(), F.nullif(name, F.lit(""))).otherwise(F.when(own.isNotNull(), session)).alias("session_id"), F.coalesce(agent, own).alias("path"),
+        session.alias("hook_session"), F.when(agent.isNotNull(), F.coalesce(get("$.agent_id"), F.lit(""))).alias("hook_agent"),
+    )
+    return out.where(F.col("session_id").isNotNull()).withColumn("vendor", vendor_of(F.col("path"), codex_home))
+
+
+def unindexed(listing: DataFrame, messages: DataFrame) -> DataFrame:
+    """Listed transcripts whose session has no message yet."""
+    known = messages.select(F.col("session_id").alias("_s")).distinct()
+    return listing.withColumn("_s", transcripts.session_of(F.col("path"))).join(known, "_s", "left_anti").withColumnRenamed("_s", "session_id")
+
+
 def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums of values by event type and window; rows later than ``late`` are dropped once the watermark passes."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
