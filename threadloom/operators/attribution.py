@@ -104,6 +104,13 @@ def match_commits(edits: DataFrame, commits: DataFrame, added: DataFrame, blobs:
     )
 
 
+def common_trigrams(edits: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(hash, file, session, common): distinct trigrams of a session's edits of a file that stand in the committed file."""
+    own = edits.select("session", "file", F.explode(trigrams(F.split("content", "\n"))).alias("tri")).distinct()
+    there = blobs.select("hash", "file", F.explode(trigrams(F.split("content", "\n"))).alias("tri"))
+    return own.join(there, ["file", "tri"]).groupBy("hash", "file", "session").agg(F.count("*").alias("common"))
+
+
 def blamed_commits(porcelain: DataFrame) -> DataFrame:
     """(hash) of the commits in ``porcelain`` (line), the lines of ``git blame --porcelain``; lines not committed have none."""
     found = F.regexp_extract("line", r"^([0-9a-f]{40}) \d+ \d+", 1)

@@ -66,6 +66,23 @@ def adjacent(messages: DataFrame, session: str, seq: int, window: int = 1) -> Da
     return in_scope(messages, session=session).where(F.col("message_seq").between(max(0, seq - window), seq + window))
 
 
+def turn_context(messages: DataFrame, session: str, message_id: str, context: int = 0) -> DataFrame:
+    """The messages around one, ``context`` of them on either side (0 to 5)."""
+    at = in_scope(messages, session=session).where(F.col("message_id") == message_id).select(F.col("message_seq").alias("_seq"))
+    near = in_scope(messages, session=session).join(F.broadcast(at), F.abs(F.col("message_seq") - F.col("_seq")) <= max(0, min(5, context)))  # one row
+    return near.drop("_seq")
+
+
+def sessions_of(messages: DataFrame, retrieval_class: str = "agent") -> DataFrame:
+    """The distinct sessions of a class."""
+    return messages.where(F.col("retrieval_class") == retrieval_class).select("session_id").distinct()
+
+
+def names_of(ids: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name) by which sessions can be called: their ids and their aliases, each once."""
+    return ids.select(F.col("session_id").alias("name")).union(aliases.select("alias_id")).distinct()
+
+
 def read_turn(messages: DataFrame, session: str, message_id: str) -> DataFrame:
     """The user and assistant texts of the turn that a message belongs to."""
     m = in_scope(messages, session=session).select("message_id", "message_seq", "message_text", infer_role().alias("role"))

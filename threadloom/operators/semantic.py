@@ -58,6 +58,18 @@ def unembedded(messages: DataFrame, vectors: DataFrame, version: int = VERSION)
     return m.join(current, "message_id", "left_anti").where((F.length("message_text") >= MIN_CHARS) | F.col("has_previous"))
 
 
+def without_vector(messages: DataFrame, vectors: DataFrame, version: int = VERSION) -> DataFrame:
+    """Hot messages without a current vector, eligible or not."""
+    return hot(messages).join(vectors.where(F.col("embed_version") == version).select("message_id"), "message_id", "left_anti")
+
+
+def has_vectors(messages: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(session_id, has_vectors, has_messages): whether any of a session's messages has a vector, and whether any is hot."""
+    v = vectors.select("message_id", F.lit(True).alias("_v"))
+    is_hot = F.max(F.col("retrieval_class") == "hot")
+    return messages.join(v, "message_id", "left").groupBy("session_id").agg((F.count("_v") > 0).alias("has_vectors"), is_hot.alias("has_messages"))
+
+
 def gap(messages: DataFrame, vectors: DataFrame, version: int = VERSION) -> DataFrame:
     """total hot non-empty messages and how many wait for a vector."""
     total = hot(messages).where(F.trim("message_text") != "").agg(F.count("*").alias("total"))

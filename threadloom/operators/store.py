@@ -70,6 +70,12 @@ def is_leaf(session: str = "session_id"):
     return F.startswith(session, F.lit("agent-"))
 
 
+def unresolved(messages: DataFrame, known: DataFrame) -> DataFrame:
+    """Sessions whose ids are of the second vendor's form, but of which no file tells what they are."""
+    shaped = messages.where(F.startswith("message_id", F.lit("codex-jsonl-"))).select("session_id")
+    return shaped.distinct().join(known.select("session_id").distinct(), "session_id", "left_anti")
+
+
 def migrate_classes(messages: DataFrame, vectors: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Messages with classes, vectors of hot ones, provenance of the agents, and a one-row report.
 
@@ -85,12 +91,11 @@ def migrate_classes(messages: DataFrame, vectors: DataFrame, files: DataFrame) -
     own = leaves.join(claude.dropDuplicates(["session_id"]), "session_id", "left").withColumn("vendor", F.lit("claude"))
     agents = own.unionByName(children.withColumn("vendor", F.lit("codex"))).withColumn("kind", F.lit("agent"))
     now, left = reclassify(messages, vectors, agents)
-    shaped = messages.where(F.startswith("message_id", F.lit("codex-jsonl-"))).select("session_id").distinct()
     known = agents.select("session_id").union(files.where("vendor = 'codex' and not is_child").select("session_id")).distinct()
     changed = messages.where("retrieval_class <> 'agent'").join(agents.select("session_id").distinct(), "session_id", "left_semi")
     report = (
         agents.agg(F.count_distinct("session_id").alias("agent_sessions")).crossJoin(changed.agg(F.count("*").alias("agent_messages")))
-        .crossJoin(shaped.join(known, "session_id", "left_anti").agg(F.count("*").alias("unresolved")))
+        .crossJoin(unresolved(messages, known).agg(F.count("*").alias("unresolved")))
         .crossJoin(vectors.join(left.select("message_id"), "message_id", "left_anti").agg(F.count("*").alias("purged_vectors")))
     )  # one row each
     return now, left, agents, report

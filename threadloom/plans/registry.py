@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import vector as V
 from threadloom.functions.query_text import And, Not, Or, Phrase
 from threadloom.functions.stem import tokens
-from threadloom.operators import attribution, fulltext, fusion, messages, semantic, store
+from threadloom.operators import attribution, fulltext, fusion, messages, search, semantic, store
 from threadloom.operators.search_index import Index
 from threadloom.plans import storage, views
 from threadloom.plans.views import DOC_MESSAGES_SQL, EPOCH, MESSAGES_SQL, doc_messages, table, vectors_sql
@@ -278,8 +278,7 @@ def newest_gap_sessions(spark, sf_dir):
 
 @query(_vectors_cte(50) + " SELECT message_id FROM doc_messages WHERE retrieval_class = 'hot' AND message_id NOT IN (SELECT message_id FROM vectors WHERE embed_version = 3)")
 def anti_unembedded(spark, sf_dir):
-    current = views.vectors(spark, sf_dir).where("embed_version = 3")
-    return messages.hot(doc_messages(spark, sf_dir)).join(current, "message_id", "left_anti").select("message_id")
+    return semantic.without_vector(doc_messages(spark, sf_dir), views.vectors(spark, sf_dir)).select("message_id")
 
 
 @query(M + """ SELECT m.message_id, (SELECT p.message_text FROM messages p WHERE p.session_id = m.session_id AND p.retrieval_class = 'hot' AND p.message_seq < m.message_seq
@@ -725,33 +724,72 @@ def rrf_outer(spark, sf_dir):
     return _fused(spark, sf_dir).select("message_id", "fts_pos", "sem_pos")
 
 
-@query(M + " SELECT DISTINCT session_id FROM messages WHERE length(message_text) < 50 UNION SELECT session_id FROM messages WHERE retrieval_class = 'agent'")
+@query(M + " SELECT DISTINCT session_id AS name FROM messages UNION SELECT 'alias-' || session_id FROM messages")
 def set_union_dedup(spark, sf_dir):
-    m = views.messages(spark, sf_dir)
-    return m.where(F.length("message_text") < 50).select("session_id").union(m.where("retrieval_class = 'agent'").select("session_id")).distinct()
+    """All names of sessions, ids and aliases, each once."""
+    return messages.names_of(*_aliases(spark, sf_dir))
 
 
-@query(M + " SELECT session_id FROM messages WHERE length(message_text) < 200 INTERSECT SELECT session_id FROM messages WHERE length(message_text) > 400")
+@query(_ATTR + ", own AS (SELECT DISTINCT session, file, tri FROM te) SELECT tc.hash, tc.file, own.session, count(*) AS common FROM own JOIN tc USING (file, tri) GROUP BY 1, 2, 3")
 def set_intersect(spark, sf_dir):
-    m = views.messages(spark, sf_dir)
-    return m.where(F.length("message_text") < 200).select("session_id").intersect(m.where(F.length("message_text") > 400).select("session_id"))
+    """Trigrams of each session's edits that a committed file holds, too."""
+    edits, _, _, blobs = _attribution(spark, sf_dir)
+    return attribution.common_trigrams(edits, blobs)
 
 
-@query(M + " SELECT session_id FROM messages EXCEPT SELECT session_id FROM messages WHERE message_seq > 3")
+@query(D + " SELECT DISTINCT session_id FROM doc_messages WHERE session_id IN ('src5', 'src6', 'src7', 'src8') AND session_id NOT IN ('src5', 'src7')")
 def set_except(spark, sf_dir):
-    m = views.messages(spark, sf_dir)
-    return m.select("session_id").subtract(m.where("message_seq > 3").select("session_id"))
+    """Sessions of one vendor's form without those that are accounted for."""
+    m = doc_messages(spark, sf_dir)
+    id_ = F.when(F.col("session_id").isin("src5", "src6", "src7", "src8"), F.concat(F.lit("codex-jsonl-"), "message_id")).otherwise(F.col("message_id"))
+    return store.unresolved(m.withColumn("message_id", id_), m.where("session_id in ('src5', 'src7')"))
 
 
-@query(M + " SELECT session_id, max(created_at) AS newest FROM messages WHERE retrieval_class = 'hot' GROUP BY session_id")
+@query(M + " SELECT DISTINCT session_id FROM messages WHERE retrieval_class = 'agent'")
 def agg_distinct(spark, sf_dir):
-    return messages.hot(views.messages(spark, sf_dir)).groupBy("session_id").agg(F.max("created_at").alias("newest"))
+    return messages.sessions_of(views.messages(spark, sf_dir))
 
 
-@query(_vectors_cte(50) + " SELECT session_id, count(v.message_id) > 0 AS has_vectors FROM doc_messages LEFT JOIN vectors v USING (message_id) GROUP BY session_id")
+@query(_vectors_cte(50) + " SELECT session_id, count(v.message_id) > 0 AS has_vectors, max(retrieval_class = 'hot') AS has_messages FROM doc_messages LEFT JOIN vectors v USING (message_id) GROUP BY session_id")
 def agg_exists(spark, sf_dir):
-    v = views.vectors(spark, sf_dir).select("message_id", F.lit(True).alias("v"))
-    return doc_messages(spark, sf_dir).join(v, "message_id", "left").groupBy("session_id").agg((F.count("v") > 0).alias("has_vectors"))
+    return semantic.has_vectors(doc_messages(spark, sf_dir), views.vectors(spark, sf_dir))
+
+
+@query(D + " SELECT m.message_id, m.message_seq FROM doc_messages m JOIN doc_messages t ON t.message_id = 'd27' AND m.session_id = t.session_id AND abs(m.message_seq - t.message_seq) <= 2")
+def read_turn_context(spark, sf_dir):
+    return messages.turn_context(doc_messages(spark, sf_dir), "src7", "d27", 2).select("message_id", "message_seq")
+
+
+_DAYS = " WHERE created_at >= {} AND created_at < {}".format(EPOCH, EPOCH + 24 * HOUR)
+
+
+@query(_fused_sql(None) + _FUSED_OUT.format("fused") + _DAYS)
+def search_period(spark, sf_dir):
+    """Of the fused results those of the first day; the filter follows the ranking."""
+    return _shown(search.in_period(_fused(spark, sf_dir), "2024-01-01", "2024-01-01"))
+
+
+def _no_vectors(texts):
+    raise RuntimeError("no embedder")
+
+
+@query(f"""{_TOKENS}, {_bm25_sql({'f1': _term('clown')}, 'f1 > 0', 60)} SELECT message_id, round(1 / (60 + pos), 9) AS score, pos AS fts_pos FROM top_fts""")
+def embed_query(spark, sf_dir):
+    """Where the embedder fails, keywords alone are searched."""
+    found = search.search(doc_messages(spark, sf_dir), _index(spark, sf_dir), views.vectors(spark, sf_dir), "clown", _no_vectors)
+    return found.scored.select("message_id", F.round("score", 9).alias("score"), "fts_pos")
+
+
+@query("SELECT 0::BIGINT AS hits, false AS semantic_available, 1.0::DOUBLE AS coverage")
+def search_empty(spark, sf_dir):
+    found = search.search(doc_messages(spark, sf_dir), _index(spark, sf_dir), views.vectors(spark, sf_dir), "  ", _no_vectors)
+    return found.scored.agg(F.count("*").alias("hits")).select("hits", F.lit(found.semantic_available).alias("semantic_available"), F.lit(found.coverage).alias("coverage"))
+
+
+@query(f"""{_TOKENS}, {_bm25_sql({'f1': _term('clown')}, "f1 > 0 AND session_id = 'src3'", 20)}{_FTS_OUT}""")
+def search_transcript(spark, sf_dir):
+    found = search.search_transcript(doc_messages(spark, sf_dir), _index(spark, sf_dir), "src3", "clown")
+    return found.withColumn("rank", F.round("rank", 6))
 
 
 @query(f"""WITH f AS (SELECT conv_id, {EPOCH} + conv_id * 3600000 AS mtime_ms FROM (SELECT DISTINCT conv_id FROM conversations)),

@@ -386,8 +386,8 @@ def flt_trivial(spark, sf_dir):
     return sessions.session_facts(e, sizes).select("path", "entries", "messages", "trivial")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, sum(strlen(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - strlen(coalesce(text, '')) - 1 AS at FROM conversations)
-SELECT '/t/' || conv_id AS path, at::BIGINT AS "offset", text FROM t WHERE role = 'user' AND turn % 3 <> 1 AND trim(text) NOT IN ('', 'Warmup')""")
+@query("""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, sum(strlen(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - strlen(coalesce(text, '')) - 1 AS pos FROM conversations)
+SELECT '/t/' || conv_id AS path, pos::BIGINT AS "offset", text FROM t WHERE role = 'user' AND turn % 3 <> 1 AND trim(text) NOT IN ('', 'Warmup')""")
 def scan_prompts(spark, sf_dir):
     """What users asked and where it begins, in bytes; meta entries (here each third turn) don't count."""
     c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
