@@ -36,7 +36,8 @@ def embed_rows(rows: DataFrame, embedder: Embedder, batch: int = BATCH) -> DataF
                 except Exception:
                     got = [_alone(embedder, t) for t in texts]
                 kept = [(i, v) for i, v in zip(part["message_id"], got, strict=True) if v is not None]
-                yield pd.DataFrame({"message_id": [i for i, _ in kept], "v": [list(map(float, v)) for _, v in kept]})
+                if kept:
+                    yield pd.DataFrame({"message_id": [i for i, _ in kept], "v": [list(map(float, v)) for _, v in kept]})
 
     texts = rows.select("message_id", F.substring(F.trim("embed_text"), 1, EMBED_CHARS).alias("embed_text")).where(F.col("embed_text") != "")
     v = texts.mapInPandas(vectors, "message_id string, v array<double>")

@@ -28,6 +28,19 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def posting_rows(messages: DataFrame, stems: bool) -> DataFrame:
+    """(term, message_id, ..., len, positions) of the hot messages. Stems are made once for each distinct term."""
+    own = hot(messages).withColumn("_tokens", (word_tokens if stems else tokens)("message_text"))
+    at = own.select("message_id", *_ORDER, F.size("_tokens").alias("len"), F.posexplode("_tokens").alias("pos", "term"))
+    # one row a message and token first, so that a frequent token is looked up once for each message
+    met = at.groupBy("message_id", "term", *_ORDER, "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    if not stems:
+        return met
+    known = met.select("term").distinct().withColumn("stem", stemmed("term"))
+    named = met.join(known, "term").withColumn("term", F.col("stem")).where("term <> ''")
+    return named.groupBy("term", "message_id", *_ORDER, "len").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
 class Index:
     """Postings of the hot messages, of stems or of whole tokens."""
 
@@ -40,18 +53,10 @@ class Index:
     def build(cls, messages: DataFrame, path: str, stems: bool = True, buckets: int = BUCKETS) -> Index:
         """Write the index of ``messages`` below ``path`` (an empty folder). Stems are made once for each distinct term."""
         spark, path = messages.sparkSession, path.rstrip("/")
-        own = hot(messages).withColumn("_tokens", (word_tokens if stems else tokens)("message_text"))
-        totals = own.agg(F.count("*").alias("messages"), F.coalesce(F.avg(F.size("_tokens")), F.lit(0.0)).alias("mean"))
+        length = F.size((word_tokens if stems else tokens)("message_text"))
+        totals = hot(messages).agg(F.count("*").alias("messages"), F.coalesce(F.avg(length), F.lit(0.0)).alias("mean"))
         totals.select("messages", "mean", F.lit(stems).alias("stems"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
-        at = own.select("message_id", *_ORDER, F.size("_tokens").alias("len"), F.posexplode("_tokens").alias("pos", "term"))
-        if stems:
-            # one row a message and token first, so that a frequent token is looked up once for each message
-            met = at.groupBy("message_id", "term", *_ORDER, "len").agg(F.collect_list("pos").alias("p"))
-            known = met.select("term").distinct().withColumn("stem", stemmed("term"))
-            met = met.join(known, "term").withColumn("term", F.col("stem")).where("term <> ''")
-            rows = met.groupBy("term", "message_id", *_ORDER, "len").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("positions"))
-        else:
-            rows = at.groupBy("term", "message_id", *_ORDER, "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        rows = posting_rows(messages, stems)
         rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
         # a frequent term is dealt to several files of its folder; within a file a term's rows stand together
         dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("message_id"), F.lit(4))).sortWithinPartitions("bucket", "term")
@@ -65,6 +70,13 @@ class Index:
         schema = "term string, message_id string, session_id string, message_seq long, project_id string, created_at long, len int, positions array<int>, bucket int"
         return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
 
+    def differences(self, messages: DataFrame) -> DataFrame:
+        """(term, message_id, state) of postings that the messages don't have (stale) or the index lacks (missing); none if it is intact."""
+        key = ["term", "message_id", "positions"]
+        stored, fresh = self.postings().select(*key), posting_rows(messages, self.stems).select(*key)
+        stale = stored.exceptAll(fresh).withColumn("state", F.lit("stale"))
+        return stale.unionByName(fresh.exceptAll(stored).withColumn("state", F.lit("missing"))).drop("positions")
+
     def vocabulary(self) -> DataFrame:
         """(term, doc, cnt): messages that hold the term, and occurrences."""
         return self.spark.read.schema("term string, doc long, cnt long").parquet(f"{self.path}/vocabulary")
@@ -152,10 +164,8 @@ def _words(query: str) -> list[str]:
 
 def _occurs(i: int, p: Phrase) -> Column:
     """How often the phrase stands in the message: positions of its first token that the others follow."""
-    starts = F.array_distinct(F.col(f"_p{i}_0"))
-    for j in range(1, len(p.tokens)):
-        starts = F.array_intersect(starts, F.transform(F.col(f"_p{i}_{j}"), lambda x, j=j: x - j))
-    return F.size(starts)
+    shifted = lambda j: F.transform(F.col(f"_p{i}_{j}"), lambda x: x - j)
+    return F.size(reduce(F.array_intersect, map(shifted, range(1, len(p.tokens))), F.array_distinct(F.col(f"_p{i}_0"))))
 
 
 def fit(plan: object, where: dict[Phrase, Column]) -> Column:

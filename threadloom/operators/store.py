@@ -56,11 +56,6 @@ def advance_watermark(watermark: DataFrame, done: DataFrame) -> DataFrame:
     return watermark.join(new.select("path"), "path", "left_anti").unionByName(new.select(*watermark.columns))
 
 
-def same_postings(a: DataFrame, b: DataFrame) -> bool:
-    """Integrity of an index against one rebuilt from the messages."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-
-
 def repair_vectors(vectors: DataFrame) -> DataFrame:
     """No vectors; the next sweep makes them anew."""
     return vectors.limit(0)

@@ -411,6 +411,20 @@ def join_fts_msgs(spark, sf_dir):
     return _keyword(spark, sf_dir, OR_PLAN, 10, project="p1")
 
 
+@query(_TOKENS + """, x AS (SELECT DISTINCT message_id, session_id, unnest(toks) AS term FROM t)
+SELECT term, message_id, 'stale' AS state FROM x WHERE session_id = 'src2'""")
+def fts_integrity(spark, sf_dir):
+    """What the index holds of a session that has gone since."""
+    return _index(spark, sf_dir).differences(doc_messages(spark, sf_dir).where("session_id <> 'src2'"))
+
+
+@query(_TOKENS + ", x AS (SELECT message_id, unnest(toks) AS term FROM t WHERE project_id = 'p1') SELECT term, count(DISTINCT message_id) AS doc, count(*) AS cnt FROM x GROUP BY term")
+def fts_rebuild(spark, sf_dir):
+    """The vocabulary of an index made anew over what is left."""
+    left = doc_messages(spark, sf_dir).where("project_id = 'p1'")
+    return Index.build(left, storage.scratch(spark, "rebuilt"), stems=False).vocabulary()
+
+
 def _stem(*endings: str, of: str) -> str:
     return f"len(list_filter(toks, lambda x: regexp_full_match(x, '{of}({'|'.join(endings)})?')))"
 

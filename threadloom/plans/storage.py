@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not base:
-        if not conf.get("spark.master", "").startswith("local["):
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", base)

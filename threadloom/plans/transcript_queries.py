@@ -34,7 +34,8 @@ def claude_lines(spark, sf_dir):
     uuid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     cwd = F.concat(F.lit("/w/p"), (F.col("conv_id") % 5).cast("string"))
     role, said = F.col("role"), F.col("said")
-    string = _json(type=role, uuid=uuid, timestamp=F.col("ts"), cwd=cwd, message=F.struct(role.alias("role"), said.alias("content")))
+    result = F.when(F.col("turn") % 6 == 0, F.struct(F.concat(F.lit("c"), (F.col("turn") % 4).cast("string")).alias("agentId")))
+    string = _json(type=role, uuid=uuid, timestamp=F.col("ts"), cwd=cwd, toolUseResult=result, isSidechain=F.col("conv_id") % 10 == 9, message=F.struct(role.alias("role"), said.alias("content")))
     text = F.struct(F.lit("text").alias("type"), said.alias("text"), F.lit(None).cast("string").alias("name"))
     tool = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("Bash").alias("name"))
     blocks = _json(type=role, uuid=uuid, timestamp=F.col("ts"), cwd=cwd, message=F.struct(role.alias("role"), F.array(text, tool).alias("content")))
@@ -66,6 +67,13 @@ def adapt_a(spark, sf_dir):
     return _entries(spark, sf_dir).select("path", "line_no", "type", "uuid", "text", "is_meta", "parent_tool", "created_at", "cwd")
 
 
+@query(_CLAUDE + """ SELECT e.path, sum(CASE WHEN type IN ('user', 'assistant') AND line_no % 3 = 1 THEN 1 ELSE 0 END)::BIGINT AS tool_uses, count(*) FILTER (WHERE type IN ('user', 'assistant') AND NOT is_meta) AS messages,
+array_to_string(list_sort(coalesce(list(DISTINCT 'agent-c' || line_no % 4) FILTER (WHERE type = 'user' AND line_no % 6 = 0), [])), ',') AS children FROM e GROUP BY path""")
+def agg_meta(spark, sf_dir):
+    c = sessions.content_counts(_entries(spark, sf_dir))
+    return c.select("path", F.col("tool_uses").cast("long").alias("tool_uses"), "messages", F.array_join("children", ",").alias("children"))
+
+
 @query(_CLAUDE + " SELECT path, line_no FROM e WHERE is_meta")
 def flt_system_ctx(spark, sf_dir):
     return _entries(spark, sf_dir).where("is_meta").select("path", "line_no")

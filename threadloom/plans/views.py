@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.vector import l2_norm, q8, q8_scale
+from threadloom.plans.storage import written
 
 EPOCH = 1_704_067_200_000
 EMBED_VERSION = 3
@@ -34,11 +35,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
 def doc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as messages: a source is a session, the role alternates."""
+    """``documents`` as messages, stored at first use, as an ingest would: a source is a session, the role alternates."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = written(_doc_messages(spark, sf_dir), "doc-messages")
+    return _stored[key]
+
+
+def _doc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids alone are numbered by source; the texts come by a join on the id."""
     d = table(spark, sf_dir, "documents")
-    seq = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return d.withColumn("message_seq", seq.cast("long")).select(
+    seq = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")
+    return d.join(d.select("doc_id", seq.alias("message_seq")), "doc_id").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("message_id"),
         F.col("source").alias("session_id"),
         "message_seq",

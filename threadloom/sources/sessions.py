@@ -93,6 +93,21 @@ def session_facts(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     return f.select("path", label.alias("label"), n.alias("entries"), F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("tool_uses", F.lit(0)).alias("tool_uses"), "last_response", "model", etag.alias("etag"), F.coalesce(trivial, F.lit(False)).alias("trivial"))
 
 
+def content_counts(entries: DataFrame) -> DataFrame:
+    """Per file: tool_uses, messages (user and assistant, no meta), children (ids of the sub-agents that results name), and whether it is a side chain.
+
+    ``entries``: (path, line_no, type, is_meta, is_sidechain, content, kind, result_agent).
+    """
+    blocks = F.from_json("content", "array<struct<type:string>>")
+    uses = F.when(F.col("kind").startswith("ARRAY"), F.size(F.filter(blocks, lambda b: b["type"] == "tool_use"))).otherwise(0)
+    message = F.col("type").isin("user", "assistant") & ~F.coalesce("is_meta", F.lit(False))
+    child = F.when((F.col("type") == "user") & (F.coalesce("result_agent", F.lit("")) != ""), F.concat(F.lit("agent-"), F.col("result_agent")))
+    return entries.groupBy("path").agg(
+        F.coalesce(F.sum(uses), F.lit(0)).alias("tool_uses"), F.count_if(message).alias("messages"), F.array_sort(F.collect_set(child)).alias("children"),
+        F.coalesce(F.min_by("is_sidechain", "line_no"), F.lit(False)).alias("sidechain"),
+    )
+
+
 def prompts(entries: DataFrame) -> DataFrame:
     """Entries (type, text, is_meta, is_tool_result) in which a user asks something: no meta entries, tool results, warm-ups, blanks."""
     asked = (F.col("type") == "user") & ~F.coalesce("is_meta", F.lit(False)) & ~F.coalesce("is_tool_result", F.lit(False))

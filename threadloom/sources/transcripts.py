@@ -125,7 +125,7 @@ def claude_entries(lines: DataFrame) -> DataFrame:
         F.coalesce(F.schema_of_variant(part), F.lit("STRING")).alias("kind"), pick("$.data.message.message.model", "$.message.model").alias("model"),
         F.coalesce(pick("$.data.message.message.role", "$.message.role"), F.when(alone & _get("$.content").isNotNull(), "assistant")).alias("role"),
         F.coalesce(_get("$.isMeta", "boolean"), F.lit(False)).alias("_meta"), F.coalesce(_get("$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"),
-        F.coalesce(_get("$.agentId"), _get("$.data.agentId")).alias("agent_id"), "_progress",
+        F.coalesce(_get("$.agentId"), _get("$.data.agentId")).alias("agent_id"), F.coalesce(_get("$.toolUseResult.agentId"), _get("$.tool_use_result.agentId")).alias("result_agent"), "_progress",
     )
     e = e.where(F.col("type").isNotNull() & (F.col("type") != "queue-operation") & ~(F.col("_progress") & (F.coalesce("content", F.lit("")) == "")))
     first = F.get(F.filter(F.from_json("content", _BLOCKS), lambda b: b["type"] == "text"), F.lit(0))["text"]
