@@ -69,6 +69,32 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in offsets) == sorted((i, len(x), crc(x)) for i, x in want)
 
 
+def test_token_files_have_indexes(spark, tmp_path):
+    """The stripes' footers: integers run-length encoded, a row index for each column, a Bloom filter on the ids; readers skip by id."""
+    df = spark.range(5_000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    token_output.write_tokens(df, f"{tmp_path}/t", queries.tokenizer_path(), 2, file_bytes=30_000)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = sorted((tmp_path / "t").glob("*.orc"))
+    assert len(files) > 1
+    ranges = []
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        footer = rows.readStripeFooter(reader.getStripes().get(0))
+        streams = {(s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList()}
+        encodings = [c.getKind().toString() for c in footer.getColumnsList()]
+        assert {("ROW_INDEX", 1), ("ROW_INDEX", 3)} <= streams and ("BLOOM_FILTER_UTF8", 1) in streams
+        assert encodings[1] == "DIRECT_V2" and encodings[3] == "DIRECT_V2"
+        stats = reader.getStatistics()[1]
+        ranges.append((stats.getMinimum(), stats.getMaximum()))
+        rows.close()
+    ranges.sort()
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    one = token_output.read_tokens(spark, f"{tmp_path}/t").where("doc_id = 2400")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,2400)" in plan.split("PushedFilters")[1].split("\n")[0] and one.count() == 1
+
+
 def test_token_files_of_an_empty_table(spark, docs, tmp_path):
     token_output.write_tokens(docs.limit(0), f"{tmp_path}/t", queries.tokenizer_path(), 2)
     assert token_output.token_offsets(spark, f"{tmp_path}/t").count() == 0

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from . import tokens
 from ._spark import text_bytes
 
-#: Text of one output file, in bytes.
-FILE_BYTES = 16 << 20
+#: Text of one output file, in bytes, and the most files: their bounds and totals go through one task. At 100 TB a file is 1 GB.
+FILE_BYTES, MOST_FILES = 16 << 20, 100_000
 STRIPE_BYTES = 8 << 20
 ROW_INDEX_STRIDE = 1000
 
@@ -30,7 +30,7 @@ def write_tokens(
     one row, whatever their length.
     """
     spark = df.sparkSession
-    files = max(1, -(-text_bytes(df, text_col) // file_bytes))
+    files = max(1, min(MOST_FILES, -(-text_bytes(df, text_col) // file_bytes)))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
