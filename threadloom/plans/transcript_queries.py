@@ -402,3 +402,105 @@ def scan_prompts(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     e = c.select(F.concat(F.lit("/t/"), F.col("conv_id").cast("string")).alias("path"), F.coalesce(F.sum(F.octet_length("text") + 1).over(w), F.lit(0)).alias("offset"), F.col("role").alias("type"), "text", (F.col("turn") % 3 == 1).alias("is_meta"), F.lit(False).alias("is_tool_result"))
     return sessions.prompts(e).select("path", "offset", "text")
+
+
+@query("""WITH f AS (SELECT DISTINCT conv_id FROM conversations) SELECT '/t/' || conv_id AS path, (conv_id + 5)::BIGINT AS mtime_ms, CASE WHEN conv_id % 3 = 2 THEN 4 ELSE 12 END::BIGINT AS size,
+CASE WHEN conv_id % 3 = 2 THEN 4 ELSE 8 END::BIGINT AS "offset" FROM f""")
+def src_incremental(spark, sf_dir):
+    """States after a round: files that grew by a line and a half one, that are new, and that shrank."""
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    path, rest = F.concat(F.lit("/t/"), F.col("conv_id").cast("string")), F.col("conv_id") % 3
+    value = F.when(rest == 2, "new\n").otherwise("one\ntwo\nhalf")
+    files = c.select(path.alias("path"), value.alias("value"))
+    listing = c.select(path.alias("path"), (F.col("conv_id") + 5).alias("mtime_ms"), F.length(value).cast("long").alias("size"))
+    state = c.where("conv_id % 3 > 0").select(path.alias("path"), F.col("conv_id").alias("mtime_ms"), F.when(rest == 1, 4).otherwise(30).cast("long").alias("size"), F.when(rest == 1, 4).otherwise(30).cast("long").alias("offset"))
+    return transcripts.next_state(state, listing, transcripts.new_lines(files, state))
+
+
+@query(M + """, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY message_seq) > 1 AS before FROM messages WHERE retrieval_class = 'hot')
+SELECT session_id, count(*) AS made FROM p WHERE trim(message_text) <> '' AND (length(message_text) >= 50 OR before) GROUP BY session_id""")
+def drain(spark, sf_dir):
+    """Vectors for all messages that wait, sweep by sweep."""
+    m = views.messages(spark, sf_dir)
+    none = spark.createDataFrame([], "message_id string, embedding_q8 array<int>, norm double, quant_scale double, embed_version int")
+    made, _ = embedding.drain(m, none, length_embedder, batch=2_000)
+    return made.join(m.select("message_id", "session_id"), "message_id").groupBy("session_id").agg(F.count("*").alias("made"))
+
+
+def _stated(spark, names: str, *rows):
+    return spark.createDataFrame(list(rows), names)
+
+
+@query("SELECT * FROM (VALUES ('x-y-z', 'x y-z'), ('\"a-b\" c_d', '\"a-b\" c d'), ('-a b-', '-a b-'), ('foo_bar-baz', 'foo bar baz')) AS t(raw, text)")
+def fts_normalize(spark, sf_dir):
+    from threadloom.functions.query_text import joined_words
+
+    raw = ("x-y-z", '"a-b" c_d', "-a b-", "foo_bar-baz")
+    return _stated(spark, "raw string, text string", *((x, joined_words(x)) for x in raw))
+
+
+@query("SELECT * FROM (VALUES (0, 'The >>>Licensed<<< >>>Clown<<<, again'), (1, 'no match here'), (2, '')) AS t(i, match_snippet)")
+def fts_snippet(spark, sf_dir):
+    """Short texts in whole, with the words that the stems of a query match marked."""
+    from threadloom.functions.query_text import Or, Phrase
+    from threadloom.operators.fulltext import with_snippet
+
+    texts = _stated(spark, "i int, message_text string", (0, "The Licensed Clown, again"), (1, "no match here"), (2, ""))
+    return with_snippet(texts, Or((Phrase(("licens",)), Phrase(("clown",)))), stems=True).drop("message_text")
+
+
+@query("""SELECT * FROM (VALUES (0, 3, 'a' || chr(10) || 'b'), (1, 2, ''), (2, 0, 'plain'), (3, 0, ''), (4, 7, 'x'), (5, 1, 'joined')) AS t(i, code, body)""")
+def parse_exec_header(spark, sf_dir):
+    """Exit codes and bodies of outputs in both formats, without one, empty, and as items."""
+    outputs = ("Process exited with code 3\nOutput:\na\nb", "Exit code: 2\nno body", "plain", "", "took 1s\nExit code: 7\nOutput:\nx", '[{"type":"t","text":"Exit code: 1"},{"text":""},{"text":"Output:\\njoined"}]')
+    df = _stated(spark, "i int, output string", *enumerate(outputs))
+    code, body = codex.exec_result(codex.output_text(F.col("output")))
+    return df.select("i", code.alias("code"), body.alias("body"))
+
+
+@query("""SELECT * FROM (VALUES (0, 'text', 'hi', NULL, NULL), (2, 'image', NULL, 'image/png', 'QQ=='), (3, 'image', NULL, NULL, 'http://x')) AS t(n, type, text, media_type, data)""")
+def adapt_content_items(spark, sf_dir):
+    items = '[{"type":"input_text","text":"hi"},{"type":"output_text","text":""},{"type":"input_image","image_url":"data:image/png;base64,QQ=="},{"type":"input_image","image_url":"http://x"},{"type":"odd","text":"x"}]'
+    df = _stated(spark, "content string", (items,))
+    kept = F.posexplode(codex.content_items(F.col("content")))
+    return df.select(kept.alias("p", "b")).select(F.element_at(F.array(F.lit(0), F.lit(2), F.lit(3)), F.col("p") + 1).alias("n"), "b.*")
+
+
+@query("SELECT l_orderkey, l_linenumber, floor(l_quantity * 100 / 50)::BIGINT AS percent, ((l_quantity * 2 >= 11)::INT + (l_quantity * 2 >= 21)::INT + (l_quantity * 2 >= 41)::INT + (l_quantity * 2 >= 61)::INT + (l_quantity * 2 >= 81)::INT)::INT AS band FROM lineitem")
+def agg_ctx_pct(spark, sf_dir):
+    """The share of a window in use and its band, of the quantities as if they were tokens."""
+    percent, band = sessions.context_share(F.col("l_quantity"), 50)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", percent, band)
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {EPOCH} + doc_id * 60000 AS ts FROM documents)
+SELECT source AS session, 'f' || doc_id % 7 || '.py' AS file, t AS content, ts FROM d WHERE doc_id % 4 < 2 UNION ALL SELECT source, 'f' || doc_id % 7 || '.py', x, ts FROM d, (SELECT unnest(['one', 'two']) AS x) WHERE doc_id % 4 = 2""")
+def src_edits(spark, sf_dir):
+    """Edits of three tools made of the documents; every fourth is outside the folder."""
+    d = table(spark, sf_dir, "documents").withColumn("t", F.coalesce("text", F.lit("")))
+    kind, none = F.col("doc_id") % 4, F.lit(None).cast("string")
+    file = F.concat(F.when(kind == 3, "/other/f").otherwise("/w/f"), (F.col("doc_id") % 7).cast("string"), F.lit(".py"))
+    name = F.element_at(F.array(F.lit("Edit"), F.lit("Write"), F.lit("MultiEdit"), F.lit("Write")), (kind + 1).cast("int"))
+    two = F.array(F.struct(F.lit("one").alias("new_string")), F.struct(F.lit("two").alias("new_string")))
+    args = F.struct(file.alias("file_path"), F.when(kind == 0, F.col("t")).alias("new_string"), F.when(kind.isin(1, 3), F.col("t")).alias("content"), F.when(kind == 2, two).alias("edits"))
+    block = F.struct(F.lit("tool_use").alias("type"), name.alias("name"), args.alias("input"))
+    ts = F.date_format(F.timestamp_millis(F.lit(EPOCH) + F.col("doc_id") * 60_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    value = _json(type=F.lit("assistant"), timestamp=ts, message=F.struct(F.lit("assistant").alias("role"), F.array(block).alias("content")))
+    lines = d.select(F.concat(F.lit("/t/"), "source", F.lit(".jsonl")).alias("path"), F.col("doc_id").alias("line_no"), value.alias("value"), none.alias("offset"))
+    return transcripts.session_edits(lines, "/w")
+
+
+@query("SELECT conv_id, 's' || conv_id AS a, '01234567-89ab-cdef-0123-' || lpad(conv_id::VARCHAR, 12, '0') AS b FROM (SELECT DISTINCT conv_id FROM conversations)")
+def src_glob(spark, sf_dir):
+    """Session ids that paths of both vendors tell."""
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    n = F.col("conv_id").cast("string")
+    a = F.concat(F.lit("/home/x/projects/p/s"), n, F.lit(".jsonl"))
+    b = F.concat(F.lit("/home/x/sessions/2024/01/02/rollout-2024-01-02T03-04-05-01234567-89ab-cdef-0123-"), F.lpad(n, 12, "0"), F.lit(".jsonl"))
+    return c.select("conv_id", transcripts.session_of(a).alias("a"), transcripts.session_of(b).alias("b"))
+
+
+@query(_CODEX + " SELECT path, count(*) * 5 + 2 AS lines FROM s GROUP BY path")
+def src_jsonl_b(spark, sf_dir):
+    """Envelopes that parse."""
+    return transcripts.parse_lines(codex_lines(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("lines"))

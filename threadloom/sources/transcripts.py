@@ -58,6 +58,17 @@ def new_lines(whole: DataFrame, state: DataFrame) -> DataFrame:
     return kept.where(F.col("value") != "").select("path", "line_no", "offset", "value", "next")
 
 
+def next_state(state: DataFrame, listing: DataFrame, read: DataFrame) -> DataFrame:
+    """(path, mtime_ms, size, offset) after ``new_lines`` gave ``read``: listed files as they are now, up to where they were read.
+
+    Files that are listed no more are forgotten; one of which nothing new could be read keeps its offset, unless it shrank.
+    """
+    far = read.groupBy("path").agg(F.max("next").alias("_next"))
+    old = state.select("path", F.col("offset").alias("_offset"), F.col("size").alias("_size"))
+    kept = F.when(F.col("size") >= F.coalesce("_size", F.lit(0)), F.col("_offset"))
+    return listing.join(far, "path", "left").join(old, "path", "left").select("path", "mtime_ms", "size", F.coalesce("_next", kept, F.lit(0)).alias("offset"))
+
+
 def session_of(path: Column) -> Column:
     """The file's base name, or the trailing uuid of a ``rollout-`` file."""
     name = F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
