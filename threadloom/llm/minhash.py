@@ -33,7 +33,7 @@ from .components import components
 
 SKETCH = 64
 #: Bytes of text and documents of one block; two blocks are compared at a time.
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1_024
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 512
 
 
 @functools.cache
@@ -245,7 +245,8 @@ def near_duplicates(
     """
     rows = durable(sketches(df, words, k, id_col, text_col), "sketches")
     full = rows.where(F.col("n_shingles") > 0).where(F.col("doc_id").isNotNull())
-    classes = full.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows"))
+    # written, so that the joins on the digest of a text with very many copies are of two plain exchanges, which Spark splits
+    classes = durable(full.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")), "classes")
     # of each class the row with the smallest id stands for it; an id that repeats with several texts stands for each
     reps = classes.join(full.select("doc_id", "print", "n_shingles", "sketch"), ["print", "n_shingles"]).where(F.col("doc_id") == F.col("class_id"))
     reps = reps.select("doc_id", "n_shingles", "print", "sketch").dropDuplicates(["doc_id", "print"])
