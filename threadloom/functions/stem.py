@@ -70,10 +70,12 @@ _STEP2 = (
 )
 _STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+_LONGEST2, _LONGEST3 = (sorted(t, key=lambda x: -len(x[0])) for t in (_STEP2, _STEP3))
+_LONGEST4 = sorted((*_STEP4, "ion"), key=len, reverse=True)
 
 
-def _replace(w: str, table: tuple, least: int) -> str:
-    for suffix, to in sorted(table, key=lambda x: -len(x[0])):
+def _replace(w: str, table: list, least: int) -> str:
+    for suffix, to in table:
         if w.endswith(suffix):
             stem = w[: len(w) - len(suffix)]
             return stem + to if _measure(stem) > least else w
@@ -103,8 +105,8 @@ def porter(word: str) -> str:
                 w = w[:-1]
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    w = _replace(_replace(w, _STEP2, 0), _STEP3, 0)
-    for s in sorted((*_STEP4, "ion"), key=len, reverse=True):
+    w = _replace(_replace(w, _LONGEST2, 0), _LONGEST3, 0)
+    for s in _LONGEST4:
         if w.endswith(s):
             stem = w[: len(w) - len(s)]
             if _measure(stem) > 1 and (s != "ion" or stem.endswith(("s", "t"))):

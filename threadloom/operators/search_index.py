@@ -36,7 +36,9 @@ def posting_rows(messages: DataFrame, stems: bool) -> DataFrame:
     met = at.groupBy("message_id", "term", *_ORDER, "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     if not stems:
         return met
-    known = met.select("term").distinct().withColumn("stem", stemmed("term"))
+    spark = messages.sparkSession  # Python work on small rows: as many tasks as there are, not as few as their bytes need
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    known = met.select("term").distinct().repartition(tasks, "term").withColumn("stem", stemmed("term"))
     named = met.join(known, "term").withColumn("term", F.col("stem")).where("term <> ''")
     return named.groupBy("term", "message_id", *_ORDER, "len").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 

@@ -833,13 +833,18 @@ def dispatch(spark, sf_dir):
     return views.messages(spark, sf_dir).select(name.alias("session_id")).distinct().select("session_id", is_session_shaped(F.col("session_id")).alias("reads"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations WHERE role IN ('user', 'assistant'))
-SELECT conv_id::VARCHAR AS path, n::BIGINT AS turn, min(turn) AS "offset", substr(min_by(text, turn), 1, 8192) AS prompt, coalesce(substr(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), 1, 8192), '') AS response,
+@query("""WITH o AS (SELECT *, coalesce(sum(strlen(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM conversations),
+t AS (SELECT conv_id, turn, pos, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM o WHERE role IN ('user', 'assistant'))
+SELECT conv_id::VARCHAR AS path, n::BIGINT AS turn, min(pos)::BIGINT AS "offset", substr(min_by(text, turn), 1, 8192) AS prompt, coalesce(substr(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), 1, 8192), '') AS response,
 substr(max_by(text, turn) FILTER (WHERE role = 'assistant'), 1, 200) AS preview FROM t WHERE n > 0 GROUP BY conv_id, n""")
 def turn_content(spark, sf_dir):
+    from pyspark.sql.window import Window
+
     from threadloom.sources.sessions import turns
 
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), F.col("turn").alias("offset"), F.col("role").alias("type"), "text")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).over(w), F.lit(0))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), at.alias("offset"), F.col("role").alias("type"), "text")
     return turns(c)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.plans.storage import written
 from threadloom.sources.sessions import patch_changes
 from threadloom.sources.transcripts import millis, parse_lines, session_of, tool_name
 
@@ -111,7 +112,7 @@ def entries(lines: DataFrame) -> DataFrame:
     before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("n", F.coalesce(F.sum(made).over(before), F.lit(0))).withColumn("files", files)
     own_id = F.concat(F.lit("codex-jsonl-"), F.substring("session_id", 1, 8), F.lit("-"), F.col("n").cast("string"))
-    r = r.withColumn("own_id", own_id)
+    r = written(r.withColumn("own_id", own_id), "records")  # read by every emitter below
 
     nothing = F.lit(None).cast("string")
 
