@@ -254,6 +254,17 @@ def test_short_and_unspaced_texts_have_fingerprints(spark):
     assert all(r.like > 0.4 for r in got[40:44])
 
 
+def test_names_of_columns_do_not_clash(spark):
+    """Tables whose columns are named like what the operators make on their way."""
+    names = ["_ord", "_bucket", "_row", "_copy", "next_text", "_anchors_h", "_text_h", "_b"]
+    df = spark.createDataFrame([(i, f"text {i} of some more words here", *(["x"] * len(names))) for i in range(5)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    got = syncmers.beside_next(df, "doc_id", ["text"], 5).orderBy("doc_id").collect()
+    assert [r.next_text for r in got] == [f"text {(i + 1) % 5} of some more words here" for i in range(5)]
+    assert all(r["_ord"] == "x" and r["_bucket"] == "x" for r in got)
+    made = syncmers.with_anchors(df, "text").collect()
+    assert all(r["_anchors_h"] == "x" and r.anchors for r in made)
+
+
 def test_anchors_align_by_position(spark):
     """Words put in shift the anchors after them; what follows again keeps its own shift; unlike texts have no long match."""
     rnd = random.Random(11)

@@ -182,9 +182,12 @@ class Mix:
     capped: int | None = None
 
     def apply(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", into: str = "rate") -> DataFrame:
-        """All rows and columns of ``docs`` with their rate."""
-        rated = with_posteriors(docs, self.model, text_col)
-        return rated.withColumn(into, rate(self.moves, capped=self.capped)).drop("_tokens", "_p")
+        """All rows and columns of ``docs`` with their rate; a column named ``into`` is replaced."""
+        others = [c for c in docs.columns if c != text_col]
+        held = docs.select(F.col(text_col).alias("text"), F.struct(F.lit(None).alias("_"), *others).alias("rest"))  # names can't clash
+        rated = with_posteriors(held, self.model)
+        kept = [F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns if c != into]
+        return rated.select(*kept, rate(self.moves, capped=self.capped).alias(into))
 
 
 def mix(

@@ -22,24 +22,28 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three-word shingles, Jaccard index of 0.85. Texts without words stay alone; null ids have no group."""
     from .minhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85).drop("class_id")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url; null urls have empty ones and no rule."""
     from .url_filter import filter_urls
 
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES).drop("candidates")
 
 
 def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of each vector whose id is divisible by 50, against all others; vectors with nulls or non-finite numbers take no part."""
     from .knn import top_k
 
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50, scale=256.0)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 50-byte strings that start in a document before it; null texts are empty."""
     from .passages import remove_repeats
 
     done = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), length=50)
@@ -49,6 +53,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, written as ORC files in the order of ids and read back; null texts have the end id alone."""
     from .token_output import token_offsets, write_tokens
 
     path = scratch(spark, "tokens-orc")
@@ -57,6 +62,7 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and how like they are; null texts are empty."""
     from .syncmers import as_text, beside_next, likeness, sketch, with_anchors
 
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -80,6 +86,7 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a model of the labels that aren't held out; empty texts get a score, too."""
     from .toxicity import score, train
 
     docs = documents(spark, sf_dir)
@@ -91,20 +98,24 @@ MIX = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and copies of every document, so that the domains' expected shares of the tokens meet ``MIX``; ``miss`` is the most that one of them is off."""
     from .mixing import copies, mix
 
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
     fitted = mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), domain, MIX)
-    return fitted.rates.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    miss = max(abs(fitted.reached[n] - share) for n, share in MIX.items())
+    return fitted.rates.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumn("miss", F.lit(float(miss)))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 4096 tokens; null texts are the end id alone."""
     from .packing import pack
 
     return pack(documents(spark, sf_dir), tokenizer_path(), end_id=1, capacity=4096)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by a model of the labels that aren't held out; empty texts get a score, too."""
     from .quality import score, train
 
     docs = documents(spark, sf_dir)

@@ -40,12 +40,19 @@ def _units(words: Column) -> Column:
     return _let(words, lambda w: _let(pieces(w), lambda p: few(w, p)))
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def with_anchors(df: DataFrame, text_col: str, into: str = "anchors") -> DataFrame:
     """Adds ``into``: array of (pos, hash), the position and 32-bit hash of each closed syncmer of words (see _units).
 
     Null texts and texts without words have none; where no syncmer is closed the whole sequence is the only anchor.
     """
-    h, s, w = f"_{into}_h", f"_{into}_s", f"_{into}_w"
+    h, s, w = (_unused(df, f"_{into}_{x}") for x in "hsw")
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")
     hashed = df.withColumn(w, _units(words)).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     at = lambda c, i: F.get(F.col(c), i)
@@ -105,9 +112,12 @@ def beside_next(df: DataFrame, order_col: str, columns: list[str], rows: int) ->
     """Adds ``next_<c>`` of ``columns``: those of the next row by ``order_col``, then by the columns; after the last comes the first.
 
     A null id comes first. Buckets of consecutive ids are sorted each on its own; the first row of a bucket is also sent
-    to the bucket before.
+    to the bucket before. Columns named like a result are replaced by it.
     """
-    ordered = df.withColumn("_ord", F.coalesce(F.col(order_col).cast("long"), F.lit(-(1 << 63))))
+    # no name of the table's columns clashes with one made here: what is set beside has names of its own, the rest is in a struct
+    own = {c: f"_c{i}" for i, c in enumerate(columns)}
+    rest = F.struct(F.lit(None).alias("_"), *(F.col(c) for c in df.columns if c not in own)).alias("_row")
+    ordered = df.select(rest, *(F.col(c).alias(n) for c, n in own.items()), F.coalesce(F.col(order_col).cast("long"), F.lit(-(1 << 63))).alias("_ord"))
     n = max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
     quantiles = F.percentile_approx("_ord", [i / n for i in range(n)], 100 * n)
     bounds = sorted({*(ordered.agg(quantiles.alias("q"), F.min("_ord").alias("m")).select(F.concat("q", F.array("m"))).first()[0] or [0])})
@@ -126,6 +136,8 @@ def beside_next(df: DataFrame, order_col: str, columns: list[str], rows: int) ->
     )
     sent = placed.withColumn("_to", F.when(head, F.array(here, before)).otherwise(F.array(here)))
     sent = sent.drop("_coarse", "_fine", "_own", "_part", "_b").select("*", F.inline("_to")).drop("_to")
-    w = Window.partitionBy("_bucket").orderBy("_wrap", "_ord", *columns)
-    out = sent.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where(~F.col("_copy"))
-    return out.drop("_ord", "_bucket", "_copy", "_wrap")
+    w = Window.partitionBy("_bucket").orderBy("_wrap", "_ord", *own.values())
+    after = {f"next_{c}": F.lead(n).over(w) for c, n in own.items()}
+    out = sent.select("_row", *own.values(), "_copy", *(x.alias(n) for n, x in after.items())).where(~F.col("_copy"))
+    kept = [F.col(own[c]).alias(c) if c in own else F.col("_row").getField(c).alias(c) for c in df.columns if c not in after]
+    return out.select(*kept, *after)
