@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 20  # bytes of text per vectorised step; a longer text is a step of its own
 BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
@@ -97,21 +98,45 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each run of bytes other than ASCII white space; runs never cross rows."""
-    if not len(buf):
+    return runs(~((buf == 32) | ((buf >= 9) & (buf <= 13))), offsets)
+
+
+def runs(ink: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of marked bytes; runs never cross rows."""
+    if not len(ink):
         z = np.zeros(0, np.int64)
         return z, z, z
-    ink = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
-    cut = np.zeros(len(buf) + 1, bool)
+    cut = np.zeros(len(ink) + 1, bool)
     cut[offsets] = True
-    before = np.empty(len(buf), bool)
+    before = np.empty(len(ink), bool)
     before[0], before[1:] = False, ink[:-1]
-    after = np.empty(len(buf), bool)
+    after = np.empty(len(ink), bool)
     after[-1], after[:-1] = False, ink[1:]
     start = np.flatnonzero(ink & (~before | cut[:-1]))
     end = np.flatnonzero(ink & (~after | cut[1:])) + 1
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Slices of ``buf``, not empty, in ascending order, that don't overlap: the number of each among the distinct ones, and those. Bytes are compared."""
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    off = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(buf[inside])])
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of the slices' bytes: unlike a polynomial's, its collisions don't come with the structure of a text."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    which, distinct = codes(buf, start, end)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))[which]
+
+
 def shingles(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the n-word shingles of each row, A-Z lower-cased, and where each row's begin.
 
@@ -122,7 +147,7 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     rows = len(offsets) - 1
     count = np.bincount(row, minlength=rows)
     first = np.concatenate([[0], np.cumsum(count)])
-    w = slice_hash(prefix_hash(low), start, end) if len(start) else np.zeros(0, np.uint64)
+    w = word_hash(low, start, end)
     have = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
     at = np.concatenate([[0], np.cumsum(have)])
     owner = np.repeat(np.arange(rows), have)
