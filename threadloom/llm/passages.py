@@ -49,8 +49,7 @@ class _Group:
         half = length // 2
         self.length, self.buf, self.offsets = length, buf, offsets
         n = len(buf)
-        self.prefix = T.prefix_hash(buf)
-        self.rank = T.window_hash(self.prefix, half)
+        self.rank = self.rank_all(half)
         end = np.repeat(offsets[1:], np.diff(offsets))
         at = np.flatnonzero(end - np.arange(n) >= length)  # starts of the windows
         if not len(at):
@@ -68,6 +67,10 @@ class _Group:
         self.doc = ids[np.searchsorted(offsets, self.lo, "right") - 1]
         self.anchor = self.rank[where[self.first]]
 
+    def rank_all(self, half: int) -> np.ndarray:
+        self.prefix = T.prefix_hash(self.buf)
+        return T.window_hash(self.prefix, half)
+
     def name_stretches(self, which: np.ndarray) -> np.ndarray:
         return T.slice_hash(self.prefix, self.lo[which], self.hi[which] + self.length)
 
@@ -229,8 +232,8 @@ def _received(table: pa.Table, kind: int, own: _List, buckets: int) -> tuple[np.
 class _State:
     """A group's windows after as many rounds as there are answers."""
 
-    def __init__(self, table: pa.Table, replies: pa.Table | None, length: int, buckets: int, rounds: int) -> None:
-        self.slices = [g for _, _, g in _slices(table, length)]
+    def __init__(self, table: pa.Table, replies: pa.Table | None, length: int, buckets: int, rounds: int, slices=_slices) -> None:
+        self.slices = [g for _, _, g in slices(table, length)]
         join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
         anchor = join([g.anchor for g in self.slices], np.uint64)
         self.list = _distinct(anchor)
@@ -245,11 +248,12 @@ class _State:
         if rounds == 1:
             return
         _, several, low = _received(replies, STRETCH, self.list, buckets)
-        self.whole, unsettled = [], []
+        self.whole, self.whole_low, unsettled = [], [], []
         for o, r, n, d in zip(self.open, ranks, names, docs, strict=True):
             at = self.list.at(r, n)
             earlier = low[at] < d
             self.whole.append(o[earlier])  # an earlier document has the same stretch
+            self.whole_low.append(low[at][earlier])
             unsettled.append(o[several[at] & ~earlier])
         self.windows, self.keys = [], []
         for g, which in zip(self.slices, unsettled, strict=True):
@@ -279,37 +283,56 @@ def _whole_characters(buf: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.append(first, len(buf))))
 
 
-def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
-    """All columns of ``df`` but the text, with n_bytes, n_removed, spans (maximal removed byte runs) and kept.
-
-    ``kept`` are the other bytes, or with ``as_text`` a string, where characters go as a whole if a byte of them goes and
-    a null stays null.
-
-    Texts count as UTF-8 bytes, null as empty; matches never cross documents; overlaps count; strings are judged on
-    the input. Rows with one id are one document to each other: their strings don't count against themselves. A null
-    id counts as the greatest. Texts shorter than ``length`` and an empty table lose nothing. Columns named like a
-    result are replaced by it.
-    """
+def in_groups(df: DataFrame, id_col: str, text_col: str, rest: list[str]) -> tuple[DataFrame, int]:
+    """(bid, _id, _text, _rest): documents dealt to groups, and the number of buckets for their keys."""
     size = text_bytes(df, text_col)
     groups, buckets = max(1, -(-size // GROUP_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    results = ("n_bytes", "n_removed", "spans", "kept")
-    rest = [c for c in df.columns if c not in (*results, text_col)]
     texts = df.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).cast("int").alias("bid"),
         F.col(id_col).cast("long").alias("_id"),
         F.col(text_col).alias("_text"),
         F.struct(*(F.col(c) for c in rest)).alias("_rest"),
     )
+    return texts, buckets
+
+
+def answers(texts: DataFrame, length: int, buckets: int, slices=_slices) -> DataFrame:
+    """What each group learns of its keys in the three rounds; ``slices`` makes the windows of a group's texts."""
 
     def sender(rounds: int):
         def first(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-            return _send(_State(t, None, length, buckets, 0).list, key[0].as_py(), buckets)
+            return _send(_State(t, None, length, buckets, 0, slices).list, key[0].as_py(), buckets)
 
         def later(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
-            return _send(_State(t, replies, length, buckets, rounds).list, key[0].as_py(), buckets)
+            return _send(_State(t, replies, length, buckets, rounds, slices).list, key[0].as_py(), buckets)
 
         return later if rounds else first
 
+    def over(fn, replies: DataFrame) -> DataFrame:
+        return texts.groupBy("bid").cogroup(replies.groupBy("bid")).applyInArrow(fn, _ENTRIES)
+
+    def answered(sent: DataFrame, kind: int) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(_repeats(kind), _REPLIES)
+
+    first = answered(texts.groupBy("bid").applyInArrow(sender(0), _ENTRIES), ANCHOR)
+    second = first.unionByName(answered(over(sender(1), first), STRETCH))
+    return second.unionByName(answered(over(sender(2), second), WINDOW))
+
+
+def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """All columns of ``df`` but the text, with n_bytes, n_removed, spans (maximal removed byte runs) and kept.
+
+    ``kept`` are the other bytes, or with ``as_text`` a string, where characters go as a whole if a byte of them goes and
+    a null stays null.
+
+    Texts count as UTF-8 bytes, null as empty; matches never cross documents; overlaps count; strings are judged on
+    the input. Rows with one id are one document to each other: their strings don't count against themselves. A null
+    id counts as the greatest. Texts shorter than ``length`` and an empty table lose nothing. Columns named like a
+    result are replaced by it.
+    """
+    results = ("n_bytes", "n_removed", "spans", "kept")
+    texts, buckets = in_groups(df, id_col, text_col, [c for c in df.columns if c not in (*results, text_col)])
+
     def remove(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
         n_bytes, n_removed, spans, kept = [], [], [], []
         state = _State(t, replies, length, buckets, 3)
@@ -329,14 +352,6 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         made = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string() if as_text else pa.binary())]
         return pa.table([t["_rest"], *made], names=["_rest", *results])
 
-    def over(fn, replies: DataFrame, schema: str) -> DataFrame:
-        return texts.groupBy("bid").cogroup(replies.groupBy("bid")).applyInArrow(fn, schema)
-
-    def answered(sent: DataFrame, kind: int) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(_repeats(kind), _REPLIES)
-
-    first = answered(texts.groupBy("bid").applyInArrow(sender(0), _ENTRIES), ANCHOR)
-    second = first.unionByName(answered(over(sender(1), first, _ENTRIES), STRETCH))
-    third = second.unionByName(answered(over(sender(2), second, _ENTRIES), WINDOW))
     kinds = f"_rest {texts.schema['_rest'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}"
-    return over(remove, third, kinds).select("_rest.*", *results)
+    done = texts.groupBy("bid").cogroup(answers(texts, length, buckets).groupBy("bid")).applyInArrow(remove, kinds)
+    return done.select("_rest.*", *results)

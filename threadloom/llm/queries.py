@@ -122,6 +122,31 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality"), threshold=0.3)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item; null texts have no terms."""
+    from .lexical import build, search
+
+    found = search(build(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+    return found.withColumnRenamed("item", "item_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-middle form, and the text that is rebuilt from it; null texts are empty."""
+    from .fill_middle import fill_in_middle, restore
+
+    done = restore(fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"), seed=42, rate=50, spm=80))
+    hashed = (F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashed)
+
+
+def op13_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 13-word windows that start in a document before it; null texts have no words."""
+    from .phrases import remove_phrases
+
+    done = remove_phrases(documents(spark, sf_dir).select("doc_id", "text"), length=13)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -135,6 +160,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_best_fit_packing,
         op10_quality_classifier,
+        op11_lexical_search,
+        op12_fill_in_middle,
+        op13_phrase_dedup,
     )
 }
 
@@ -166,4 +194,63 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE: dict[str, str] = {"op2_url_filter": _OP2, "op3_voronoi_knn": _OP3}
+_OP11 = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark)
+  GROUP BY item_id, term),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+size AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f CROSS JOIN total GROUP BY term, docs),
+s AS (
+  SELECT item_id, f.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN size USING (doc_id) CROSS JOIN total
+  GROUP BY item_id, f.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+_OP12 = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS toks
+  FROM documents),
+d AS (
+  SELECT *, len(toks) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM u),
+e AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (
+  SELECT *, coalesce(list_sum(list_transform(toks[:lo], lambda x: length(x))), 0)::BIGINT AS pre,
+         coalesce(list_sum(list_transform(toks[lo + 1:hi], lambda x: length(x))), 0)::BIGINT AS mid
+  FROM e)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN pre END AS prefix_chars, CASE WHEN form <> 'plain' THEN mid END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || text[:pre] || '<S>' || text[pre + mid + 1:] || '<M>' || text[pre + 1:pre + mid]
+                        ELSE '<S>' || text[pre + mid + 1:] || '<P>' || text[:pre] || '<M>' || text[pre + 1:pre + mid] END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS word FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(word) - 11)) AS i, array_to_string(word[i:i + 12], ' ') AS phrase FROM d WHERE len(word) >= 13),
+first AS (SELECT phrase, min(doc_id) AS low FROM w GROUP BY phrase HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM w JOIN first USING (phrase) WHERE low < doc_id),
+each AS (SELECT doc_id, word, unnest(range(1, len(word) + 1)) AS i FROM d),
+kept AS (
+  SELECT each.doc_id, count(gone.i) AS n_removed, coalesce(string_agg(word[each.i], ' ' ORDER BY each.i) FILTER (WHERE gone.i IS NULL), '') AS kept
+  FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.i = each.i GROUP BY each.doc_id)
+SELECT d.doc_id, len(word)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_url_filter": _OP2, "op3_voronoi_knn": _OP3, "op11_lexical_search": _OP11, "op12_fill_in_middle": _OP12, "op13_phrase_dedup": _OP13}
