@@ -179,13 +179,20 @@ def test_phrases_across_groups_and_automata(spark, monkeypatch):
 
 
 def test_occurrences_over_small_automata(monkeypatch):
-    monkeypatch.setattr(phrases, "PHRASES", 3)
+    monkeypatch.setattr(phrases, "PHRASE_WORDS", 9)
     monkeypatch.setattr(phrases, "PIECE", 7)
-    symbols = np.random.default_rng(2).integers(0, 3, 400)
-    at = np.unique(["".join(map(str, symbols[i : i + 4])) for i in range(397)], return_index=True)[1]
-    where, which = phrases._occurrences(symbols, at, 4)
-    assert sorted(where.tolist()) == list(range(397))
-    assert all((symbols[w : w + 4] == symbols[at[j] : at[j] + 4]).all() for w, j in zip(where, which, strict=True))
+    rnd = np.random.default_rng(2)
+    symbols = rnd.integers(0, 3, 400) * 50
+    start = rnd.integers(0, 390, 60)
+    end = start + rnd.integers(3, 10, 60)
+    low = rnd.integers(0, 5, 60)
+    got = set(zip(*(x.tolist() for x in phrases._occurrences(symbols, 101, start, end, low)), strict=True))
+    known = {}
+    for a, b, d in zip(start, end, low, strict=True):
+        k = tuple(symbols[a:b])
+        known[k] = min(d, known.get(k, d))
+    want = {(i, i + len(k), d) for k, d in known.items() for i in range(400) if tuple(symbols[i : i + len(k)]) == k}
+    assert got == want
 
 
 def test_words_that_differ_have_different_hashes():

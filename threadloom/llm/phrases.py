@@ -4,9 +4,11 @@
    windows of ``length`` words also start in a document with a smaller id, and a document that holds each: first by anchors (of each
    window the least of the ranks of its ``length // 2``-word parts), then by stretches of windows that share an anchor, then by windows.
    A word's rank is the XXH3 of its bytes, a window's two 64-bit mixes of its parts' ranks.
-2. Compile. The recurring windows of a slice of a group (about 1 MB of text) are the phrases of its automata, over the numbers of
-   the words in the slice's own vocabulary. One automaton takes ``PHRASES`` of them, so its memory is bounded.
-3. Stream. Every document of the slice runs through its automata; each occurrence of a phrase that an earlier document holds is marked.
+2. Compile. Runs of recurring windows in a slice of a group (about 1 MB of text) are the phrases of its automata, over the numbers
+   of the words in the slice's own vocabulary. A phrase takes ``RUN`` windows at most and an automaton ``PHRASE_WORDS`` words of
+   phrases, so its memory is bounded, and so is the number of phrases that end in one place.
+3. Stream. Every document of the slice runs through its automata; each occurrence of a phrase whose windows all start in earlier
+   documents is marked.
 
 A phrase is sent to no other group: each compiles what occurs in its own texts, so a text meets its own slice's automata only and
 the work grows with the text. Within a slice words are compared as bytes, across groups as windows of which 32 bits, the
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 from . import _text as T
 from .passages import _Group, _State, answers, in_groups
 
-#: Phrases of one automaton, and the words that stream through it at a time.
-PHRASES, PIECE = 40_000, 1 << 17
+#: Words of one automaton's phrases, windows of a phrase, and the words that stream through an automaton at a time.
+PHRASE_WORDS, RUN, PIECE = 200_000, 64, 1 << 17
 
 
 class _Words(_Group):
@@ -59,56 +61,84 @@ def _slices(table: pa.Table, length: int):
         yield lo, hi, _Words(buf[own[0] : own[-1]], own - own[0], ids[lo:hi], length)
 
 
-def _recurring(state: _State, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct window stands that an earlier document holds, and the smallest id known to hold it."""
+def _recurring(state: _State, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of the passages: runs of windows that earlier documents hold, cut to at most ``RUN`` windows.
+
+    All windows of a passage start in documents up to that one, which is earlier than the passage's own.
+    """
     g, (at, doc) = state.slices[i], state.windows[i]
     whole, owner = g.windows(state.whole[i])
     low = state.low[state.list.at(*state.keys[i])] if len(at) else np.zeros(0, np.int64)
     hit = low < doc
     at, low = np.concatenate([whole, at[hit]]), np.concatenate([state.whole_low[i][owner], low[hit]])
     if not len(at):
-        return at, low
-    one, two = g.rank_pairs(at)
-    order = np.lexsort((low, two, one))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
-    return at[order][new], low[order][new]
-
-
-def _occurrences(symbols: np.ndarray, phrases: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where phrases (given by one place of each in ``symbols``) start, and which."""
+        return at, at, low
+    order = np.argsort(at, kind="stable")
+    at, low = at[order], low[order]
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1] + 1
+    first = np.flatnonzero(new)
+    nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(nth % RUN == 0)
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], at[last] + g.length, np.maximum.reduceat(low, first)
+
+
+def _spelled(numbers: np.ndarray, distinct: int) -> tuple[str, int]:
+    """Numbers below ``distinct`` as a string of so many characters each; a place has its own 64 characters, so a node has few children."""
+    width = 1
+    while 64**width < distinct:
+        width += 1
+    signs = np.empty((len(numbers), width), "<u4")
+    for place in range(width):
+        signs[:, place] = (numbers >> (6 * (width - 1 - place)) & 63) + 64 * place
+    return signs.tobytes().decode("utf-32-le"), width
+
+
+def _occurrences(symbols: np.ndarray, distinct: int, start: np.ndarray, end: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every occurrence in ``symbols`` of the phrases [start, end), and the phrase's ``low``; equal phrases have the least."""
     import ahocorasick
 
-    where, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for first in range(0, len(phrases), PHRASES):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for j, p in enumerate(phrases[first : first + PHRASES].tolist(), first):
-            automaton.add_word(tuple(symbols[p : p + length].tolist()), j)
+    text, width = _spelled(symbols, distinct)
+    known: dict[str, int] = {}
+    for a, b, doc in zip((start * width).tolist(), (end * width).tolist(), low.tolist(), strict=True):
+        phrase = text[a:b]
+        known[phrase] = min(doc, known.get(phrase, doc))
+    found = [np.zeros((0, 2), np.int64)]
+    phrases, docs = list(known), np.array(list(known.values()), np.int64)
+    size = np.array([len(p) // width for p in phrases], np.int64)
+    longest = int(size.max(initial=0))
+    shard = (np.cumsum(size) - 1) // PHRASE_WORDS
+    for k in range(int(shard.max(initial=-1)) + 1):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for j in np.flatnonzero(shard == k).tolist():
+            automaton.add_word(phrases[j], j)
         automaton.make_automaton()
-        for begin in range(0, len(symbols), PIECE):  # a window starts in one piece
-            piece = tuple(symbols[begin : begin + PIECE + length - 1].tolist())
-            found = np.fromiter(chain.from_iterable(automaton.iter(piece)), np.int64).reshape(-1, 2)
-            where.append(found[:, 0] + (begin - length + 1))
-            which.append(found[:, 1])
-    return np.concatenate(where), np.concatenate(which)
+        for begin in range(0, len(symbols), PIECE):  # what starts in a piece ends in it or in what is added
+            piece = text[begin * width : (begin + PIECE + longest) * width]
+            hits = np.fromiter(chain.from_iterable(automaton.iter(piece)), np.int64).reshape(-1, 2)
+            hits[:, 0] = (hits[:, 0] + 1) // width + begin
+            found.append(hits)
+    hits = np.concatenate(found)
+    return hits[:, 0] - size[hits[:, 1]], hits[:, 0], docs[hits[:, 1]]
 
 
-def _gone(state: _State, i: int, length: int) -> np.ndarray:
+def _gone(state: _State, i: int) -> np.ndarray:
     """Which words of the slice go."""
     g: _Words = state.slices[i]
-    at, low = _recurring(state, i)
-    if not len(at):
+    start, end, low = _recurring(state, i)
+    if not len(start):
         return np.zeros(len(g.buf), bool)
     numbers, distinct = T.codes(g.bytes, g.start, g.end)
     place = np.arange(len(numbers)) + g.row  # a stop after each document
     symbols = np.full(len(numbers) + len(g.ids), len(distinct), np.int64)
     symbols[place] = numbers
-    where, which = _occurrences(symbols, place[at], length)
-    first = where - np.searchsorted(g.offsets[1:] + np.arange(len(g.ids)), where)  # less the stops before
-    late = low[which] < g.ids[g.row[first]]
+    first, last, doc = _occurrences(symbols, len(distinct) + 1, place[start], place[end - 1] + 1, low)
+    stops = np.searchsorted(g.offsets[1:] + np.arange(len(g.ids)), first)
+    late = doc < g.ids[g.row[first - stops]]
     edge = np.zeros(len(numbers) + 1, np.int32)
-    np.add.at(edge, first[late], 1)
-    np.add.at(edge, first[late] + length, -1)
+    np.add.at(edge, (first - stops)[late], 1)
+    np.add.at(edge, (last - stops)[late], -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -143,7 +173,7 @@ def remove_phrases(df: DataFrame, length: int = 13, id_col: str = "doc_id", text
         n_words, n_removed, spans, kept = [], [], [], []
         state = _State(t, replies, length, buckets, 3, _slices)
         for i, g in enumerate(state.slices):
-            gone = _gone(state, i, length)
+            gone = _gone(state, i)
             kept += _joined(g, ~gone)
             for lo, hi in zip(g.offsets[:-1], g.offsets[1:], strict=True):
                 flips = np.flatnonzero(np.diff(gone[lo:hi].astype(np.int8), prepend=0, append=0))
