@@ -32,6 +32,8 @@ from ._spark import durable, scratch
 SHARD_BYTES = 8 << 20
 #: Distinct terms of the items of one block, each with its item: what is broadcast at a time.
 BLOCK_TERMS = 200_000
+#: Tasks of one block at most; beyond that a task solves several shards.
+MOST_TASKS = 100_000
 #: Lists that an item's results from the shards are first merged in.
 SPREAD = 64
 
@@ -106,12 +108,13 @@ _SCHEMA = "shard long, term string, df long, postings binary, n_docs long, n_ter
 
 @dataclass
 class Index:
-    """The tables at ``path``; ``n_docs`` documents hold a term, ``n_terms`` with repeats."""
+    """The tables at ``path``, in so many shards; ``n_docs`` documents hold a term, ``n_terms`` with repeats."""
 
     spark: SparkSession
     path: str
     n_docs: int
     n_terms: int
+    n_shards: int
 
     def part(self, kind: str) -> DataFrame:
         read = self.spark.read.schema(_SCHEMA).parquet(self.path)
@@ -145,8 +148,8 @@ def build(df: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYTES
 
 def stored(spark: SparkSession, path: str) -> Index:
     """An index that ``build`` has written."""
-    total = Index(spark, path, 0, 0).part("shards").agg(F.sum("n_docs"), F.sum("n_terms")).first()
-    return Index(spark, path, total[0] or 0, total[1] or 0)
+    total = Index(spark, path, 0, 0, 0).part("shards").agg(F.sum("n_docs"), F.sum("n_terms"), F.count("*")).first()
+    return Index(spark, path, total[0] or 0, total[1] or 0, total[2])
 
 
 def terms_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -285,8 +288,10 @@ def _search_block(index: Index, asked: DataFrame, told, k: int) -> DataFrame:
     def solve(key: tuple[pa.Scalar, ...], postings: pa.Table, shard: pa.Table) -> pa.Table:
         return _searcher(*told.value, n_docs, n_terms, k)(postings, shard)
 
-    wanted = index.part("postings").join(F.broadcast(asked.select("term").distinct()), "term").select("shard", "term", "postings")
-    shards = index.part("shards")
+    # by a fixed number of partitions: a shard's work is more than its bytes, by which Spark would join small ones
+    parts = max(1, min(MOST_TASKS, index.n_shards))
+    wanted = index.part("postings").join(F.broadcast(asked.select("term").distinct()), "term").select("shard", "term", "postings").repartition(parts, "shard")
+    shards = index.part("shards").repartition(parts, "shard")
     each = wanted.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(solve, "item long, doc_id long, score long")
     # an item's rows from all shards meet in several lists first
     part = F.pmod(F.xxhash64("doc_id", "score"), F.lit(SPREAD))
