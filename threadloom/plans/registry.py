@@ -298,12 +298,12 @@ def fts_tokenize(spark, sf_dir):
     return t.select("message_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.slice("t", 1, 5), " ").alias("first_tokens"))
 
 
-_indexes: dict[tuple[str, str, bool], Index] = {}
+_indexes: dict[tuple, Index] = {}
 
 
 def _index(spark, sf_dir, stems=False) -> Index:
     """The stored postings of the documents' messages; written at first use."""
-    key = (spark.sparkContext.applicationId, sf_dir, stems)
+    key = (*views.documents_state(spark, sf_dir), stems)
     if key not in _indexes:
         _indexes[key] = Index.build(doc_messages(spark, sf_dir), storage.scratch(spark, "index"), stems)
     return _indexes[key]
@@ -848,4 +848,4 @@ def turn_content(spark, sf_dir):
     return turns(c)
 
 
-from threadloom.plans import transcript_queries  # noqa: E402, F401  registers the queries over transcripts
+from threadloom.plans import transcript_queries, upkeep_queries  # noqa: E402, F401  register their queries

@@ -47,6 +47,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another state is another table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for top in fs.listStatus(p) for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its size is known to the planner, and lost executors lose nothing."""
     path = scratch(df.sparkSession, name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.vector import l2_norm, q8, q8_scale
-from threadloom.plans.storage import written
+from threadloom.plans.storage import state_of, written
 
 EPOCH = 1_704_067_200_000
 EMBED_VERSION = 3
@@ -35,12 +35,17 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple, DataFrame] = {}
+
+
+def documents_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What a table made of the documents depends on: the application, whose scratch folder has it, and the files."""
+    return spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/documents.parquet")
 
 
 def doc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as messages, stored at first use, as an ingest would: a source is a session, the role alternates."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = documents_state(spark, sf_dir)
     if key not in _stored:
         _stored[key] = written(_doc_messages(spark, sf_dir), "doc-messages")
     return _stored[key]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.operators.live_index import LiveIndex
 from threadloom.operators.store import advance_watermark, changed_files
-from threadloom.plans.storage import remove, written
+from threadloom.operators.versioned import ConcurrentWrite, Versioned  # noqa: F401
+from threadloom.plans.storage import written
 from threadloom.sources import codex, transcripts
 from threadloom.sources.sessions import classify
 
@@ -19,93 +20,13 @@ MARK_SCHEMA = "path string, last_mtime long, last_size long, vendor string"
 FILES_A_ROUND = 10_000
 
 
-class ConcurrentWrite(Exception):
-    """Another writer is committing the same version; the batch can be tried again."""
-
-
-class Versioned:
-    """A table as numbered segments of Parquet. A segment counts once its marker has its name, which one rename gives it.
-
-    A batch adds a segment and touches no other. A segment may replace sessions: their rows in segments before it are hidden
-    when reading. Version numbers are claimed by creating a file, so that two writers never commit the same one.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = "message_id") -> None:
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        """Committed versions, ascending."""
-        path, fs = self._fs()
-        names = [s.getPath().getName() for s in (fs.globStatus(path(f"{self.path}/COMMIT-*")) or [])]
-        return sorted(int(n.split("-")[1]) for n in names)
-
-    def version(self) -> int:
-        return max(self.versions(), default=0)
-
-    def read(self) -> DataFrame:
-        """The rows that count."""
-        committed = self.versions()
-        if not committed:
-            return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(f"{self.schema}, _version int").parquet(*(f"{self.path}/v{v}" for v in committed))
-        path, fs = self._fs()
-        hidden = [f"{self.path}/hide{v}" for v in committed if fs.exists(path(f"{self.path}/hide{v}"))]
-        if hidden:
-            gone = self.spark.read.schema("session_id string, before int").parquet(*hidden).groupBy("session_id").agg(F.max("before").alias("before"))
-            rows = rows.join(gone, "session_id", "left").where(F.col("before").isNull() | (F.col("_version") >= F.col("before"))).drop("before")
-        return rows.select(*(f.split()[0] for f in self.schema.split(", ")))
-
-    def _commit(self, v: int) -> None:
-        path, fs = self._fs()
-        draft = path(f"{self.path}/draft-{uuid.uuid4().hex}")
-        fs.create(draft, True).close()
-        if not fs.rename(draft, path(f"{self.path}/COMMIT-{v}")):
-            raise ConcurrentWrite(v)
-
-    def append(self, df: DataFrame, replaces: DataFrame | None = None) -> int:
-        """Add the rows of ``df`` as a segment, in place of what the sessions in ``replaces`` held; the version made."""
-        path, fs = self._fs()
-        v = self.version() + 1
-        try:
-            fs.create(path(f"{self.path}/claim-{v}"), False).close()
-        except Exception as e:
-            raise ConcurrentWrite(v) from e
-        df.select(*(f.split()[0] for f in self.schema.split(", "))).withColumn("_version", F.lit(v)).write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        if replaces is not None:
-            replaces.select("session_id", F.lit(v).alias("before")).distinct().write.mode("overwrite").parquet(f"{self.path}/hide{v}")
-        self._commit(v)
-        return v
-
-    def release(self) -> None:
-        """Give up a claim whose writer died before it committed."""
-        path, fs = self._fs()
-        fs.delete(path(f"{self.path}/claim-{self.version() + 1}"), False)
-
-    def clear(self) -> None:
-        """Drop all segments."""
-        remove(self.spark, self.path)
-
-    def insert(self, incoming: DataFrame, replaces: DataFrame | None = None) -> int:
-        """Append the rows whose key isn't there, of repeated keys the first by session and place. Reads keys alone, not texts."""
-        new = incoming.groupBy(self.key).agg(F.min_by(F.struct(*incoming.columns), F.struct("session_id", "message_seq")).alias("r")).select("r.*")
-        if self.versions():
-            there = self.read()
-            if replaces is not None:
-                there = there.join(replaces.select("session_id").distinct(), "session_id", "left_anti")
-            new = new.join(there.select(self.key), self.key, "left_anti")
-        return self.append(new, replaces)
-
-
-def ingest_stream(stream: DataFrame, store: Versioned, checkpoint: str):
-    """Add each micro-batch of message rows to the store; first write wins, so a replayed batch adds nothing."""
+def ingest_stream(stream: DataFrame, store: Versioned, checkpoint: str, index: LiveIndex | None = None):
+    """Add each micro-batch of message rows to the store, then to the index; first write wins, so a replayed batch adds nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
         store.insert(batch)
+        if index is not None:
+            index.follow(store)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -132,11 +53,14 @@ def normal_path(path):
 
 
 def ingest_scan(
-    spark: SparkSession, roots: dict[str, str], store: Versioned, marks: Versioned, provenance: Versioned, files_a_round: int = FILES_A_ROUND, force: bool = False
+    spark: SparkSession, roots: dict[str, str], store: Versioned, marks: Versioned, provenance: Versioned, files_a_round: int = FILES_A_ROUND, force: bool = False,
+    index: LiveIndex | None = None, vectors: Versioned | None = None,
 ) -> Scan:
     """List the transcripts below ``roots`` (vendor -> folder), ingest those that changed since their mark, advance their marks.
 
-    A file that can't be read keeps its mark and counts as failed. ``force`` ingests all files and replaces their sessions.
+    A file that can't be read keeps its mark and counts as failed. ``force`` ingests all files and replaces their sessions. Where a
+    file tells that its session is a sub-agent's, the session's rows from before turn cold, and its vectors and postings go. Marks
+    come last: a scan that dies is done again, and ``index`` takes over what the store has and it has not.
     """
     listing = None
     for vendor, root in roots.items():
@@ -150,7 +74,7 @@ def ingest_scan(
     for vendor in roots:
         own = [r["path"] for r in wanted if r["vendor"] == vendor]
         for at in range(0, len(own), files_a_round):
-            ingested += _ingest_files(spark, vendor, own[at : at + files_a_round], listing, store, marks, provenance, force)
+            ingested += _ingest_files(spark, vendor, own[at : at + files_a_round], listing, store, marks, provenance, force, index, vectors)
     return Scan(sum(counts.values()), 0 if force else counts.get("unchanged", 0), ingested, len(wanted) - ingested)
 
 
@@ -160,7 +84,10 @@ def latest_marks(marks: Versioned) -> DataFrame:
     return m.groupBy("path").agg(F.max_by(F.struct("last_mtime", "last_size", "vendor"), F.struct("last_mtime", "last_size")).alias("m")).select("path", "m.*")
 
 
-def _ingest_files(spark: SparkSession, vendor: str, paths: list[str], listing: DataFrame, store: Versioned, marks: Versioned, provenance: Versioned, force: bool) -> int:
+def _ingest_files(
+    spark: SparkSession, vendor: str, paths: list[str], listing: DataFrame, store: Versioned, marks: Versioned, provenance: Versioned, force: bool,
+    index: LiveIndex | None, vectors: Versioned | None,
+) -> int:
     lines = written(transcripts.read_lines(spark, paths, tolerant=True), "lines")
     there = lines.select("path").distinct()
     files = transcripts.evidence(there, vendor, lines)
@@ -168,7 +95,12 @@ def _ingest_files(spark: SparkSession, vendor: str, paths: list[str], listing: D
     classed = written(classify(files, stored), "classes")
     rows = session_rows(lines, vendor).join(classed.select("path", F.col("session_id").alias("_s"), "kind"), "path")
     rows = rows.withColumn("session_id", F.col("_s")).withColumn("retrieval_class", F.when(F.col("kind") == "agent", "agent").otherwise("hot"))
-    store.insert(rows.drop("path", "_s", "kind"), classed.select("session_id") if force else None)
+    late = classed.where("kind = 'agent'").select("session_id")
+    store.insert(rows.drop("path", "_s", "kind"), classed.select("session_id") if force else None, late)
+    if vectors is not None:
+        vectors.delete(classed.select("session_id") if force else late)
+    if index is not None:
+        index.follow(store)
     agents = classed.withColumn("vendor", F.lit(vendor)).withColumnRenamed("path", "transcript_path")
     provenance.append(agents.select("session_id", "vendor", "kind", "parent_session_id", "transcript_path"))
     done = listing.join(there, "path", "left_semi")
@@ -181,11 +113,10 @@ PROVENANCE_SCHEMA = "session_id string, vendor string, kind string, parent_sessi
 
 
 def latest_provenance(provenance: Versioned) -> DataFrame:
-    """What is known of each session; an agent stays one, and a parent once known stays known."""
-    p = provenance.read()
-    return p.groupBy("session_id").agg(
-        F.max("vendor").alias("vendor"), F.min("kind").alias("kind"), F.max("parent_session_id").alias("parent_session_id"), F.max("transcript_path").alias("transcript_path")
-    )
+    """What is known of each session: the last that was told, an agent stays one, and what is known stays where nothing new is told."""
+    p = provenance.read(versioned=True)
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("_version", c)))[c].alias(c)
+    return p.groupBy("session_id").agg(last("vendor"), F.min("kind").alias("kind"), last("parent_session_id"), last("transcript_path"))
 
 
 def vendor_of(path, codex_home: str | None = None):
