@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.operators.intervals import count_within, stab
+from threadloom.plans.storage import written
+
 WINDOW_MS = 3_600_000
 SURVIVES = 0.5
+#: Leaves of the tree of time that edits and commits are joined by, and the units of the sweep that counts.
+HOUR_MS, MINUTE_MS = 3_600_000, 60_000
 
 
 @dataclass(frozen=True)
@@ -64,42 +69,38 @@ def lines_by_file(added: DataFrame) -> DataFrame:
     return added.groupBy("hash", "file").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
 
 
-def _within(edits: DataFrame, commits: DataFrame, window_ms: int, by: list[str]) -> DataFrame:
-    """Edits with the commits in whose window [parent, commit + window] they fall, joined on ``by`` and the hour of the edit.
-
-    A commit stands once for each hour of its window, and an edit in its own hour, so each pair meets once, in an equi-join.
-    """
-    hour = 3_600_000
-    last = F.col("commit_ms") + window_ms
-    hours = F.sequence(F.floor(F.col("parent_ms") / hour), F.floor(last / hour))
-    spread = commits.where(F.col("parent_ms") <= last).withColumn("_hour", F.explode(hours))
-    placed = edits.withColumn("_hour", F.floor(F.col("ts") / hour))
-    return placed.join(spread, [*by, "_hour"]).where(F.col("ts").between(F.col("parent_ms"), last)).drop("_hour")
-
-
 def match_commits(edits: DataFrame, commits: DataFrame, added: DataFrame, blobs: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """One row per commit and session whose edits share a trigram with an added line run of the same file.
 
     ``edits`` (session, file, content, ts), ``commits`` (hash, commit_ms, parent_ms), ``added`` (hash, file, lines) and
-    ``blobs`` (hash, file, content). All edits of the session in the window count as edits; the ratio is over its files of the
-    commit: distinct trigrams that stand in the committed file. Trigrams are made once a text and compared by 128 bits of hash.
+    ``blobs`` (hash, file, content). All edits of the session in the window [parent, commit + window] count as edits; the ratio is over its
+    files of the commit: distinct trigrams that stand in the committed file. Trigrams are made once a text and compared by 128 bits of hash.
+
+    Edits and commits meet by file and trigram first, so that an edit that shares nothing with a commit is paired with none; what
+    else is asked of a commit and session is asked of those that met.
     """
     name = lambda tri: F.struct(F.xxhash64(tri).alias("x"), F.xxhash64(F.reverse(tri), F.length(tri)).alias("y"))
     made = lambda lines: F.transform(trigrams(lines), name)
-    times = _within(edits.select("session", "ts"), commits, window_ms, []).groupBy("hash", "session").agg(F.count("*").alias("edit_count"), F.max("ts").alias("last_edit"))
-    files = blobs.select("hash", "file").distinct().join(commits, "hash")
+    windows = commits.select("hash", F.col("parent_ms").alias("low"), (F.col("commit_ms") + window_ms).alias("high")).where("low <= high")
+    files = blobs.select("hash", "file").distinct().join(windows, "hash")
     tris = edits.select("session", "file", "ts", made(F.split("content", "\n")).alias("tris"))
-    own = _within(tris, files, window_ms, ["file"]).select("hash", "session", "file", F.explode("tris").alias("tri")).distinct()
-    in_added = added.select("hash", "file", F.explode(made(F.col("lines"))).alias("tri"), F.lit(1).alias("hit"))
-    in_blob = blobs.select("hash", "file", F.explode(made(F.split("content", "\n"))).alias("tri"), F.lit(1).alias("stays"))
-    key = ["hash", "file", "tri"]
-    marked = own.join(in_added, key, "left").join(in_blob, key, "left")
-    sums = marked.groupBy("hash", "session").agg(
-        F.coalesce(F.sum("hit"), F.lit(0)).alias("content_hits"), F.coalesce(F.sum("stays"), F.lit(0)).alias("surviving"), F.count("*").alias("total_tris")
+    in_added = added.select("hash", "file", F.explode(made(F.col("lines"))).alias("tri")).join(files, ["hash", "file"])
+    met = tris.select("session", "file", "ts", F.explode("tris").alias("tri")).join(in_added, ["file", "tri"]).where("ts between low and high")
+    hits = met.select("hash", "session", "file", "tri").distinct().groupBy("hash", "session").agg(F.count("*").alias("content_hits"))
+    hits = written(hits.join(windows, "hash"), "hits")  # as many rows as the result
+    asked = hits.select("hash", "session").join(files, "hash")
+    own = stab(tris, asked, "ts", "low", "high", ["session", "file"], HOUR_MS).select("hash", "session", "file", F.explode("tris").alias("tri")).distinct()
+    kept = blobs.join(hits.select("hash").distinct(), "hash", "left_semi")
+    in_blob = kept.select("hash", "file", F.explode(made(F.split("content", "\n"))).alias("tri"), F.lit(1).alias("stays"))
+    sums = own.join(in_blob, ["hash", "file", "tri"], "left").groupBy("hash", "session").agg(
+        F.coalesce(F.sum("stays"), F.lit(0)).alias("surviving"), F.count("*").alias("total_tris")
     )
+    of = edits.select("session", "ts").join(hits.select("session").distinct(), "session", "left_semi")
+    times = count_within(of, hits, "ts", "low", "high", ["session"], ["hash"], MINUTE_MS)
     ratio = F.col("surviving") / F.col("total_tris")
-    return sums.where("content_hits > 0").join(times, ["hash", "session"]).select(
-        "hash", "session", "content_hits", "edit_count", "last_edit", (ratio >= SURVIVES).alias("surviving_in_commit"),
+    found = hits.select("hash", "session", "content_hits").join(sums, ["hash", "session"]).join(times, ["hash", "session"])
+    return found.select(
+        "hash", "session", "content_hits", F.col("n").alias("edit_count"), F.col("last").alias("last_edit"), (ratio >= SURVIVES).alias("surviving_in_commit"),
         (F.floor(ratio * 100 + 0.5) / 100).alias("surviving_ratio"),
     )
 
@@ -161,13 +162,10 @@ def read_git(spark: SparkSession, root: str, *args: str) -> DataFrame:
 def candidates(files: DataFrame, commits: DataFrame, before_ms: int = 60_000, after_ms: int = 86_400_000) -> DataFrame:
     """(hash, path) of the transcripts whose time fits a commit: from a minute before its parent to a day after it.
 
-    ``files`` (path, mtime_ms), ``commits`` (hash, commit_ms, parent_ms). Joined on the day, like edits on the hour.
+    ``files`` (path, mtime_ms), ``commits`` (hash, commit_ms, parent_ms).
     """
-    day = 86_400_000
-    low, high = F.col("parent_ms") - before_ms, F.col("commit_ms") + after_ms
-    spread = commits.where(low <= high).withColumn("_day", F.explode(F.sequence(F.floor(low / day), F.floor(high / day))))
-    placed = files.select("path", "mtime_ms").withColumn("_day", F.floor(F.col("mtime_ms") / day))
-    return placed.join(spread, "_day").where(F.col("mtime_ms").between(low, high)).select("hash", "path")
+    ranges = commits.select("hash", (F.col("parent_ms") - before_ms).alias("low"), (F.col("commit_ms") + after_ms).alias("high"))
+    return stab(files.select("path", "mtime_ms"), ranges, "mtime_ms", "low", "high", [], 24 * HOUR_MS).select("hash", "path")
 
 
 def as_table(matches: DataFrame) -> DataFrame:
