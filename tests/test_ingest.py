@@ -124,7 +124,7 @@ def test_drain_until_nothing_waits(spark):
     def dead(texts):
         raise RuntimeError("gone")
 
-    assert embedding.drain(m, none, dead)[1] == 0
+    assert embedding.drain(m, none, dead)[1] == 0  # three passes, then the rest is left
 
 
 def terms(text):

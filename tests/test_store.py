@@ -157,3 +157,21 @@ def test_windows_stream_like_batches(spark, tmp_path):
     got = ingest.run_to_table(ingest.event_windows(stream), "windows", f"{tmp_path}/c", "complete")
     key = lambda df: sorted((r.window_start, r.event_type, r.n) for r in df.collect())
     assert key(got) == key(ingest.event_windows(events))
+
+
+def test_predecessors_across_chunks(spark, monkeypatch):
+    """A session in many chunks, with gaps, repeated places and cold rows, against a loop; the plan orders ids alone."""
+    monkeypatch.setattr(semantic, "CHUNK", 5)
+    rows = [(f"m{i:03}", "s" if i % 3 else "t", i * 7 % 90, None if i == 8 else f"text {i}", "p", i, "user", "agent" if i % 10 == 9 else "hot") for i in range(60)]
+    rows += [("m900", "s", rows[1][2], "same place", "p", 900, "user", "hot")]
+    m = spark.createDataFrame(rows, "message_id string, session_id string, message_seq long, message_text string, project_id string, created_at long, message_role string, retrieval_class string")
+    own = [r for r in rows if r[7] == "hot"]
+    want = {}
+    for r in own:
+        before = [(x[2], x[0], x[3]) for x in own if x[1] == r[1] and x[2] < r[2]]
+        want[r[0]] = (max(before)[2], True) if before else (None, False)
+    got = {r.message_id: (r.prev_text, r.has_previous) for r in semantic.with_previous(m).collect()}
+    assert got == want
+    none = spark.createDataFrame([], "message_id string, embed_version int")
+    plan = semantic.unembedded(m, none)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("message_text" not in line for line in plan.split("\n") if "Window" in line or "Join" in line)

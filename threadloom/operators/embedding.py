@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,21 +70,23 @@ def query_vector(query: str, embedder: Embedder) -> list[float] | None:
         return None
 
 
-def drain(messages: DataFrame, vectors: DataFrame, embedder: Embedder, batch: int = BATCH, failures: int = FAILURES) -> tuple[DataFrame, int]:
-    """Vectors until no message waits, and how many were made. A sweep that makes none counts as a failure; several in a row end it.
+def drain(messages: DataFrame, vectors: DataFrame, embedder: Embedder, batch: int = BATCH, attempts: int = FAILURES) -> tuple[DataFrame, int]:
+    """Vectors of all messages that wait, and how many were made.
 
-    Each sweep's vectors are written, so the next one sees what is left.
+    All that wait are embedded in one pass, by batches within each task; what fails is tried again, ``attempts`` times in all. Each pass is
+    written, so a lost executor repeats its own tasks alone, and the passes are as many for any number of messages.
     """
-    made, failed = 0, 0
-    while failed < failures:
-        queue = written(embed_queue(messages, vectors, batch), "queue")
+    queue, made, passes = written(embed_queue(messages, vectors, None), "queue"), 0, []
+    for _ in range(attempts):
         if queue.isEmpty():
             break
-        new = written(embed_rows(queue, embedder), "vectors")
-        n = new.count()
-        made, failed = made + n, 0 if n else failed + 1
-        if n:
-            vectors = written(vectors.join(new.select("message_id"), "message_id", "left_anti").unionByName(new.select(*vectors.columns)), "all-vectors")
+        new = written(embed_rows(queue, embedder, batch), "vectors")
+        passes.append(new)
+        queue = written(queue.join(new.select("message_id"), "message_id", "left_anti"), "queue")
+    if passes:
+        new = reduce(DataFrame.unionByName, passes)
+        made = new.count()
+        vectors = written(vectors.join(new.select("message_id"), "message_id", "left_anti").unionByName(new.select(*vectors.columns)), "all-vectors")
     return vectors, made
 
 

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from threadloom.functions.vector import approximate_cosine
 from threadloom.operators.messages import hot, in_scope, infer_role, preview
 
+#: Numbers of a session's places that one task puts in order.
+CHUNK = 4096
 #: Fixed values of the embedding rules.
 VERSION, TOLERANT_BELOW = 3, 0.95
 MIN_CHARS, SHORT_CHARS, PREDECESSOR_CHARS, EMBED_CHARS = 50, 200, 512, 14_000
@@ -44,18 +46,41 @@ def search(
     return top.select("message_id", "session_id", "message_seq", "project_id", "created_at", infer_role().alias("message_role"), *preview(), "similarity", (-F.col("similarity")).alias("rank"))
 
 
+def previous(messages: DataFrame) -> DataFrame:
+    """(session_id, message_seq, prev_id): the hot message before each place of a session, that of the next smaller seq; of several the greatest id.
+
+    Ids alone are ordered, within chunks of ``CHUNK`` numbers; each chunk's last is handed to the session's next chunk, whose rows
+    are one a chunk. So a session of any length is many tasks, and rows that repeat a place are one before they are moved.
+    """
+    at = hot(messages).groupBy("session_id", "message_seq").agg(F.max("message_id").alias("_id"))
+    at = at.withColumn("_chunk", F.floor(F.col("message_seq") / CHUNK))
+    ends = at.groupBy("session_id", "_chunk").agg(F.max_by("_id", "message_seq").alias("_end"))
+    handed = ends.select("session_id", "_chunk", F.lag("_end").over(Window.partitionBy("session_id").orderBy("_chunk")).alias("_handed"))
+    inside = F.lag("_id").over(Window.partitionBy("session_id", "_chunk").orderBy("message_seq"))
+    own = at.withColumn("_own", inside).join(handed, ["session_id", "_chunk"])
+    return own.select("session_id", "message_seq", F.coalesce("_own", "_handed").alias("prev_id"))
+
+
+def with_texts(rows: DataFrame, messages: DataFrame, column: str = "prev_id", into: str = "prev_text") -> DataFrame:
+    """``rows`` with the text of the message that a column names."""
+    texts = hot(messages).select(F.col("message_id").alias(column), F.col("message_text").alias(into))
+    return rows.join(texts, column, "left")
+
+
 def with_previous(messages: DataFrame) -> DataFrame:
     """Hot messages with the text of the hot message before them in the session (strictly smaller seq), and whether there is one."""
-    w = Window.partitionBy("session_id").orderBy("message_seq").rangeBetween(Window.unboundedPreceding, -1)
-    before = F.last(F.struct("message_text")).over(w)
-    return hot(messages).withColumn("_p", before).withColumn("has_previous", F.col("_p").isNotNull()).withColumn("prev_text", F.col("_p.message_text")).drop("_p")
+    m = hot(messages).join(previous(messages), ["session_id", "message_seq"], "left")
+    return with_texts(m, messages).withColumn("has_previous", F.col("prev_id").isNotNull()).drop("prev_id")
 
 
 def unembedded(messages: DataFrame, vectors: DataFrame, version: int = VERSION) -> DataFrame:
-    """Hot, non-empty messages without a current vector that are long enough or have a predecessor."""
+    """(message_id, session_id, created_at, prev_id) of hot, non-empty messages without a current vector that are long enough or have a
+    predecessor. What is asked of a text is asked where it is read; no text is moved."""
     current = vectors.where(F.col("embed_version") == version).select("message_id")
-    m = with_previous(messages).where(F.trim("message_text") != "")
-    return m.join(current, "message_id", "left_anti").where((F.length("message_text") >= MIN_CHARS) | F.col("has_previous"))
+    m = hot(messages).where(F.trim("message_text") != "")
+    m = m.select("message_id", "session_id", "message_seq", "created_at", (F.length("message_text") >= MIN_CHARS).alias("_long"))
+    m = m.join(current, "message_id", "left_anti").join(previous(messages), ["session_id", "message_seq"], "left")
+    return m.where(F.col("_long") | F.col("prev_id").isNotNull()).select("message_id", "session_id", "created_at", "prev_id")
 
 
 def without_vector(messages: DataFrame, vectors: DataFrame, version: int = VERSION) -> DataFrame:
@@ -82,10 +107,13 @@ def embed_text(text: str = "message_text", previous: str = "prev_text"):
     return F.when(short, F.concat(F.right(previous, F.lit(PREDECESSOR_CHARS)), F.lit("\n"), F.col(text))).otherwise(F.col(text))
 
 
-def embed_queue(messages: DataFrame, vectors: DataFrame, limit: int = 80, version: int = VERSION) -> DataFrame:
-    """The newest messages that wait for a vector, with the text to embed."""
-    u = unembedded(messages, vectors, version)
-    return u.orderBy(F.desc("created_at"), "message_id").limit(limit).select("message_id", "session_id", "created_at", F.substring(embed_text(), 1, EMBED_CHARS).alias("embed_text"))
+def embed_queue(messages: DataFrame, vectors: DataFrame, limit: int | None = 80, version: int = VERSION) -> DataFrame:
+    """The newest messages that wait for a vector (or all of them), with the text to embed. Texts are read for these alone."""
+    top = unembedded(messages, vectors, version)
+    if limit is not None:
+        top = top.orderBy(F.desc("created_at"), "message_id").limit(limit)
+    u = with_texts(with_texts(top, messages), messages, "message_id", "message_text")
+    return u.select("message_id", "session_id", "created_at", F.substring(embed_text(), 1, EMBED_CHARS).alias("embed_text"))
 
 
 def gap_sessions(messages: DataFrame, vectors: DataFrame, version: int = VERSION) -> DataFrame:
