@@ -69,6 +69,22 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in offsets) == sorted((i, len(x), crc(x)) for i, x in want)
 
 
+def test_starts_follow_the_files(spark, tmp_path):
+    """Rows that repeat an id, and rows without one: ``start`` is where the row's ids stand when the files are read one after another."""
+    texts = ["a b c d e f", "a", "a b", None, "word " * 500, "a", "x y z"]
+    rows = [(i, t) for i in (1, 1, None, 5, 1) for t in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    token_output.write_tokens(df, f"{tmp_path}/t", queries.tokenizer_path(), 2, file_bytes=300)
+    files = sorted((tmp_path / "t").glob("*.orc"))
+    assert len(files) > 3  # one id fills several
+    flat = [(r.doc_id, list(r.ids)) for f in files for r in spark.read.orc(str(f)).orderBy("row").collect()]
+    stream = [x for _, ids in flat for x in ids]
+    assert [i for i, _ in flat] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    got = token_output.token_offsets(spark, f"{tmp_path}/t").collect()
+    assert sorted(r.start for r in got) == [sum(len(x) for _, x in flat[:n]) for n in range(len(flat))]
+    assert all(crc(stream[r.start : r.start + r.n_tokens]) == r.ids_crc32 for r in got)
+
+
 def test_token_files_have_indexes(spark, tmp_path):
     """The stripes' footers: integers run-length encoded, a row index for each column, a Bloom filter on the ids; readers skip by id."""
     df = spark.range(5_000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,30 +18,37 @@ from ._spark import text_bytes
 FILE_BYTES, MOST_FILES = 16 << 20, 100_000
 STRIPE_BYTES = 8 << 20
 ROW_INDEX_STRIDE = 1000
+_SCHEMA = "doc_id long, ids array<int>, n long, part int, row long"
 
 
 def write_tokens(
     df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES
 ) -> None:
-    """Write (id, ids) in ascending id order as ORC files.
+    """Write (doc_id, ids, n, part, row) in ascending id order as ORC files: ``n`` counts the ids, ``part`` the files, ``row`` a file's rows.
 
     Files hold consecutive ranges of ids, sorted; readers take stripes in parallel and skip stripes and row
     groups by the ids' minimum, maximum and Bloom filter. A null or empty text has the end id alone; a null id
-    sorts first; repeated ids keep a row each, ordered by text. An empty table writes no row. Long texts are
-    one row, whatever their length.
+    sorts first; repeated ids keep a row each, ordered by a hash of the text, and where there are very many of one id they fill
+    several files. An empty table writes no row. Long texts are one row, whatever their length.
     """
     spark = df.sparkSession
     files = max(1, min(MOST_FILES, -(-text_bytes(df, text_col) // file_bytes)))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(files, "doc_id", "hash", "nth").sortWithinPartitions("doc_id", "hash", "nth").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, row = TaskContext.get().partitionId(), 0
         for part, ids in tokens.encode_batches(batches, tokenizer, end_id):
+            n = len(ids)
             flat = pa.array(np.concatenate(ids).astype(np.int32))
-            off = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32))
-            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(off, flat)], names=["doc_id", "ids"])
+            size = np.fromiter(map(len, ids), np.int64, n)
+            off = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            numbers = (pa.array(size), pa.array(np.full(n, file, np.int32)), pa.array(np.arange(row, row + n)))
+            row += n
+            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(off, flat), *numbers], names=["doc_id", "ids", "n", "part", "row"])
 
-    placed.mapInArrow(encode, "doc_id long, ids array<int>").write.options(
+    placed.mapInArrow(encode, _SCHEMA).write.options(
         **{
             "compression": "zstd",
             "orc.stripe.size": STRIPE_BYTES,
@@ -58,32 +66,28 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+    """Per row of the files, in their order: doc_id, start (ids of all rows before it), n_tokens, ids_crc32.
 
-    Sums run per file, then over the files' totals (one row per file).
+    Sums run per file by the row's number, then over the files' totals (one row per file, from the counts alone).
     """
-    read = read_tokens(spark, path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
+    read = spark.read.schema(_SCHEMA).orc(path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
+            lists = b.column(3)
             off = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False)
             crc = [tokens.crc32(flat[lo:hi]) for lo, hi in zip(off[:-1], off[1:], strict=True)]
-            yield pa.record_batch(
-                [b.column(0), b.column(2), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())],
-                names=["doc_id", "file", "n_tokens", "ids_crc32"],
-            )
-
-    rows = read.mapInArrow(digest, "doc_id long, file string, n_tokens long, ids_crc32 long")
-    totals = read.select("doc_id", "file", F.size("ids").cast("long").alias("n")).groupBy("file").agg(
-        F.sum("n").alias("n"), F.min(F.struct(F.col("doc_id"), F.col("file"))).alias("first")
-    )
+            made = [pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())]
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), *made], names=["doc_id", "part", "row", "n_tokens", "ids_crc32"])
+
+    rows = read.select("doc_id", "part", "row", "ids").mapInArrow(digest, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
+    totals = read.groupBy("part").agg(F.sum("n").alias("n"))
     before = totals.select(
-        "file", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+        "part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
     )
-    inside = Window.partitionBy("file").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(before, "file").select(
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(before, "part").select(
         "doc_id",
         (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"),
         "n_tokens",
