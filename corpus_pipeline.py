@@ -31,16 +31,34 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.with_score(docs.select(*COLUMNS), model, into="_score").where(F.col("_score") >= 0.3).drop("_score")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_node``: the id, or a number beyond all ids for texts without one and for all but one of several texts of one id.
+
+    Rows of one id and text are one node. Such numbers are written, so that each use sees the same; where no id repeats there are none.
+    """
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    pairs = rows.select("doc_id", "_hash").distinct()
+    several = pairs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.min("_hash").alias("_first")).where("_n > 1 or _id is null")
+    odd = pairs.join(several, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("doc_id").isNull() | (F.col("_hash") != F.col("_first")))
+    odd = durable(odd.select("_id", F.col("_hash").alias("_text"), F.monotonically_increasing_id().alias("_nth")), "odd-ids")
+    if odd.isEmpty():
+        return rows.withColumn("_node", F.col("doc_id").cast("long")).drop("_hash")
+    beyond = F.lit((docs.agg(F.max("doc_id")).first()[0] or 0) + 1)
+    named = rows.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_hash").eqNullSafe(F.col("_text")), "left")
+    return named.select(*docs.columns, F.coalesce(beyond + F.col("_nth"), F.col("doc_id").cast("long")).alias("_node"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard index 0.8) the row with the smallest id.
 
-    Rows that repeat an id are one document, of which one row stays. Rows without an id stay.
+    Rows are compared by their texts, whatever their ids: of several texts of one id, or without an id, those go that are near copies
+    of a row that stays, and equal rows are one. A row with an id stays before one without or with an id that another text has.
     """
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    named = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
-    left = named.join(gone.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])  # by the join's partitions
-    return left.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+    named = _numbered(docs.select(*COLUMNS))
+    found = minhash.near_duplicates(named, words=5, percent=80, id_col="_node")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_node")).distinct()
+    left = named.join(gone.hint("merge"), "_node", "left_anti")
+    return left.dropDuplicates(["_node"]).select(*COLUMNS)  # by the join's partitions
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,6 +83,20 @@ def test_near_dedup_stage(spark, docs):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(((i, t) for i, t in texts.items() if root[i] == i))
 
 
+def test_near_dedup_keeps_texts_of_repeated_and_null_ids(spark):
+    """Three texts of one id, copies of them elsewhere, rows without an id: only near copies of a row that stays go."""
+    text = lambda n: " ".join(f"w{n}x{j}" for j in range(40))
+    near = lambda n: text(n).replace(f"w{n}x0 ", "other ")
+    rows = [(1, text(1)), (1, text(2)), (1, text(3)), (1, text(3)), (2, near(2)), (None, text(4)), (None, text(5)), (None, near(1)), (3, text(5)), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in P.near_dedup(spark, docs, SF).collect()), key=repr)
+    kept = {t for _, t in got}
+    assert len(got) == len(kept) == 6 and "" in kept
+    for n in (1, 2, 3, 4, 5):
+        assert (text(n) in kept) + (near(n) in kept) == 1
+    assert (3, text(5)) in got and (None, text(4)) in got and all(i != 1 or t in map(text, (1, 2, 3)) for i, t in got)
+
+
 def test_passage_stage(spark, docs):
     texts = once(docs)
     want = brute_removal(list(texts.items()), 50)
