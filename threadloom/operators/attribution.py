@@ -34,6 +34,13 @@ def parse_spec(spec: str) -> BlameSpec:
     return BlameSpec(m[1], int(m[2]), int(m[3]) if m[3] else int(m[2]))
 
 
+def spec_parts(spec: Column) -> tuple[Column, Column, Column]:
+    """Path, first and last line of specs in a column, as ``parse_spec`` gives them."""
+    part = lambda n: F.nullif(F.regexp_extract(spec, r"^(.+):(\d+)(?:-(\d+))?$", n), F.lit(""))
+    first = part(2).cast("int")
+    return F.coalesce(part(1), spec), first, F.coalesce(part(3).cast("int"), first)
+
+
 def normal_lines(lines: Column) -> Column:
     """Lines with white space folded and trimmed, blank ones dropped."""
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")

@@ -153,6 +153,17 @@ def resolve(ids: DataFrame, aliases: DataFrame, ref: str) -> DataFrame:
     return near.join(F.broadcast(best), F.col("tier") == F.col("best")).select("session_id", how.alias("how")).distinct()
 
 
+def status_report(messages: DataFrame, vectors: DataFrame, version: int = 3) -> DataFrame:
+    """One row of what the store holds: hot and other messages, the last of any class, what waits for a vector, and the vectors by version."""
+    from threadloom.operators.semantic import coverage, gap
+
+    is_hot = F.col("retrieval_class") == "hot"
+    counts = messages.agg(F.count_if(is_hot).alias("message_count"), F.count_if(~is_hot).alias("agent_message_count"), F.max("created_at").alias("last_ingest"))
+    waiting = gap(messages, vectors, version).select(F.col("total").alias("total_messages"), "gap_count")
+    held = coverage(messages, vectors, version).select(F.col("total").alias("vectors"), "current", "stale", "coverage")
+    return counts.crossJoin(waiting).crossJoin(held)  # one row each
+
+
 def within_budget(messages: DataFrame, budget: int, overhead: int = 0) -> DataFrame:
     """Of each session the first messages whose lengths together stay within ``budget``, but one at least."""
     w = Window.partitionBy("session_id").orderBy("message_seq", "message_id")

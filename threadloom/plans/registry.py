@@ -848,4 +848,4 @@ def turn_content(spark, sf_dir):
     return turns(c)
 
 
-from threadloom.plans import transcript_queries, upkeep_queries  # noqa: E402, F401  register their queries
+from threadloom.plans import derived_queries, transcript_queries, upkeep_queries  # noqa: E402, F401  register their queries

@@ -32,10 +32,17 @@ def url_path(path: Column, home: Column) -> Column:
 
 
 def classify(files: DataFrame, stored: DataFrame) -> DataFrame:
-    """(path, session_id, kind, parent_session_id, evidence) of ``files`` (path, vendor, session_id, hook_agent, hook_session, meta_id, meta_parent).
+    """(path, session_id, kind, parent_session_id, evidence): ``classify_all`` without the aliases, of files that can be resolved."""
+    return classify_all(files, stored).where("not unresolvable").drop("aliases", "unresolvable")
+
+
+def classify_all(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """(path, session_id, kind, parent_session_id, evidence, aliases, unresolvable) of ``files`` (path, vendor, session_id, hook_agent, hook_session, meta_id, meta_parent).
 
     What is stored for a path counts first, unless a hook now says sub-agent; then the path, the name, the hook, and for the
-    second vendor the file's own meta data. Whatever tells nothing is a root session.
+    second vendor the file's own meta data. Whatever tells nothing is a root session. Aliases are the hook's name of the agent and the id
+    that the caller proposed, where they differ from the session's. A sub-agent of the second vendor whose id nothing tells is unresolvable: it
+    is never given its parent's, and whoever ingests leaves it out.
     """
     known = stored.select(F.col("transcript_path").alias("path"), F.col("kind").alias("_kind"), F.col("session_id").alias("_session"), F.col("parent_session_id").alias("_parent"))
     f = files.join(known, "path", "left").withColumn("_base", F.regexp_extract("path", r"([^/\\]+?)(?:\.jsonl)?$", 1))
@@ -57,7 +64,11 @@ def classify(files: DataFrame, stored: DataFrame) -> DataFrame:
         .when(is_("path", "hook") | (is_("name") & agent_name), F.col("_base")).otherwise(F.col("session_id"))
     )
     parent = F.when(is_("stored"), F.col("_parent")).when(is_("path"), F.coalesce(parent_folder, F.col("hook_session"))).when(is_("meta"), F.col("meta_parent")).when(is_("name", "hook"), F.col("hook_session"))
-    return f.select("path", session.alias("session_id"), kind.alias("kind"), parent.alias("parent_session_id"), "evidence")
+    lost = ~claude & is_("meta", "hook") & F.coalesce(F.nullif(F.col("meta_id"), F.lit("")), uuid).isNull() & ~F.regexp_like("session_id", F.lit(rf"(?i)^{_UUID}$"))
+    session = F.when(lost, F.col("_base")).otherwise(session)
+    named = F.array(F.when(hooked, F.nullif(F.col("hook_agent"), F.lit(""))), F.nullif(F.col("session_id"), F.lit("")))
+    aliases = F.when(lost, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(named, lambda a: a.isNotNull() & (a != session))))
+    return f.select("path", session.alias("session_id"), kind.alias("kind"), parent.alias("parent_session_id"), "evidence", aliases.alias("aliases"), lost.alias("unresolvable"))
 
 
 def session_facts(entries: DataFrame, sizes: DataFrame) -> DataFrame:

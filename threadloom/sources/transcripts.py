@@ -14,16 +14,17 @@ _BLOCKS = "array<struct<type:string,text:string,name:string,id:string,input:stri
 
 #: What a tool is for, by its name.
 TOOL_CATEGORIES = {
-    "Read": "file_read", "NotebookRead": "file_read", "Write": "file_write", "Edit": "file_edit", "MultiEdit": "file_edit", "NotebookEdit": "file_edit",
-    "Bash": "shell", "BashOutput": "shell", "KillShell": "shell", "Grep": "search", "Glob": "search", "LS": "search", "WebSearch": "web", "WebFetch": "web",
-    "Task": "agent", "TodoWrite": "planning",
+    "Read": "file_read", "Write": "file_write", "Edit": "file_edit", "MultiEdit": "file_edit", "Bash": "shell", "Grep": "search", "Glob": "search", "LS": "search",
+    "Task": "agent", "Agent": "agent", "TaskOutput": "agent", "TaskStop": "agent", "WebFetch": "browser", "WebSearch": "search", "NotebookEdit": "notebook",
+    "TodoWrite": "planning", "EnterPlanMode": "planning", "ExitPlanMode": "planning", "AskUserQuestion": "interaction", "Skill": "interaction",
+    "EnterWorktree": "other", "ListMcpResources": "mcp", "ReadMcpResource": "mcp",
 }
 #: How texts begin that a tool puts in the user's name.
 SYSTEM_OPENINGS = (
     "<system-reminder>", "<environment_context>", "<INSTRUCTIONS>", "# AGENTS.md instructions for", "<context>", "<task-notification>", "<command-name>",
     "<local-command-stdout>", "<local-command-caveat>",
 )
-TOOL_NAMES = {"exec_command": "Bash", "shell_command": "Bash", "shell": "Bash", "write_stdin": "Bash", "view_image": "Read", "update_plan": "TodoWrite"}
+TOOL_NAMES = {"exec_command": "Bash", "shell_command": "Bash", "write_stdin": "Bash", "view_image": "Read", "update_plan": "TodoWrite"}
 
 
 def list_files(spark: SparkSession, root: str, vendor: str) -> DataFrame:

@@ -12,7 +12,7 @@ from threadloom.operators.store import advance_watermark, changed_files
 from threadloom.operators.versioned import ConcurrentWrite, Versioned  # noqa: F401
 from threadloom.plans.storage import written
 from threadloom.sources import codex, transcripts
-from threadloom.sources.sessions import classify
+from threadloom.sources.sessions import classify_all
 
 MESSAGE_SCHEMA = "message_id string, session_id string, message_seq long, message_text string, project_id string, created_at long, message_role string, retrieval_class string"
 MARK_SCHEMA = "path string, last_mtime long, last_size long, vendor string"
@@ -54,7 +54,7 @@ def normal_path(path):
 
 def ingest_scan(
     spark: SparkSession, roots: dict[str, str], store: Versioned, marks: Versioned, provenance: Versioned, files_a_round: int = FILES_A_ROUND, force: bool = False,
-    index: LiveIndex | None = None, vectors: Versioned | None = None,
+    index: LiveIndex | None = None, vectors: Versioned | None = None, aliases: Versioned | None = None,
 ) -> Scan:
     """List the transcripts below ``roots`` (vendor -> folder), ingest those that changed since their mark, advance their marks.
 
@@ -74,7 +74,7 @@ def ingest_scan(
     for vendor in roots:
         own = [r["path"] for r in wanted if r["vendor"] == vendor]
         for at in range(0, len(own), files_a_round):
-            ingested += _ingest_files(spark, vendor, own[at : at + files_a_round], listing, store, marks, provenance, force, index, vectors)
+            ingested += _ingest_files(spark, vendor, own[at : at + files_a_round], listing, store, marks, provenance, force, index, vectors, aliases)
     return Scan(sum(counts.values()), 0 if force else counts.get("unchanged", 0), ingested, len(wanted) - ingested)
 
 
@@ -86,13 +86,14 @@ def latest_marks(marks: Versioned) -> DataFrame:
 
 def _ingest_files(
     spark: SparkSession, vendor: str, paths: list[str], listing: DataFrame, store: Versioned, marks: Versioned, provenance: Versioned, force: bool,
-    index: LiveIndex | None, vectors: Versioned | None,
+    index: LiveIndex | None, vectors: Versioned | None, aliases: Versioned | None,
 ) -> int:
     lines = written(transcripts.read_lines(spark, paths, tolerant=True), "lines")
     there = lines.select("path").distinct()
     files = transcripts.evidence(there, vendor, lines)
     stored = latest_provenance(provenance).select("transcript_path", "kind", "session_id", "parent_session_id")
-    classed = written(classify(files, stored), "classes")
+    every = written(classify_all(files, stored), "classes")
+    classed = every.where("not unresolvable")  # of the others nothing is taken in, and they keep their marks
     rows = session_rows(lines, vendor).join(classed.select("path", F.col("session_id").alias("_s"), "kind"), "path")
     rows = rows.withColumn("session_id", F.col("_s")).withColumn("retrieval_class", F.when(F.col("kind") == "agent", "agent").otherwise("hot"))
     late = classed.where("kind = 'agent'").select("session_id")
@@ -103,12 +104,29 @@ def _ingest_files(
         index.follow(store)
     agents = classed.withColumn("vendor", F.lit(vendor)).withColumnRenamed("path", "transcript_path")
     provenance.append(agents.select("session_id", "vendor", "kind", "parent_session_id", "transcript_path"))
-    done = listing.join(there, "path", "left_semi")
+    if aliases is not None:
+        aliases.append(alias_rows(classed))
+    done = listing.join(classed.select("path"), "path", "left_semi")
     none = spark.createDataFrame([], MARK_SCHEMA)
     marks.append(advance_watermark(none, done))
     return done.count()
 
 
+ALIAS_SCHEMA = "alias_id string, session_id string, source string"
+
+
+def alias_rows(classed: DataFrame) -> DataFrame:
+    """(alias_id, session_id, source) of what ``classify_all`` gives; a blank alias is none."""
+    rows = classed.select(F.explode("aliases").alias("alias_id"), "session_id", F.col("evidence").alias("source"))
+    return rows.where(F.trim("alias_id") != "")
+
+
+def latest_aliases(aliases: Versioned) -> DataFrame:
+    """The last session that each alias was given."""
+    a = aliases.read(versioned=True)
+    return a.groupBy("alias_id").agg(F.max(F.struct("_version", "session_id", "source")).alias("a")).select("alias_id", "a.session_id", "a.source")
+
+
 PROVENANCE_SCHEMA = "session_id string, vendor string, kind string, parent_session_id string, transcript_path string"
 
 
