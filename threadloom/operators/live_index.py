@@ -62,6 +62,10 @@ class LiveIndex(Index):
         fits = F.col("term").isin(whole) if whole else F.lit(False)
         return self.postings().where(reduce(lambda a, b: a | b, (F.startswith("term", F.lit(t)) for t in begins), fits))
 
+    def bounds(self, plan: object) -> None:
+        """None: lengths are those of now, so no greatest score of a block could be kept."""
+        return None
+
     def _counted(self, messages: DataFrame, found: DataFrame, sign: int) -> list[DataFrame]:
         """Rows of kinds term and size for hot messages, given their postings."""
         length = F.coalesce(F.size((word_tokens if self.stems else tokens)("message_text")), F.lit(0))

@@ -1,8 +1,9 @@
 """Stored postings for keyword search: read by the terms of a query, not by scanning the messages.
 
-An index is three tables below one folder. ``postings`` holds a row for each term and hot message (positions, the message's
-length and what orders and scopes a result), in folders by a hash of the term and sorted by term within; ``vocabulary`` the terms;
-``totals`` one row. A search reads the folders of its terms, scores there, and joins only its top rows with the messages.
+An index is four tables below one folder. ``postings`` holds a row for each term and hot message (positions, the message's
+length and what orders and scopes a result), in folders by a hash of the term and sorted by term and block within; ``blocks`` the greatest
+score of each term in each block of messages; ``vocabulary`` the terms, in files of ranges; ``totals`` one row. A search reads the
+folders of its terms, scores the blocks that can reach its last place, and joins only its top rows with the messages.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from threadloom.operators.messages import hot, in_scope, infer_role, preview
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Folders of the postings. A term is in one of them.
 BUCKETS = 64
+#: Messages of a block, about.
+PER_BLOCK = 64
+#: Blocks that are named one by one in a filter, at most; more come by a join.
+NAMED = 1000
 
 _ORDER = ["session_id", "message_seq", "project_id", "created_at"]
 
@@ -50,27 +55,47 @@ class Index:
         self.spark, self.path = spark, path.rstrip("/")
         t = spark.read.parquet(f"{self.path}/totals").first()  # one row
         self.stems, self.buckets, self.messages, self.mean = t["stems"], t["buckets"], t["messages"], t["mean"]
+        self.blocks = max(1, -(-self.messages // t["per_block"]))
+        self._counts: dict[str, int] = {}  # messages with each term that was asked for; the tables don't change
+        self._opened: dict[str, DataFrame] = {}  # nor do their files, so they are listed once
 
     @classmethod
-    def build(cls, messages: DataFrame, path: str, stems: bool = True, buckets: int = BUCKETS) -> Index:
+    def build(cls, messages: DataFrame, path: str, stems: bool = True, buckets: int = BUCKETS, per_block: int = PER_BLOCK) -> Index:
         """Write the index of ``messages`` below ``path`` (an empty folder). Stems are made once for each distinct term."""
         spark, path = messages.sparkSession, path.rstrip("/")
         length = F.size((word_tokens if stems else tokens)("message_text"))
         totals = hot(messages).agg(F.count("*").alias("messages"), F.coalesce(F.avg(length), F.lit(0.0)).alias("mean"))
-        totals.select("messages", "mean", F.lit(stems).alias("stems"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
-        rows = posting_rows(messages, stems)
-        rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
-        # a frequent term is dealt to several files of its folder; within a file a term's rows stand together
-        dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("message_id"), F.lit(4))).sortWithinPartitions("bucket", "term")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        kept = (F.lit(x).alias(n) for n, x in (("stems", stems), ("buckets", buckets), ("per_block", per_block)))
+        totals.select("messages", "mean", *kept).write.mode("overwrite").parquet(f"{path}/totals")
         index = cls(spark, path)
-        counted = index.postings().groupBy("term").agg(F.count("*").alias("doc"), F.sum(F.size("positions")).alias("cnt"))
-        counted.write.mode("overwrite").parquet(f"{path}/vocabulary")
+        rows = posting_rows(messages, stems).withColumn("bucket", _bucket(F.col("term"), buckets))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("message_id"), F.lit(index.blocks)))
+        # a frequent term is dealt to several files of its folder; within a file a term's rows stand together, block by block
+        dealt = rows.repartition(F.col("bucket"), F.pmod("block", F.lit(4))).sortWithinPartitions("bucket", "term", "block")
+        dealt.write.mode("overwrite").partitionBy("bucket").option("parquet.page.row.count.limit", 1024).parquet(f"{path}/postings")
+        often = F.size("positions")
+        best = F.max(often * (K1 + 1) / (often + index._length()))
+        tops = index.postings().groupBy("bucket", "term", "block").agg(F.count("*").alias("doc"), F.sum(often).alias("cnt"), best.alias("top"))
+        tops.repartition(F.col("bucket"), F.pmod("block", F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        counted = index._tops().groupBy("term").agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt"))
+        counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
         return index
 
+    def _length(self) -> Column:
+        """What a message's length takes from its score."""
+        return K1 * (1 - B + B * F.col("len") / F.lit(self.mean or 1.0))
+
+    def _tops(self) -> DataFrame:
+        return self._open("blocks", "term string, block long, doc long, cnt long, top double, bucket int")
+
+    def _open(self, name: str, schema: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self._opened[name]
+
     def postings(self) -> DataFrame:
-        schema = "term string, message_id string, session_id string, message_seq long, project_id string, created_at long, len int, positions array<int>, bucket int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
+        schema = "term string, message_id string, session_id string, message_seq long, project_id string, created_at long, len int, positions array<int>, block long, bucket int"
+        return self._open("postings", schema)
 
     def differences(self, messages: DataFrame) -> DataFrame:
         """(term, message_id, state) of postings that the messages don't have (stale) or the index lacks (missing); none if it is intact."""
@@ -81,7 +106,7 @@ class Index:
 
     def vocabulary(self) -> DataFrame:
         """(term, doc, cnt): messages that hold the term, and occurrences."""
-        return self.spark.read.schema("term string, doc long, cnt long").parquet(f"{self.path}/vocabulary")
+        return self._open("vocabulary", "term string, doc long, cnt long")
 
     def normal(self, text: str) -> list[str]:
         """The terms of a text as they stand in the index."""
@@ -92,16 +117,61 @@ class Index:
         wanted = phrases(plan)
         whole = sorted({t for p in wanted for t in (p.tokens[:-1] if p.prefix else p.tokens)})
         begins = sorted({p.tokens[-1] for p in wanted if p.prefix})
-        rows = self.postings()
-        # the folder is worked out in the same way as when writing, by constants that Spark folds before it lists folders
-        exact = reduce(lambda a, b: a | b, (F.col("term").eqNullSafe(t) & (F.col("bucket") == _bucket(F.lit(t), self.buckets)) for t in whole), F.lit(False))
-        open_ = reduce(lambda a, b: a | b, (F.startswith("term", F.lit(t)) for t in begins), F.lit(False))
-        return rows.where(exact | open_)
-
-    def match(self, plan: object | None) -> DataFrame:
+        fits = self._named(whole)
+        if begins:
+            starts = reduce(lambda a, b: a | b, (F.startswith("term", F.lit(t)) for t in begins))
+            # which folders hold terms that begin so: the vocabulary's files are ranges of terms, and there are no more folders than buckets
+            held = self.vocabulary().where(starts).select(_bucket(F.col("term"), self.buckets).alias("bucket")).distinct().collect()
+            fits = fits | (starts & F.col("bucket").isin([r["bucket"] for r in held]))
+        return self.postings().where(fits)
+
+    def _named(self, terms: list[str]) -> Column:
+        """Rows of the terms. The folder is worked out as when writing, by constants that Spark folds before it lists folders."""
+        each = (F.col("term").eqNullSafe(t) & (F.col("bucket") == _bucket(F.lit(t), self.buckets)) for t in terms)
+        return reduce(lambda a, b: a | b, each, F.lit(False))
+
+    def bounds(self, plan: object) -> tuple[DataFrame, list[int]] | None:
+        """((block, bound) of the blocks that may hold a hit, messages with each distinct phrase): no message scores above its block's bound.
+
+        Only for plans of single whole terms, whose counts the vocabulary has; others have no bounds.
+        """
+        each = list(dict.fromkeys(phrases(plan)))
+        if any(len(p.tokens) != 1 or p.prefix for p in each):
+            return None
+        terms = [p.tokens[0] for p in each]
+        if unknown := [t for t in terms if t not in self._counts]:
+            doc = {r["term"]: r["doc"] for r in self.vocabulary().where(F.col("term").isin(unknown)).collect()}  # as many rows as terms
+            self._counts |= {t: doc.get(t, 0) for t in unknown}
+        counts = [self._counts[t] for t in terms]
+        tops = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("top"))), F.lit(0.0)) * _idf(self.messages, F.lit(n)) for t, n in zip(terms, counts, strict=True)]
+        met = self._tops().where(self._named(terms)).groupBy("block").agg(*(x.alias(f"_t{i}") for i, x in enumerate(tops)))
+        bound = _bound(plan, {p: F.col(f"_t{i}") for i, p in enumerate(each)})
+        return met.select("block", bound.alias("bound")).where("bound > 0"), counts
+
+    def candidates(self, plan: object, limit: int, project: str | None = None, session: str | None = None, exclude: str | None = None) -> tuple[DataFrame, list[int] | None]:
+        """(postings that have to be scored for the best ``limit`` hits, counts for ``match``).
+
+        The blocks of the greatest bounds are scored first; then every block whose bound reaches the score of their last place.
+        """
+        rows, bounds = self._of(plan), self.bounds(plan) if limit > 0 else None
+        if bounds is None:
+            return rows, None
+        bound, counts = bounds
+        best = bound.orderBy(F.desc("bound"), "block").limit(NAMED + 1).collect()
+        ahead = [r["block"] for r in best[: min(2 * limit, NAMED)]]
+        hits = in_scope(self.match(plan, rows.where(F.col("block").isin(ahead)), counts), project, session, exclude)
+        last = hits.select("rank").orderBy("rank").limit(limit).agg(F.count("*").alias("n"), F.max("rank").alias("rank")).first()
+        # results are ordered by rounded scores, so what comes within the rounding counts, too
+        least = -last["rank"] - 1e-6 if last["n"] == limit else 0.0
+        if len(best) > NAMED and best[-1]["bound"] >= least:
+            return rows.join(bound.where(F.col("bound") >= least), "block", "left_semi"), counts
+        return rows.where(F.col("block").isin([r["block"] for r in best if r["bound"] >= least])), counts
+
+    def match(self, plan: object | None, rows: DataFrame | None = None, counts: list[int] | None = None) -> DataFrame:
         """(message_id, session_id, message_seq, project_id, created_at, rank) of the messages that fit; rank is negative BM25.
 
         Counts, lengths and frequencies are those of the whole index, whatever filters follow. A null plan fits nothing.
+        With ``rows`` only these postings are scored; ``counts`` then tells the messages with each distinct phrase.
         """
         if plan is None:
             return self.postings().select("message_id", *_ORDER, F.lit(0.0).alias("rank")).limit(0)
@@ -111,16 +181,17 @@ class Index:
             for j, t in enumerate(p.tokens):
                 fits = F.startswith("term", F.lit(t)) if p.prefix and j == len(p.tokens) - 1 else F.col("term") == t
                 slots.append(F.flatten(F.collect_list(F.when(fits, F.col("positions")))).alias(f"_p{i}_{j}"))
-        met = self._of(plan).groupBy("message_id", *_ORDER, "len").agg(*slots)
+        met = (self._of(plan) if rows is None else rows).groupBy("message_id", *_ORDER, "len").agg(*slots)
         counted = met.select("message_id", *_ORDER, "len", *(_occurs(i, p).alias(f"_f{i}") for i, p in enumerate(each)))
-        having = counted.agg(*(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(each))))
+        if counts is None:
+            having = counted.agg(*(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(each))))
+        else:
+            having = self.spark.range(1).select(*(F.lit(n).alias(f"_n{i}") for i, n in enumerate(counts)))
         hits = counted.where(fit(plan, {p: F.col(f"_f{i}") for i, p in enumerate(each)})).crossJoin(F.broadcast(having))  # one row of counts
-        length = K1 * (1 - B + B * F.col("len") / F.lit(self.mean or 1.0))
-        score = F.lit(0.0)
+        length, score = self._length(), F.lit(0.0)
         for p in phrases(plan):
             i = each.index(p)
-            idf = F.log((F.lit(self.messages) - F.col(f"_n{i}") + 0.5) / (F.col(f"_n{i}") + 0.5))
-            score = score + F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + length)
+            score = score + _idf(self.messages, F.col(f"_n{i}")) * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + length)
         return hits.select("message_id", *_ORDER, (-score).alias("rank"))
 
     def shares(self, words: list[str]) -> DataFrame:
@@ -146,7 +217,8 @@ class Index:
     ) -> DataFrame:
         """The best hot messages by BM25; filters come after the ranking's statistics. What can't be parsed finds nothing."""
         plan = plan if plan is not None else self.plan_of(query, skip_idf)
-        hits = in_scope(self.match(plan), project, session, exclude).withColumn("_r", F.round("rank", 9))
+        rows, counts = (None, None) if plan is None else self.candidates(plan, limit, project, session, exclude)
+        hits = in_scope(self.match(plan, rows, counts), project, session, exclude).withColumn("_r", F.round("rank", 9))
         top = hits.orderBy("_r", "created_at", "message_id").limit(limit).select("message_id", "rank")
         found = messages.join(F.broadcast(top), "message_id")  # at most ``limit`` rows of an id and a number
         return found.select("message_id", "session_id", "message_seq", "project_id", "created_at", infer_role().alias("message_role"), *preview(), "rank")
@@ -157,6 +229,22 @@ class Index:
         return hits.rollup("session_id").agg(F.count("*").alias("hits"))
 
 
+def _idf(messages: int, n: Column) -> Column:
+    idf = F.log((F.lit(messages) - n + 0.5) / (n + 0.5))
+    return F.when(idf <= 0, LEAST_IDF).otherwise(idf)
+
+
+def _bound(plan: object, top: dict[Phrase, Column]) -> Column:
+    """The greatest score that the plan can have, by those of its phrases; 0 where it can't fit."""
+    if isinstance(plan, Phrase):
+        return top[plan]
+    if isinstance(plan, Not):
+        return _bound(plan.keep, top)
+    parts = [_bound(p, top) for p in plan.parts]
+    total = reduce(lambda a, b: a + b, parts)
+    return F.when(reduce(lambda a, b: a & b, (p > 0 for p in parts)), total).otherwise(0.0) if isinstance(plan, And) else total
+
+
 def _words(query: str) -> list[str]:
     """Words whose share may be asked for, in lower case."""
     import re

@@ -377,6 +377,12 @@ def fts_bm25_or(spark, sf_dir):
     return _keyword(spark, sf_dir, OR_PLAN)
 
 
+@query(f"{_TOKENS}, {_bm25_sql({'f1': _term('the'), 'f2': _term('license'), 'f3': _term('clown')}, '(f1 > 0 OR f2 > 0) AND NOT f3 > 0', 20)}{_FTS_OUT}")
+def fts_block_max(spark, sf_dir):
+    """A frequent term with a rarer one: blocks that can't reach the twentieth place aren't scored."""
+    return _keyword(spark, sf_dir, Not(Or((Phrase(("the",)), Phrase(("license",)))), Phrase(("clown",))))
+
+
 @query(f"{_TOKENS}, {_bm25_sql({'f1': _term('the'), 'f2': _term('license')}, 'f1 > 0 AND f2 > 0', 20)}{_FTS_OUT}")
 def fts_bm25_and(spark, sf_dir):
     return _keyword(spark, sf_dir, And((Phrase(("the",)), Phrase(("license",)))))
