@@ -7,10 +7,10 @@ from pyspark.sql.window import Window
 
 from threadloom.functions.query_text import clean, joined_words
 from threadloom.operators import attribution, blame, formatting, messages
-from threadloom.plans import views
+from threadloom.plans import storage, views
 from threadloom.plans.registry import _WAIT, _vectors_cte, query
 from threadloom.plans.views import doc_messages, table
-from threadloom.sources import codex, sessions, transcripts
+from threadloom.sources import codex, sessions, tail, transcripts
 from threadloom.streaming import ingest
 
 _TOOLS = [*transcripts.TOOL_CATEGORIES, "mcp__github__list", "exec_command", "Unheard"]
@@ -162,3 +162,21 @@ def attr_line_owners(spark, sf_dir):
     )
     diffs = d.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("hash"), F.col("doc_id").alias("ord"), diff.alias("diff"))
     return blame.line_owners(diffs).groupBy("file", "owner").agg(F.count("*").alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+@query("SELECT conv_id, turn, md5(coalesce(text, '')) AS digest, (conv_id * 31 + turn)::VARCHAR AS mark FROM conversations")
+def src_tail_bytes(spark, sf_dir):
+    """Every turn as a line of a file, met in two looks: when each file had half of its bytes, and when it had all. No byte is read by both but a half line's."""
+    c = table(spark, sf_dir, "conversations")
+    line = F.concat_ws(" ", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.md5(F.coalesce("text", F.lit(""))), (F.col("conv_id") * 31 + F.col("turn")).cast("string"))
+    root = storage.scratch(spark, "transcripts")
+    c.select(line.alias("value")).write.text(root)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(root)
+    whole = files.select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"))
+    state, looks = spark.createDataFrame([], tail.STATE), []
+    for listing in (whole.select("path", (F.col("mtime_ms") - 1).alias("mtime_ms"), F.floor(F.col("size") / 2).alias("size")), whole):
+        ranges = storage.written(tail.to_read(listing, state, 1 << 20), "ranges")
+        looks.append(storage.written(tail.read_new(ranges), "lines"))
+        state = storage.written(tail.state_after(listing, state, ranges, looks[-1]), "state")
+    part = F.split("value", " ")
+    return looks[0].unionByName(looks[1]).select(part[0].cast("long").alias("conv_id"), part[1].cast("int").alias("turn"), part[2].alias("digest"), part[3].alias("mark"))
