@@ -176,13 +176,8 @@ class Index:
         if plan is None:
             return self.postings().select("message_id", *_ORDER, F.lit(0.0).alias("rank")).limit(0)
         each = list(dict.fromkeys(phrases(plan)))
-        slots = []
-        for i, p in enumerate(each):
-            for j, t in enumerate(p.tokens):
-                fits = F.startswith("term", F.lit(t)) if p.prefix and j == len(p.tokens) - 1 else F.col("term") == t
-                slots.append(F.flatten(F.collect_list(F.when(fits, F.col("positions")))).alias(f"_p{i}_{j}"))
-        met = (self._of(plan) if rows is None else rows).groupBy("message_id", *_ORDER, "len").agg(*slots)
-        counted = met.select("message_id", *_ORDER, "len", *(_occurs(i, p).alias(f"_f{i}") for i, p in enumerate(each)))
+        met = self.places(plan, rows)
+        counted = met.select("message_id", *_ORDER, "len", *(F.size(f"_s{i}").alias(f"_f{i}") for i in range(len(each))))
         if counts is None:
             having = counted.agg(*(F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(each))))
         else:
@@ -194,6 +189,16 @@ class Index:
             score = score + _idf(self.messages, F.col(f"_n{i}")) * F.col(f"_f{i}") * (K1 + 1) / (F.col(f"_f{i}") + length)
         return hits.select("message_id", *_ORDER, (-score).alias("rank"))
 
+    def places(self, plan: object, rows: DataFrame | None = None) -> DataFrame:
+        """(message_id, ..., len, _s0, _s1, ...): the tokens at which each distinct phrase begins, of the messages with a token of the plan."""
+        each, slots = list(dict.fromkeys(phrases(plan))), []
+        for i, p in enumerate(each):
+            for j, t in enumerate(p.tokens):
+                fits = F.startswith("term", F.lit(t)) if p.prefix and j == len(p.tokens) - 1 else F.col("term") == t
+                slots.append(F.flatten(F.collect_list(F.when(fits, F.col("positions")))).alias(f"_p{i}_{j}"))
+        met = (self._of(plan) if rows is None else rows).groupBy("message_id", *_ORDER, "len").agg(*slots)
+        return met.select("message_id", *_ORDER, "len", *(_begins(i, p).alias(f"_s{i}") for i, p in enumerate(each)))
+
     def shares(self, words: list[str]) -> DataFrame:
         """(term, doc, share of the hot messages) for each of the words by its first term in the index, 0 where none holds it."""
         first = {w: min(self.normal(w), default=w.lower()) for w in words}
@@ -252,10 +257,10 @@ def _words(query: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.sub(r'[*^:{}\[\]()"]', "", re.sub(r"([A-Za-z0-9_])[-_]([A-Za-z0-9_])", r"\1 \2", query)).lower().split()))
 
 
-def _occurs(i: int, p: Phrase) -> Column:
-    """How often the phrase stands in the message: positions of its first token that the others follow."""
+def _begins(i: int, p: Phrase) -> Column:
+    """Where the phrase stands in the message: positions of its first token that the others follow."""
     shifted = lambda j: F.transform(F.col(f"_p{i}_{j}"), lambda x: x - j)
-    return F.size(reduce(F.array_intersect, map(shifted, range(1, len(p.tokens))), F.array_distinct(F.col(f"_p{i}_0"))))
+    return reduce(F.array_intersect, map(shifted, range(1, len(p.tokens))), F.array_distinct(F.col(f"_p{i}_0")))
 
 
 def fit(plan: object, where: dict[Phrase, Column]) -> Column:

@@ -393,6 +393,15 @@ def fts_bm25_not(spark, sf_dir):
     return _keyword(spark, sf_dir, Not(Phrase(("license",)), Phrase(("general",))))
 
 
+@query()
+def fts_snippet_best(spark, sf_dir):
+    """Every document with one of the phrases, with the window that covers most."""
+    m, index = doc_messages(spark, sf_dir), _index(spark, sf_dir)
+    plan = Or((Phrase(("general", "public", "license")), Phrase(("the",)), Phrase(("clown",))))
+    hits = m.join(index.match(plan).select("message_id"), "message_id").select("message_id", "message_text")
+    return fulltext.best_snippets(index, hits, plan).drop("message_text")
+
+
 @query(f"{_TOKENS}, {_bm25_sql({'f1': _PHRASE}, 'f1 > 0', 20)}{_FTS_OUT}")
 def fts_phrase(spark, sf_dir):
     return _keyword(spark, sf_dir, Phrase(("general", "public", "license")))
@@ -452,7 +461,7 @@ def fts_match_bm25(spark, sf_dir):
     m, index = doc_messages(spark, sf_dir), _index(spark, sf_dir, True)
     plan = index.plan_of("the public licenses and clown-trash")
     found = index.search(m, "", plan=plan).join(m.select("message_id", "message_text"), "message_id")
-    return fulltext.with_snippet(found, plan, stems=True).drop("message_text")
+    return fulltext.best_snippets(index, found, plan).drop("message_text")
 
 
 _RAW = ["", "foo bar", "claude-transcript", 'foo"bar', '"hello world"', "walk*", "foo:bar a b", "The the THE", "a AND (b)", "x-y-z", "[*^]", "license the public trash und clown", "the und"]
