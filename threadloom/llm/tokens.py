@@ -23,6 +23,19 @@ MEMORY = 600_000
 JOINED = 1_000
 
 
+class _Numbers(dict):
+    """Numbers of runs, in the order in which they are first met; ``new`` lists those met since it was emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, run: bytes) -> int:
+        self[run] = number = len(self)
+        self.new.append(run)
+        return number
+
+
 class Encoder:
     """Ids of texts, equal to ``encode(text, add_special_tokens=False).ids`` of the tokenizers library."""
 
@@ -36,9 +49,9 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.seen: dict[bytes, int] = {}
+        self.seen, self.used = _Numbers(), 0
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.start = np.zeros(MEMORY + 2, np.int64)  # run i has ids[start[i]:start[i + 1]]
+        self.begin, self.size = np.zeros(MEMORY, np.int64), np.zeros(MEMORY, np.int64)  # run i has ids[begin[i]:begin[i] + size[i]]
 
     def _learn(self, runs: list[bytes]) -> None:
         texts = [r.decode() for r in runs]
@@ -50,16 +63,17 @@ class Encoder:
         alone = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
         sizes = [np.bincount(np.array(e.word_ids), minlength=min(JOINED, len(words) - i * JOINED)) for i, e in enumerate(joined)]
         sizes = np.concatenate([*sizes, np.fromiter(map(len, alone), np.int64, len(alone))]).astype(np.int64)
-        order = [r for r, p in zip(runs, plain, strict=True) if p] + [r for r, p in zip(runs, plain, strict=True) if not p]
-        at = len(self.seen)
-        if at + len(runs) + 1 > len(self.start):  # one slice with more distinct runs than the memory holds
-            self.start = np.concatenate([self.start, np.zeros(len(runs) + MEMORY, np.int64)])
-        end = self.start[at] + np.cumsum(sizes)
-        if end[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(end[-1])), np.uint32)])
-        self.start[at + 1 : at + 1 + len(runs)] = end
-        self.ids[self.start[at] : end[-1]] = np.fromiter(chain(*(e.ids for e in joined), *alone), np.uint32, int(sizes.sum()))
-        self.seen.update(zip(order, range(at, at + len(runs)), strict=True))
+        at, last = len(self.seen) - len(runs), len(self.seen)
+        if last > len(self.size):  # one slice with more distinct runs than the memory holds
+            self.begin, self.size = (np.concatenate([x, np.zeros(last + MEMORY - len(x), np.int64)]) for x in (self.begin, self.size))
+        total = int(sizes.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.uint32)])
+        where = at + np.argsort(~np.array(plain), kind="stable")  # the words first, as they were encoded
+        self.begin[where] = self.used + np.cumsum(sizes) - sizes
+        self.size[where] = sizes
+        self.ids[self.used : self.used + total] = np.fromiter(chain(*(e.ids for e in joined), *alone), np.uint32, total)
+        self.used += total
 
     def encode(self, text: bytes | None) -> np.ndarray:
         return self.encode_many([text])[0]
@@ -70,12 +84,15 @@ class Encoder:
         runs = list(chain.from_iterable(split))
         if len(self.seen) > MEMORY:
             self._clear()
-        seen = self.seen
-        if new := [r for r in dict.fromkeys(runs) if r not in seen]:
-            self._learn(new)
-        which = np.fromiter(map(seen.__getitem__, runs), np.int64, len(runs))
-        begin = self.start[which]
-        size = self.start[which + 1] - begin
+        which = np.fromiter(map(self.seen.__getitem__, runs), np.int64, len(runs))
+        if self.seen.new:
+            try:
+                self._learn(self.seen.new)
+            except BaseException:
+                self._clear()  # numbers without ids must not stay
+                raise
+            self.seen.new = []
+        begin, size = self.begin[which], self.size[which]
         end = np.concatenate([[0], np.cumsum(size)])
         at = np.arange(end[-1])
         at += np.repeat(begin - end[:-1], size)
