@@ -2,25 +2,30 @@
 
 An index is four tables below one folder. ``postings`` holds a row for each term and hot message (positions, the message's
 length and what orders and scopes a result), in folders by a hash of the term and sorted by term and block within; ``blocks`` the greatest
-score of each term in each block of messages; ``vocabulary`` the terms, in files of ranges; ``totals`` one row. A search reads the
+score of each term in each block of messages and ``vocabulary`` the terms, both in files of ranges; ``totals`` one row. A search reads the
 folders of its terms, scores the blocks that can reach its last place, and joins only its top rows with the messages.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.query_text import And, Not, Phrase, clean, parse, phrases
-from threadloom.functions.stem import python_tokens, stem, stemmed, tokens, word_tokens
+from threadloom.functions.stem import python_tokens, stem, tokens, word_tokens
 from threadloom.operators.messages import hot, in_scope, infer_role, preview
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Folders of the postings. A term is in one of them.
 BUCKETS = 64
+#: Messages, about, whose terms of one folder are sorted and written by one task.
+PER_DEAL = 1 << 17
 #: Messages of a block, about.
 PER_BLOCK = 64
 #: Blocks that are named one by one in a filter, at most; more come by a join.
@@ -33,19 +38,57 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def posting_rows(messages: DataFrame, stems: bool) -> DataFrame:
-    """(term, message_id, ..., len, positions) of the hot messages. Stems are made once for each distinct term."""
-    own = hot(messages).withColumn("_tokens", (word_tokens if stems else tokens)("message_text"))
-    at = own.select("message_id", *_ORDER, F.size("_tokens").alias("len"), F.posexplode("_tokens").alias("pos", "term"))
-    # one row a message and token first, so that a frequent token is looked up once for each message
-    met = at.groupBy("message_id", "term", *_ORDER, "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    if not stems:
-        return met
-    spark = messages.sparkSession  # Python work on small rows: as many tasks as there are, not as few as their bytes need
+@lru_cache(maxsize=200_000)
+def _bucket_number(term: str, buckets: int) -> int:
+    """``_bucket`` of a term, in Python."""
+    x = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (x - (1 << 64) if x >> 63 else x) % buckets
+
+
+def _packed(messages: DataFrame, stems: bool, buckets: int) -> DataFrame:
+    """(message_id, ..., len, bucket, terms) of the hot messages: a row for each message and bucket, ``terms`` with their places.
+
+    Places are grouped where the message stands: no row for a token, and no shuffle but that of the texts to as many tasks as there are.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                row, bucket, ends, terms, begins, places = [], [], [0], [], [0], []
+                for i, words in enumerate(batch.column("_tokens").to_pylist()):
+                    met: dict[int, dict[str, list[int]]] = {}
+                    for at, word in enumerate(words):
+                        if term := stem(word) if stems else word:  # a stem may be empty, which is no term
+                            met.setdefault(_bucket_number(term, buckets), {}).setdefault(term, []).append(at)
+                    for number, own in met.items():
+                        row.append(i)
+                        bucket.append(number)
+                        for term, at in own.items():
+                            terms.append(term)
+                            places += at
+                            begins.append(len(places))
+                        ends.append(len(terms))
+                struct = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(places, pa.int32()))], ["term", "positions"])
+                kept = batch.select(kept_columns).take(pa.array(row, pa.int32()))
+                packed = [pa.array(bucket, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *packed], [*kept_columns, "bucket", "terms"])
+
+    kept_columns, spark = ["message_id", *_ORDER, "len"], messages.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    known = met.select("term").distinct().repartition(tasks, "term").withColumn("stem", stemmed("term"))
-    named = met.join(known, "term").withColumn("term", F.col("stem")).where("term <> ''")
-    return named.groupBy("term", "message_id", *_ORDER, "len").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    own = hot(messages).select("message_id", *_ORDER, "message_text").repartition(tasks)
+    own = own.select("message_id", *_ORDER, (word_tokens if stems else tokens)("message_text").alias("_tokens"))
+    rows = own.select("message_id", *_ORDER, F.size("_tokens").alias("len"), "_tokens")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_tokens")
+    return rows.mapInArrow(pack, f"{types}, bucket int, terms array<struct<term:string,positions:array<int>>>")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.inline("terms")).drop("terms")
+
+
+def posting_rows(messages: DataFrame, stems: bool) -> DataFrame:
+    """(term, message_id, ..., len, positions) of the hot messages, without a row for a token."""
+    return _unpacked(_packed(messages, stems, 1)).select("message_id", "term", *_ORDER, "len", "positions")
 
 
 class Index:
@@ -61,22 +104,24 @@ class Index:
 
     @classmethod
     def build(cls, messages: DataFrame, path: str, stems: bool = True, buckets: int = BUCKETS, per_block: int = PER_BLOCK) -> Index:
-        """Write the index of ``messages`` below ``path`` (an empty folder). Stems are made once for each distinct term."""
+        """Write the index of ``messages`` below ``path`` (an empty folder)."""
         spark, path = messages.sparkSession, path.rstrip("/")
         length = F.size((word_tokens if stems else tokens)("message_text"))
         totals = hot(messages).agg(F.count("*").alias("messages"), F.coalesce(F.avg(length), F.lit(0.0)).alias("mean"))
         kept = (F.lit(x).alias(n) for n, x in (("stems", stems), ("buckets", buckets), ("per_block", per_block)))
         totals.select("messages", "mean", *kept).write.mode("overwrite").parquet(f"{path}/totals")
         index = cls(spark, path)
-        rows = posting_rows(messages, stems).withColumn("bucket", _bucket(F.col("term"), buckets))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("message_id"), F.lit(index.blocks)))
-        # a frequent term is dealt to several files of its folder; within a file a term's rows stand together, block by block
-        dealt = rows.repartition(F.col("bucket"), F.pmod("block", F.lit(4))).sortWithinPartitions("bucket", "term", "block")
-        dealt.write.mode("overwrite").partitionBy("bucket").option("parquet.page.row.count.limit", 1024).parquet(f"{path}/postings")
-        often = F.size("positions")
-        best = F.max(often * (K1 + 1) / (often + index._length()))
-        tops = index.postings().groupBy("bucket", "term", "block").agg(F.count("*").alias("doc"), F.sum(often).alias("cnt"), best.alias("top"))
-        tops.repartition(F.col("bucket"), F.pmod("block", F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        rows = _packed(messages, stems, buckets).withColumn("block", F.pmod(F.xxhash64("message_id"), F.lit(index.blocks)))
+        # a frequent term is dealt to several files of its folder, more of them the more messages there are; a message's terms of a
+        # folder travel as one row. Within a file a term's rows stand together, block by block
+        deals = F.lit(max(4, -(-index.messages // PER_DEAL)))
+        dealt = _unpacked(rows.repartition(F.col("bucket"), F.pmod("block", deals))).sortWithinPartitions("bucket", "term", "block")
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").option("parquet.page.row.count.limit", 1024).parquet(f"{path}/postings")
+        # ranges of terms and blocks: files that a term is found in by their statistics, and groups that need no second shuffle
+        ranged = index.postings().select("term", "block", F.size("positions").cast("long").alias("_n"), "len").repartitionByRange("term", "block")
+        best = F.max(F.col("_n") * (K1 + 1) / (F.col("_n") + index._length()))
+        tops = ranged.groupBy("term", "block").agg(F.count("*").alias("doc"), F.sum("_n").alias("cnt"), best.alias("top"))
+        tops.sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
         counted = index._tops().groupBy("term").agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt"))
         counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
         return index
@@ -86,7 +131,7 @@ class Index:
         return K1 * (1 - B + B * F.col("len") / F.lit(self.mean or 1.0))
 
     def _tops(self) -> DataFrame:
-        return self._open("blocks", "term string, block long, doc long, cnt long, top double, bucket int")
+        return self._open("blocks", "term string, block long, doc long, cnt long, top double")
 
     def _open(self, name: str, schema: str) -> DataFrame:
         if name not in self._opened:
@@ -144,7 +189,7 @@ class Index:
             self._counts |= {t: doc.get(t, 0) for t in unknown}
         counts = [self._counts[t] for t in terms]
         tops = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("top"))), F.lit(0.0)) * _idf(self.messages, F.lit(n)) for t, n in zip(terms, counts, strict=True)]
-        met = self._tops().where(self._named(terms)).groupBy("block").agg(*(x.alias(f"_t{i}") for i, x in enumerate(tops)))
+        met = self._tops().where(F.col("term").isin(terms)).groupBy("block").agg(*(x.alias(f"_t{i}") for i, x in enumerate(tops)))
         bound = _bound(plan, {p: F.col(f"_t{i}") for i, p in enumerate(each)})
         return met.select("block", bound.alias("bound")).where("bound > 0"), counts
 
