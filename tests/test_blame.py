@@ -68,3 +68,15 @@ def test_no_history(spark):
     none = spark.createDataFrame([], "hash string, ord long, diff string")
     assert blame.line_owners(none).count() == 0
     assert blame.line_owners(spark.createDataFrame([("h", 1, "commit:x\nnothing")], "hash string, ord long, diff string")).count() == 0
+
+
+def test_blocks_are_composed_in_the_historys_order(spark):
+    """A line at the top of the file a commit, in as many rounds as partitions: blocks of a group come in the order of a shuffle, not of the history."""
+    rows = [(f"c{n}", n, f"diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -0,0 +1 @@\n+{n}") for n in range(60)]
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows come from one partition, in order by chance
+    try:
+        got = {r.line_no: r.owner for r in blame.line_owners(spark.createDataFrame(rows, "hash string, ord long, diff string"), 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert got == {60 - n: f"c{n}" for n in range(60)}

@@ -124,7 +124,8 @@ def line_owners(diffs: DataFrame, block: int = BLOCK) -> DataFrame:
     made = patches.join(place, ["file", "ord"]).withColumn("block", F.floor(F.col("nth") / block)).groupBy("file", "block").applyInPandas(one_block, schema)
     left = longest // block
     while left:  # rounds: the digits of the longest history to the base ``block``
-        made = made.withColumn("block", F.floor(F.col("block") / block)).groupBy("file", "block").applyInPandas(blocks, schema)
+        # under a name of its own: the blocks that are composed have to be told apart, as rows of a group come in any order
+        made = made.withColumn("above", F.floor(F.col("block") / block)).groupBy("file", "above").applyInPandas(blocks, schema)
         left //= block
     own = F.filter("segments", lambda s: s["owner"].isNotNull())  # of the file before the root nothing is left
     runs = made.select("file", F.posexplode(own).alias("k", "s"))
