@@ -42,3 +42,24 @@ def test_terms_are_filed_by_the_hash_that_a_search_works_out(spark, tmp_path):
     assert rows.where(F.col("bucket") != _bucket(F.col("term"), 7)).count() == 0
     assert {r.message_id for r in index.match(Phrase(("日本",))).collect()} == {"m4"}
     assert {(r.term, r.doc, r.cnt) for r in index.vocabulary().where("term in ('one', 'to')").collect()} == {("one", 1, 2), ("to", 1, 3000)}
+
+
+def test_a_row_for_a_term_and_block(spark, tmp_path):
+    """What a block has of a term is one row, with its counts and greatest score; no table beside it is shuffled or written for them."""
+    index = Index.build(made(spark), f"{tmp_path}/i", stems=False, buckets=7, per_block=2)
+    assert sorted(p.name for p in tmp_path.joinpath("i").iterdir()) == ["postings", "totals", "vocabulary"]
+    held = defaultdict(list)
+    for r in index.postings().collect():
+        held[r.term, r.block].append(len(r.positions))
+    assert {(r.term, r.block): (r.doc, r.cnt) for r in index._tops().collect()} == {k: (len(v), sum(v)) for k, v in held.items()}
+    assert {(r.term, r.message_id): list(r.positions) for r in index.postings().collect()} == wanted(False)
+
+
+def test_a_block_in_pieces(spark, tmp_path):
+    """Messages of more tokens than are grouped at a time: a block may come in two rows, and nothing is lost or counted twice."""
+    rows = [(f"m{i}", "s", i, "a b " * 300_000 + f"w{i}", "p", i, "hot") for i in range(4)]
+    m = spark.createDataFrame(rows, "message_id string, session_id string, message_seq long, message_text string, project_id string, created_at long, retrieval_class string")
+    index = Index.build(m, f"{tmp_path}/i", stems=False)
+    assert {(r.term, r.doc, r.cnt) for r in index.vocabulary().collect()} == {("a", 4, 1_200_000), ("b", 4, 1_200_000), *((f"w{i}", 1, 1) for i in range(4))}
+    assert {r.message_id: r.k for r in index.postings().where("term = 'b'").selectExpr("message_id", "positions[299999] as k").collect()} == {f"m{i}": 599_999 for i in range(4)}
+    assert [r.message_id for r in index.search(m.withColumn("message_role", F.lit("user")), "w2", skip_idf=True).collect()] == ["m2"]

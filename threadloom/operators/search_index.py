@@ -1,8 +1,8 @@
 """Stored postings for keyword search: read by the terms of a query, not by scanning the messages.
 
-An index is four tables below one folder. ``postings`` holds a row for each term and hot message (positions, the message's
-length and what orders and scopes a result), in folders by a hash of the term and sorted by term and block within; ``blocks`` the greatest
-score of each term in each block of messages and ``vocabulary`` the terms, both in files of ranges; ``totals`` one row. A search reads the
+An index is three tables below one folder. ``postings`` holds a row for each term and block of hot messages: how many messages and occurrences,
+the greatest score, and the messages with their positions, lengths and what orders and scopes a result; in folders by a hash of the term and
+sorted by term and block within. ``vocabulary`` has the terms, in files of ranges; ``totals`` one row. A search reads the
 folders of its terms, scores the blocks that can reach its last place, and joins only its top rows with the messages.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,50 +46,164 @@ def _bucket_number(term: str, buckets: int) -> int:
     return (x - (1 << 64) if x >> 63 else x) % buckets
 
 
-def _packed(messages: DataFrame, stems: bool, buckets: int) -> DataFrame:
-    """(message_id, ..., len, bucket, terms) of the hot messages: a row for each message and bucket, ``terms`` with their places.
+#: Tokens, about, that are grouped at a time where they stand, and rows of a block and folder that are opened at a time.
+PIECE, OPENED = 1 << 20, 256
+_CODEC = "zstd"
 
-    Places are grouped where the message stands: no row for a token, and no shuffle but that of the texts to as many tasks as there are.
+
+def _tokens(stems: bool) -> Column:
+    return (word_tokens if stems else tokens)("message_text").alias("_tokens")
+
+
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _packed(messages: DataFrame, stems: bool) -> DataFrame:
+    """(message_id, ..., len, terms) of the hot messages, ``terms`` with their places.
+
+    Places are grouped where the message stands: no row for a token, and no shuffle but that of texts that lie in few files.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                row, bucket, ends, terms, begins, places = [], [], [0], [], [0], []
-                for i, words in enumerate(batch.column("_tokens").to_pylist()):
-                    met: dict[int, dict[str, list[int]]] = {}
+                ends, terms, begins, places = [0], [], [0], []
+                for words in batch.column("_tokens").to_pylist():
+                    met: dict[str, list[int]] = {}
                     for at, word in enumerate(words):
                         if term := stem(word) if stems else word:  # a stem may be empty, which is no term
-                            met.setdefault(_bucket_number(term, buckets), {}).setdefault(term, []).append(at)
-                    for number, own in met.items():
-                        row.append(i)
-                        bucket.append(number)
-                        for term, at in own.items():
-                            terms.append(term)
-                            places += at
-                            begins.append(len(places))
-                        ends.append(len(terms))
+                            met.setdefault(term, []).append(at)
+                    for term, at in met.items():
+                        terms.append(term)
+                        places += at
+                        begins.append(len(places))
+                    ends.append(len(terms))
                 struct = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(places, pa.int32()))], ["term", "positions"])
-                kept = batch.select(kept_columns).take(pa.array(row, pa.int32()))
-                packed = [pa.array(bucket, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)]
-                yield pa.RecordBatch.from_arrays([*kept.columns, *packed], [*kept_columns, "bucket", "terms"])
+                kept = batch.select(kept_columns)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], [*kept_columns, "terms"])
 
     kept_columns, spark = ["message_id", *_ORDER, "len"], messages.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = hot(messages).select("message_id", *_ORDER, "message_text").repartition(tasks)
-    own = own.select("message_id", *_ORDER, (word_tokens if stems else tokens)("message_text").alias("_tokens"))
-    rows = own.select("message_id", *_ORDER, F.size("_tokens").alias("len"), "_tokens")
+    own = hot(messages).select("message_id", *_ORDER, "message_text")
+    if len(own.inputFiles()) < spark.sparkContext.defaultParallelism:
+        own = own.repartition(_tasks(spark))
+    rows = own.select("message_id", *_ORDER, _tokens(stems)).select("message_id", *_ORDER, F.size("_tokens").alias("len"), "_tokens")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_tokens")
-    return rows.mapInArrow(pack, f"{types}, bucket int, terms array<struct<term:string,positions:array<int>>>")
-
-
-def _unpacked(rows: DataFrame) -> DataFrame:
-    return rows.select("*", F.inline("terms")).drop("terms")
+    return rows.mapInArrow(pack, f"{types}, terms array<struct<term:string,positions:array<int>>>")
 
 
 def posting_rows(messages: DataFrame, stems: bool) -> DataFrame:
     """(term, message_id, ..., len, positions) of the hot messages, without a row for a token."""
-    return _unpacked(_packed(messages, stems, 1)).select("message_id", "term", *_ORDER, "len", "positions")
+    return _packed(messages, stems).select("*", F.inline("terms")).select("message_id", "term", *_ORDER, "len", "positions")
+
+
+def _begin(changes: np.ndarray) -> np.ndarray:
+    """Where runs begin, given whether each but the first differs from the one before."""
+    return np.flatnonzero(np.concatenate(([True], changes)))
+
+
+def _block_rows(messages: DataFrame, stems: bool, buckets: int, blocks: int) -> DataFrame:
+    """(block, bucket, messages, terms, n, numbers): what a block of hot messages has in a folder.
+
+    ``terms`` are joined by spaces; ``numbers`` are ``n`` 32-bit integers: messages of each term, their places in ``messages``, the positions
+    of each, and the gaps between positions. A block that is met in two pieces has two rows.
+    """
+    meta = ["message_id", *_ORDER, "len"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec(_CODEC)
+        for whole in batches:
+            ends = np.cumsum(whole.column("len").to_numpy())
+            cuts = [0, *_begin(np.diff(ends // PIECE) > 0)[1:].tolist(), whole.num_rows] if whole.num_rows else [0]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                yield from piece(whole.slice(lo, hi - lo), codec)
+
+    def piece(batch: pa.RecordBatch, codec: pa.Codec) -> Iterator[pa.RecordBatch]:
+        size = batch.column("len").to_numpy()
+        met = batch.column("_tokens").flatten().dictionary_encode()
+        names = [stem(w) if stems else w for w in met.dictionary.to_pylist()]
+        terms = sorted(set(names))
+        number = {t: i for i, t in enumerate(terms)}
+        code = np.array([number[t] for t in names], np.int64)[met.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        owner, at = np.repeat(np.arange(len(size)), size), np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        if terms and not terms[0]:  # a stem may be empty, which is no term
+            owner, at, code = owner[code > 0], at[code > 0], code[code > 0]
+        if not len(code):
+            return
+        names_of, nth = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+        folder = np.array([_bucket_number(t, buckets) for t in terms], np.int64)
+        key = (nth[owner] * buckets + folder[code]) * len(terms) + code
+        order = np.argsort(key, kind="stable")  # within a term by message, within a message by position
+        key, owner, at = key[order], owner[order], at[order]
+        p = _begin((key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))  # postings by their first place
+        gaps = np.diff(at, prepend=0)
+        gaps[p] = at[p]
+        p_size, p_owner, p_key = np.diff(p, append=len(key)), owner[p], key[p]
+        t = _begin(p_key[1:] != p_key[:-1])  # terms of a block by their first posting
+        t_docs, t_code, t_group = np.diff(t, append=len(p)), p_key[t] % len(terms), p_key[t] // len(terms)
+        g = _begin(t_group[1:] != t_group[:-1])  # rows by their first term
+        texts, counts, blobs, members, ends = [], [], [], [], [0]
+        for a, b in zip(g, np.append(g[1:], len(t)), strict=True):
+            pa_, pb = t[a], t[b] if b < len(t) else len(p)
+            xa, xb = p[pa_], p[pb] if pb < len(p) else len(key)
+            own, places = np.unique(p_owner[pa_:pb], return_inverse=True)
+            numbers = np.concatenate((t_docs[a:b], places, p_size[pa_:pb], gaps[xa:xb])).astype(np.int32)
+            texts.append(" ".join([terms[i] for i in t_code[a:b]]))
+            counts.append(len(numbers))
+            blobs.append(codec.compress(numbers.tobytes(), asbytes=True))
+            members.append(own)
+            ends.append(ends[-1] + len(own))
+        taken = batch.select(meta).take(pa.array(np.concatenate(members)))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(taken.columns, meta))
+        row = [pa.array(names_of[t_group[g] // buckets]), pa.array(t_group[g] % buckets, pa.int32()), listed, pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(row, ["block", "bucket", "messages", "terms", "n", "numbers"])
+
+    block = F.pmod(F.xxhash64("message_id"), F.lit(blocks)).alias("block")
+    own = hot(messages).select(block, "message_id", *_ORDER, "message_text")
+    own = own.repartition(_tasks(messages.sparkSession), "block").sortWithinPartitions("block")  # few pieces of a block
+    rows = own.select("block", "message_id", *_ORDER, _tokens(stems)).select("block", "message_id", *_ORDER, F.size("_tokens").alias("len"), "_tokens")
+    each = ",".join(f"{n}:{rows.schema[n].dataType.simpleString()}" for n in meta)
+    return rows.mapInArrow(pack, f"block long, bucket int, messages array<struct<{each}>>, terms string, n int, numbers binary")
+
+
+def _opened(rows: DataFrame, mean: float) -> DataFrame:
+    """(term, block, bucket, doc, cnt, top, messages) of ``_block_rows``: a row for each term and block, with messages and their positions."""
+    kept = [f.name for f in rows.schema["messages"].dataType.elementType]
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec(_CODEC)
+        for whole in batches:
+            for batch in (whole.slice(i, OPENED) for i in range(0, whole.num_rows, OPENED)):
+                terms, docs, owners, sizes, gaps, base = [], [], [], [], [], 0
+                lengths = batch.column("messages").value_lengths().to_numpy()
+                listed = [x.split(" ") for x in batch.column("terms").to_pylist()]
+                for own, n, blob, length in zip(listed, batch.column("n").to_pylist(), batch.column("numbers").to_pylist(), lengths, strict=True):
+                    x = np.frombuffer(codec.decompress(blob, 4 * n, asbytes=True), np.int32)
+                    a = len(own)
+                    b = a + int(x[:a].sum())
+                    terms += own
+                    docs.append(x[:a])
+                    owners.append(x[a:b] + base)
+                    sizes.append(x[b : 2 * b - a])
+                    gaps.append(x[2 * b - a :])
+                    base += int(length)
+                docs, owners, sizes, gaps = (np.concatenate(x).astype(np.int64) for x in (docs, owners, sizes, gaps))
+                begin, first = np.cumsum(sizes) - sizes, np.cumsum(docs) - docs
+                places = np.cumsum(gaps)
+                places -= np.repeat(places[begin] - gaps[begin], sizes)
+                met = batch.column("messages").flatten().take(pa.array(owners))
+                length = K1 * (1 - B + B * met.field("len").to_numpy() / (mean or 1.0))
+                top = np.maximum.reduceat(sizes * (K1 + 1) / (sizes + length), first)
+                positions = pa.ListArray.from_arrays(pa.array(np.append(begin, len(places)), pa.int32()), pa.array(places, pa.int32()))
+                entries = pa.StructArray.from_arrays([*(met.field(c) for c in kept), positions], [*kept, "positions"])
+                entries = pa.ListArray.from_arrays(pa.array(np.append(first, len(sizes)), pa.int32()), entries)
+                of_row = np.repeat(np.arange(batch.num_rows), [len(x) for x in listed])
+                block, bucket = (batch.column(c).take(pa.array(of_row)) for c in ("block", "bucket"))
+                row = [pa.array(terms, pa.string()), block, bucket, pa.array(docs), pa.array(np.add.reduceat(sizes, first)), pa.array(top), entries]
+                yield pa.RecordBatch.from_arrays(row, ["term", "block", "bucket", "doc", "cnt", "top", "messages"])
+
+    each = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in rows.schema["messages"].dataType.elementType)
+    return rows.mapInArrow(open_, f"term string, block long, bucket int, doc long, cnt long, top double, messages array<struct<{each},positions:array<int>>>")
 
 
 class Index:
@@ -111,17 +226,12 @@ class Index:
         kept = (F.lit(x).alias(n) for n, x in (("stems", stems), ("buckets", buckets), ("per_block", per_block)))
         totals.select("messages", "mean", *kept).write.mode("overwrite").parquet(f"{path}/totals")
         index = cls(spark, path)
-        rows = _packed(messages, stems, buckets).withColumn("block", F.pmod(F.xxhash64("message_id"), F.lit(index.blocks)))
-        # a frequent term is dealt to several files of its folder, more of them the more messages there are; a message's terms of a
-        # folder travel as one row. Within a file a term's rows stand together, block by block
+        # a frequent term is dealt to several files of its folder, more of them the more messages there are; what a block has in a
+        # folder travels as one row. Within a file a term's rows stand together, block by block
         deals = F.lit(max(4, -(-index.messages // PER_DEAL)))
-        dealt = _unpacked(rows.repartition(F.col("bucket"), F.pmod("block", deals))).sortWithinPartitions("bucket", "term", "block")
-        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").option("parquet.page.row.count.limit", 1024).parquet(f"{path}/postings")
-        # ranges of terms and blocks: files that a term is found in by their statistics, and groups that need no second shuffle
-        ranged = index.postings().select("term", "block", F.size("positions").cast("long").alias("_n"), "len").repartitionByRange("term", "block")
-        best = F.max(F.col("_n") * (K1 + 1) / (F.col("_n") + index._length()))
-        tops = ranged.groupBy("term", "block").agg(F.count("*").alias("doc"), F.sum("_n").alias("cnt"), best.alias("top"))
-        tops.sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
+        rows = _block_rows(messages, stems, buckets, index.blocks).repartition(_tasks(spark), F.col("bucket"), F.pmod("block", deals))
+        stored = _opened(rows, index.mean).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").option("compression", "zstd")
+        stored.partitionBy("bucket").option("parquet.page.row.count.limit", 1024).option("parquet.dictionary.page.size", 4 << 20).parquet(f"{path}/postings")
         counted = index._tops().groupBy("term").agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt"))
         counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
         return index
@@ -130,8 +240,13 @@ class Index:
         """What a message's length takes from its score."""
         return K1 * (1 - B + B * F.col("len") / F.lit(self.mean or 1.0))
 
+    def _stored(self) -> DataFrame:
+        each = "message_id:string,session_id:string,message_seq:bigint,project_id:string,created_at:bigint,len:int,positions:array<int>"
+        return self._open("postings", f"term string, block long, doc long, cnt long, top double, messages array<struct<{each}>>, bucket int")
+
     def _tops(self) -> DataFrame:
-        return self._open("blocks", "term string, block long, doc long, cnt long, top double")
+        """What is known of each term in each block; of a block in two pieces twice."""
+        return self._stored().select("term", "block", "bucket", "doc", "cnt", "top")
 
     def _open(self, name: str, schema: str) -> DataFrame:
         if name not in self._opened:
@@ -139,8 +254,8 @@ class Index:
         return self._opened[name]
 
     def postings(self) -> DataFrame:
-        schema = "term string, message_id string, session_id string, message_seq long, project_id string, created_at long, len int, positions array<int>, block long, bucket int"
-        return self._open("postings", schema)
+        each = self._stored().select("term", "block", "bucket", F.explode("messages").alias("m"))
+        return each.select("term", "m.message_id", *(f"m.{c}" for c in (*_ORDER, "len", "positions")), "block", "bucket")
 
     def differences(self, messages: DataFrame) -> DataFrame:
         """(term, message_id, state) of postings that the messages don't have (stale) or the index lacks (missing); none if it is intact."""
@@ -189,7 +304,7 @@ class Index:
             self._counts |= {t: doc.get(t, 0) for t in unknown}
         counts = [self._counts[t] for t in terms]
         tops = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("top"))), F.lit(0.0)) * _idf(self.messages, F.lit(n)) for t, n in zip(terms, counts, strict=True)]
-        met = self._tops().where(F.col("term").isin(terms)).groupBy("block").agg(*(x.alias(f"_t{i}") for i, x in enumerate(tops)))
+        met = self._tops().where(self._named(terms)).groupBy("block").agg(*(x.alias(f"_t{i}") for i, x in enumerate(tops)))
         bound = _bound(plan, {p: F.col(f"_t{i}") for i, p in enumerate(each)})
         return met.select("block", bound.alias("bound")).where("bound > 0"), counts
 
