@@ -63,3 +63,16 @@ def test_a_block_in_pieces(spark, tmp_path):
     assert {(r.term, r.doc, r.cnt) for r in index.vocabulary().collect()} == {("a", 4, 1_200_000), ("b", 4, 1_200_000), *((f"w{i}", 1, 1) for i in range(4))}
     assert {r.message_id: r.k for r in index.postings().where("term = 'b'").selectExpr("message_id", "positions[299999] as k").collect()} == {f"m{i}": 599_999 for i in range(4)}
     assert [r.message_id for r in index.search(m.withColumn("message_role", F.lit("user")), "w2", skip_idf=True).collect()] == ["m2"]
+
+
+def test_only_messages_that_differ_are_compared_one_by_one(spark, tmp_path):
+    """Changed, moved, new and gone messages are found by their postings' number and hashes; equal ones aren't looked at again."""
+    many = spark.range(500).select(F.concat(F.lit("k"), F.col("id")).alias("message_id"), F.lit("s").alias("session_id"), F.col("id").alias("message_seq"), F.concat(F.lit("same word w"), F.col("id")).alias("message_text"), F.lit("p").alias("project_id"), F.col("id").alias("created_at"), F.lit("hot").alias("retrieval_class"))
+    m = made(spark).unionByName(many)
+    index = Index.build(m, f"{tmp_path}/i", stems=False)
+    assert index._touched(m).count() == 0 and index.differences(m).count() == 0
+    text = F.when(F.col("message_id") == "m0", "two one one").when(F.col("message_id") == "m1", "came").otherwise(F.col("message_text"))
+    now = m.withColumn("message_text", text).where("message_id <> 'm3'")
+    assert {r.message_id for r in index._touched(now).collect()} == {"m0", "m1", "m3"}
+    want = {(t, "m0", s) for t in ("one", "two") for s in ("stale", "missing")} | {("came", "m1", "missing")} | {(t, "m3", "stale") for t in TEXTS[3].lower().split()}
+    assert {tuple(r) for r in index.differences(now).collect()} == want

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.query_text import And, Not, Phrase, clean, parse, phrases
 from threadloom.functions.stem import python_tokens, stem, tokens, word_tokens
 from threadloom.operators.messages import hot, in_scope, infer_role, preview
+from threadloom.plans.storage import written
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -260,10 +261,27 @@ class Index:
     def differences(self, messages: DataFrame) -> DataFrame:
         """(term, message_id, state) of postings that the messages don't have (stale) or the index lacks (missing); none if it is intact."""
         key = ["term", "message_id", "positions"]
-        stored, fresh = self.postings().select(*key), posting_rows(messages, self.stems).select(*key)
+        touched = written(self._touched(messages), "touched")
+        of = lambda df: df.join(touched, "message_id", "left_semi")
+        stored, fresh = of(self.postings()).select(*key), posting_rows(of(messages), self.stems).select(*key)
         stale = stored.exceptAll(fresh).withColumn("state", F.lit("stale"))
         return stale.unionByName(fresh.exceptAll(stored).withColumn("state", F.lit("missing"))).drop("positions")
 
+    def _touched(self, messages: DataFrame) -> DataFrame:
+        """(message_id) whose postings differ: by their number and the sum of their hashes, so that only those are compared one by one."""
+        halves = lambda h: (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))
+        sums = lambda n, high, low: (F.sum(n).alias("n"), F.sum(high).alias("high"), F.sum(low).alias("low"))
+        stored = self.postings().select("message_id", F.xxhash64("term", "positions").alias("h"))
+        stored = stored.groupBy("message_id").agg(*sums(F.lit(1), *halves(F.col("h"))))
+        marks = F.transform("terms", lambda x: F.xxhash64(x["term"], x["positions"]))
+        whole = lambda half: F.aggregate("marks", F.lit(0).cast("long"), lambda a, h: a + half(h))
+        fresh = _packed(messages, self.stems).select("message_id", marks.alias("marks"))
+        fresh = fresh.select("message_id", F.size("marks").alias("k"), whole(lambda h: halves(h)[0]).alias("a"), whole(lambda h: halves(h)[1]).alias("b")).where("k > 0")
+        fresh = fresh.groupBy("message_id").agg(*sums("k", "a", "b"))
+        same = fresh.select("message_id", F.struct("n", "high", "low").alias("made"))
+        both = stored.select("message_id", F.struct("n", "high", "low").alias("held")).join(same, "message_id", "full")
+        return both.where(~F.col("held").eqNullSafe(F.col("made"))).select("message_id")
+
     def vocabulary(self) -> DataFrame:
         """(term, doc, cnt): messages that hold the term, and occurrences."""
         return self._open("vocabulary", "term string, doc long, cnt long")
