@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators.live_index import LiveIndex
-from threadloom.operators.search_index import Index
+from threadloom.operators.search_index import Index, dealt_postings
 from threadloom.operators.versioned import ConcurrentWrite, Versioned
 from threadloom.streaming import ingest
 
@@ -183,3 +183,13 @@ def test_a_stream_feeds_the_index(spark, store, index, tmp_path):
     for _ in range(2):
         ingest.ingest_stream(spark.readStream.schema(ingest.MESSAGE_SCHEMA).parquet(str(source)), store, f"{tmp_path}/check", index).awaitTermination()
     assert hits(index, "walrus", store) == ["a"] and store.read().count() == 2
+
+
+def test_postings_are_dealt_before_they_are_spread(spark, store, index, tmp_path):
+    """No row for a posting is shuffled, nor one for a term of a session written, when the index follows."""
+    store.insert(rows(spark, *((f"m{n}", f"s{n % 3}", f"often w{n % 7} w{n}", "hot") for n in range(60))))
+    index.follow(store)
+    assert {p.name for p in (tmp_path / "index/v=1").iterdir() if p.is_dir()} == {"kind=posting", "kind=size", "kind=state"}
+    plan = dealt_postings(store.read(), False)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate")]
+    assert {(r.term, r.doc, r.cnt) for r in index.vocabulary().where("term in ('often', 'w6', 'w59')").collect()} == {("often", 60, 60), ("w6", 8, 9), ("w59", 1, 1)}

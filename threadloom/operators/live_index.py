@@ -1,11 +1,11 @@
 """A keyword index that follows the message store: each batch adds a segment in proportion to itself, nothing is rebuilt.
 
-The index is one append-only table with four kinds of rows. ``posting``: a term in a message. ``term``: messages and occurrences of a term
-in a session; ``size``: messages and tokens of a session. Sums of the latter two over what counts are the vocabulary and the totals of the ranking.
+The index is one append-only table with three kinds of rows. ``posting``: a term in a message; the vocabulary counts those that count.
+``size``: messages and tokens of a session, whose sums are the totals of the ranking.
 ``state``: the version of the store that is covered. Sessions that the store replaces, deletes or turns cold are hidden by the
-table's own log, which takes their postings, terms and sizes at once; single messages that are updated or dropped are hidden by their
-key, and the segment holds their terms and sizes with the sign reversed. Segments merge in tiers. Rows are sorted by kind and term
-in files of ranges, so that a term, or the terms of a prefix, are found by the files' statistics.
+table's own log, which takes their postings and sizes at once; single messages that are updated or dropped are hidden by their
+key, and the segment holds their sizes with the sign reversed. Segments merge in tiers. Rows are sorted by kind and term within
+a file, in files of ranges once segments have merged, so that a term, or the terms of a prefix, are found by the statistics of files and pages.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from threadloom.functions.query_text import phrases
 from threadloom.functions.stem import tokens, word_tokens
 from threadloom.operators.messages import hot
-from threadloom.operators.search_index import Index, posting_rows
+from threadloom.operators.search_index import Index, dealt_postings
 from threadloom.operators.versioned import TIER, Versioned
-from threadloom.plans.storage import written
 
 _SCHEMA = (
     "kind string, term string, message_id string, session_id string, message_seq long, project_id string, created_at long, len int, "
@@ -52,8 +51,7 @@ class LiveIndex(Index):
 
     def vocabulary(self) -> DataFrame:
         """(term, doc, cnt): messages that hold the term, and occurrences."""
-        summed = self._of_kind("term").groupBy("term").agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt"))
-        return summed.where("doc > 0")
+        return self.postings().groupBy("term").agg(F.count("*").alias("doc"), F.sum(F.size("positions")).alias("cnt"))
 
     def _of(self, plan: object) -> DataFrame:
         wanted = phrases(plan)
@@ -66,12 +64,11 @@ class LiveIndex(Index):
         """None: lengths are those of now, so no greatest score of a block could be kept."""
         return None
 
-    def _counted(self, messages: DataFrame, found: DataFrame, sign: int) -> list[DataFrame]:
-        """Rows of kinds term and size for hot messages, given their postings."""
+    def _sizes(self, messages: DataFrame, sign: int) -> DataFrame:
+        """Rows of kind size for hot messages."""
         length = F.coalesce(F.size((word_tokens if self.stems else tokens)("message_text")), F.lit(0))
-        terms = found.groupBy("term", "session_id").agg((F.count("*") * sign).alias("doc"), (F.sum(F.size("positions")) * sign).alias("cnt"))
         sizes = hot(messages).groupBy("session_id").agg((F.count("*") * sign).alias("doc"), (F.sum(length) * sign).alias("cnt"))
-        return [terms.withColumn("kind", F.lit("term")), sizes.withColumn("kind", F.lit("size"))]
+        return sizes.withColumn("kind", F.lit("size"))
 
     def follow(self, store: Versioned) -> int:
         """Take over what the store has committed since; the version covered. A batch that was lost half-way is taken over by the next call."""
@@ -80,14 +77,12 @@ class LiveIndex(Index):
         if now == self.covered:
             return now
         new, sessions, was = store.changes(self.covered)
-        added = written(posting_rows(new, self.stems), "postings")
-        state = self.spark.range(1).select(F.lit("state").alias("kind"), F.lit(now).cast("long").alias("doc"))
-        rows = [added.withColumn("kind", F.lit("posting")), *self._counted(new, added, 1), state]
+        state = self.spark.range(1, numPartitions=1).select(F.lit("state").alias("kind"), F.lit(now).cast("long").alias("doc"))
+        rows = [dealt_postings(new, self.stems).withColumn("kind", F.lit("posting")), self._sizes(new, 1), state]
         if was is not None:  # sessions that are hidden take theirs with them
-            was = was if sessions is None else was.join(sessions, "session_id", "left_anti")
-            rows += self._counted(was, written(posting_rows(was, self.stems), "postings"), -1)
+            rows.append(self._sizes(was if sessions is None else was.join(sessions, "session_id", "left_anti"), -1))
         every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-        # a row of the index belongs to a message or to none; those of kinds term and size have none and aren't dropped by a key
-        self.table.append(every.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in _SCHEMA.split(", "))), replaces=sessions, drops=was)
+        # a row of the index belongs to a message or to none; those of kind size have none and aren't dropped by a key
+        self.table.append(every.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in _SCHEMA.split(", "))), replaces=sessions, drops=was, dealt=True)
         self.refresh()
         return now

@@ -28,6 +28,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BUCKETS = 64
 #: Messages, about, whose terms of one folder are sorted and written by one task.
 PER_DEAL = 1 << 17
+#: Messages, about, whose postings a task sorts when an index follows a store, and parts that a folder's messages are dealt to, at most.
+PER_PART, DEALS = 2048, 16
 #: Messages of a block, about.
 PER_BLOCK = 64
 #: Blocks that are named one by one in a filter, at most; more come by a join.
@@ -98,16 +100,25 @@ def posting_rows(messages: DataFrame, stems: bool) -> DataFrame:
     return _packed(messages, stems).select("*", F.inline("terms")).select("message_id", "term", *_ORDER, "len", "positions")
 
 
+def dealt_postings(messages: DataFrame, stems: bool) -> DataFrame:
+    """``posting_rows`` in as many partitions as their messages need, dealt by term and message: what a piece of the messages has in one travels as one row."""
+    parts = min(_tasks(messages.sparkSession), max(1, -(-hot(messages).count() // PER_PART)))
+    rows = _block_rows(messages, stems, BUCKETS, DEALS, whole_blocks=False).repartition(parts, "bucket", "block")
+    each = _opened(rows, 1.0).select("term", F.explode("messages").alias("m"))
+    return each.select("m.message_id", "term", *(f"m.{c}" for c in (*_ORDER, "len", "positions")))
+
+
 def _begin(changes: np.ndarray) -> np.ndarray:
     """Where runs begin, given whether each but the first differs from the one before."""
     return np.flatnonzero(np.concatenate(([True], changes)))
 
 
-def _block_rows(messages: DataFrame, stems: bool, buckets: int, blocks: int) -> DataFrame:
+def _block_rows(messages: DataFrame, stems: bool, buckets: int, blocks: int, whole_blocks: bool = True) -> DataFrame:
     """(block, bucket, messages, terms, n, numbers): what a block of hot messages has in a folder.
 
     ``terms`` are joined by spaces; ``numbers`` are ``n`` 32-bit integers: messages of each term, their places in ``messages``, the positions
-    of each, and the gaps between positions. A block that is met in two pieces has two rows.
+    of each, and the gaps between positions. A block that is met in two pieces has two rows; without ``whole_blocks`` it has one for
+    each piece of the messages as they lie, and texts in enough files aren't shuffled.
     """
     meta = ["message_id", *_ORDER, "len"]
 
@@ -159,9 +170,12 @@ def _block_rows(messages: DataFrame, stems: bool, buckets: int, blocks: int) ->
         row = [pa.array(names_of[t_group[g] // buckets]), pa.array(t_group[g] % buckets, pa.int32()), listed, pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary())]
         yield pa.RecordBatch.from_arrays(row, ["block", "bucket", "messages", "terms", "n", "numbers"])
 
-    block = F.pmod(F.xxhash64("message_id"), F.lit(blocks)).alias("block")
+    block, spark = F.pmod(F.xxhash64("message_id"), F.lit(blocks)).alias("block"), messages.sparkSession
     own = hot(messages).select(block, "message_id", *_ORDER, "message_text")
-    own = own.repartition(_tasks(messages.sparkSession), "block").sortWithinPartitions("block")  # few pieces of a block
+    if whole_blocks:
+        own = own.repartition(_tasks(spark), "block").sortWithinPartitions("block")  # few pieces of a block
+    elif len(own.inputFiles()) < spark.sparkContext.defaultParallelism:
+        own = own.repartition(_tasks(spark))
     rows = own.select("block", "message_id", *_ORDER, _tokens(stems)).select("block", "message_id", *_ORDER, F.size("_tokens").alias("len"), "_tokens")
     each = ",".join(f"{n}:{rows.schema[n].dataType.simpleString()}" for n in meta)
     return rows.mapInArrow(pack, f"block long, bucket int, messages array<struct<{each}>>, terms string, n int, numbers binary")

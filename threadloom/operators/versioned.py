@@ -134,19 +134,19 @@ class Versioned:
         if not fs.rename(draft, path(f"{self.path}/{name}")):
             raise ConcurrentWrite(segment.version)
 
-    def _write(self, rows: DataFrame, v: int) -> None:
+    def _write(self, rows: DataFrame, v: int, dealt: bool = False) -> None:
         if self.sort:  # Spark chooses how many files by their size; a key with very many rows is in several
-            rows = rows.repartitionByRange(*self.sort).sortWithinPartitions(*self.sort)
+            rows = (rows if dealt else rows.repartitionByRange(*self.sort)).sortWithinPartitions(*self.sort)
         rows.select(*self.columns, "_version").write.mode("overwrite").partitionBy(*self.parts).parquet(f"{self.path}/v={v}")
 
-    def append(self, df: DataFrame, replaces: DataFrame | None = None, cold: DataFrame | None = None, drops: DataFrame | None = None) -> int:
-        """Add the rows of ``df`` as a segment; the version made.
+    def append(self, df: DataFrame, replaces: DataFrame | None = None, cold: DataFrame | None = None, drops: DataFrame | None = None, dealt: bool = False) -> int:
+        """Add the rows of ``df`` as a segment; the version made. ``dealt``: a file for each partition, as it is, sorted.
 
         ``replaces`` and ``cold`` have a session_id: rows of the former before this version are gone, those of the latter up to this version are
         of class agent. ``drops`` has the key: such rows before this version are gone.
         """
         v = self._claim()
-        self._write(df.withColumn("_version", F.lit(v)), v)
+        self._write(df.withColumn("_version", F.lit(v)), v, dealt)
         logs = {}
         if replaces is not None:
             logs["hide"] = replaces.select("session_id", F.lit(v).alias("before")).distinct()
