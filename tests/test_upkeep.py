@@ -193,3 +193,15 @@ def test_postings_are_dealt_before_they_are_spread(spark, store, index, tmp_path
     plan = dealt_postings(store.read(), False)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate")]
     assert {(r.term, r.doc, r.cnt) for r in index.vocabulary().where("term in ('often', 'w6', 'w59')").collect()} == {("often", 60, 60), ("w6", 8, 9), ("w59", 1, 1)}
+
+
+def test_a_merge_shuffles_nothing(spark, tmp_path):
+    store = Versioned(spark, f"{tmp_path}/messages", ingest.MESSAGE_SCHEMA)
+    index = LiveIndex(spark, f"{tmp_path}/index", stems=False, tier=2)
+    for n in range(2):
+        store.insert(rows(spark, (f"m{n}", f"s{n}", f"word{n} same", "hot")))
+        index.follow(store)
+    live = index.table.segments()
+    assert [(s.first, s.level) for s in live] == [(1, 1)]
+    assert not index.table.ranged  # no shuffle by ranges of rows that lie sorted in files
+    intact(index, store, tmp_path, "merged")

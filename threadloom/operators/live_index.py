@@ -5,7 +5,7 @@ The index is one append-only table with three kinds of rows. ``posting``: a term
 ``state``: the version of the store that is covered. Sessions that the store replaces, deletes or turns cold are hidden by the
 table's own log, which takes their postings and sizes at once; single messages that are updated or dropped are hidden by their
 key, and the segment holds their sizes with the sign reversed. Segments merge in tiers. Rows are sorted by kind and term within
-a file, in files of ranges once segments have merged, so that a term, or the terms of a prefix, are found by the statistics of files and pages.
+a file, so that a term, or the terms of a prefix, are found by the statistics of its pages; a merge puts files together without a shuffle.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class LiveIndex(Index):
 
     def __init__(self, spark: SparkSession, path: str, stems: bool = True, tier: int = TIER) -> None:
         self.spark, self.path, self.stems = spark, path.rstrip("/"), stems
-        self.table = Versioned(spark, self.path, _SCHEMA, "message_id", parts=("kind",), sort=("kind", "term", "message_id"), followed=False, tier=tier)
+        self.table = Versioned(spark, self.path, _SCHEMA, "message_id", parts=("kind",), sort=("kind", "term", "message_id"), followed=False, tier=tier, ranged=False)
         self.refresh()
 
     def refresh(self) -> None:
@@ -83,6 +83,6 @@ class LiveIndex(Index):
             rows.append(self._sizes(was if sessions is None else was.join(sessions, "session_id", "left_anti"), -1))
         every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
         # a row of the index belongs to a message or to none; those of kind size have none and aren't dropped by a key
-        self.table.append(every.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in _SCHEMA.split(", "))), replaces=sessions, drops=was, dealt=True)
+        self.table.append(every.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in _SCHEMA.split(", "))), replaces=sessions, drops=was)
         self.refresh()
         return now

@@ -42,11 +42,11 @@ class Segment:
 
 class Versioned:
     """A table below ``path``; ``key`` names the column of ``insert``. Rows are written by ``sort`` and in folders by ``parts``. A table that nobody
-    follows keeps no copy of dropped rows."""
+    follows keeps no copy of dropped rows. One that isn't ``ranged`` writes rows as they are dealt: a merge reads small files together and shuffles none."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = "message_id", parts: tuple[str, ...] = (), sort: tuple[str, ...] = (), followed: bool = True, tier: int = TIER) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = "message_id", parts: tuple[str, ...] = (), sort: tuple[str, ...] = (), followed: bool = True, tier: int = TIER, ranged: bool = True) -> None:
         self.spark, self.path, self.schema, self.key, self.parts, self.sort, self.followed = spark, path.rstrip("/"), schema, key, parts, sort, followed
-        self.tier = tier
+        self.tier, self.ranged = tier, ranged
         self.columns = [f.split()[0] for f in schema.split(", ")]
         self.logs = {"hide": "session_id string, before int", "cold": "session_id string, until int", "drop": f"{key} string, before int", "was": f"{schema}, _version int, before int"}
 
@@ -134,19 +134,19 @@ class Versioned:
         if not fs.rename(draft, path(f"{self.path}/{name}")):
             raise ConcurrentWrite(segment.version)
 
-    def _write(self, rows: DataFrame, v: int, dealt: bool = False) -> None:
+    def _write(self, rows: DataFrame, v: int) -> None:
         if self.sort:  # Spark chooses how many files by their size; a key with very many rows is in several
-            rows = (rows if dealt else rows.repartitionByRange(*self.sort)).sortWithinPartitions(*self.sort)
+            rows = (rows.repartitionByRange(*self.sort) if self.ranged else rows).sortWithinPartitions(*self.sort)
         rows.select(*self.columns, "_version").write.mode("overwrite").partitionBy(*self.parts).parquet(f"{self.path}/v={v}")
 
-    def append(self, df: DataFrame, replaces: DataFrame | None = None, cold: DataFrame | None = None, drops: DataFrame | None = None, dealt: bool = False) -> int:
-        """Add the rows of ``df`` as a segment; the version made. ``dealt``: a file for each partition, as it is, sorted.
+    def append(self, df: DataFrame, replaces: DataFrame | None = None, cold: DataFrame | None = None, drops: DataFrame | None = None) -> int:
+        """Add the rows of ``df`` as a segment; the version made.
 
         ``replaces`` and ``cold`` have a session_id: rows of the former before this version are gone, those of the latter up to this version are
         of class agent. ``drops`` has the key: such rows before this version are gone.
         """
         v = self._claim()
-        self._write(df.withColumn("_version", F.lit(v)), v, dealt)
+        self._write(df.withColumn("_version", F.lit(v)), v)
         logs = {}
         if replaces is not None:
             logs["hide"] = replaces.select("session_id", F.lit(v).alias("before")).distinct()
