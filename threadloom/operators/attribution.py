@@ -90,7 +90,7 @@ def match_commits(edits: DataFrame, commits: DataFrame, added: DataFrame, blobs:
     made = lambda lines: F.transform(trigrams(lines), name)
     windows = commits.select("hash", F.col("parent_ms").alias("low"), (F.col("commit_ms") + window_ms).alias("high")).where("low <= high")
     files = blobs.select("hash", "file").distinct().join(windows, "hash")
-    tris = edits.select("session", "file", "ts", made(F.split("content", "\n")).alias("tris"))
+    tris = written(edits.select("session", "file", "ts", made(F.split("content", "\n")).alias("tris")), "edit-trigrams")  # read twice
     in_added = added.select("hash", "file", F.explode(made(F.col("lines"))).alias("tri")).join(files, ["hash", "file"])
     met = tris.select("session", "file", "ts", F.explode("tris").alias("tri")).join(in_added, ["file", "tri"]).where("ts between low and high")
     hits = met.select("hash", "session", "file", "tri").distinct().groupBy("hash", "session").agg(F.count("*").alias("content_hits"))
